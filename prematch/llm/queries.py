@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rlz
+from . import rlz, simhash
 from .common import table
 
 
@@ -39,5 +39,14 @@ select w.doc_id, cast(len(w.w) as bigint) as n_words, cast(coalesce(k.n_removed,
 from words w left join kept k using (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup}
+def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its SimHash in hexadecimal and the smallest doc_id that links within two bits lead to."""
+    near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return near.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op9_simhash_components": op9_simhash_components,
+}
 ORACLE: dict[str, str] = {"op1_substring_dedup": OP1_SQL}
