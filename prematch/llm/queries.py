@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rlz, simhash
+from . import feistel, language_id, rlz, simhash
 from .common import table
 
 
@@ -45,8 +45,23 @@ def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its shard and slot in a reproducible shuffle; shards differ by one row at most."""
+    placed = feistel.shards(table(spark, sf_dir, "documents"), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the language whose dictionary compresses it best, learnt from the documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out()).select("text", "lang"))
+    return language_id.classify(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_feistel_shards": op3_feistel_shards,
     "op9_simhash_components": op9_simhash_components,
+    "op10_language_id": op10_language_id,
 }
 ORACLE: dict[str, str] = {"op1_substring_dedup": OP1_SQL}
