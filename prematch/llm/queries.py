@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import feistel, language_id, rlz, simhash
+from . import adaptive_quality, feistel, language_id, rlz, simhash, url_lists
 from .common import table
 
 
@@ -39,6 +39,116 @@ select w.doc_id, cast(len(w.w) as bigint) as n_words, cast(coalesce(k.n_removed,
 from words w left join kept k using (doc_id)
 """
 
+def op6_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its counts, whether the base rules fail, and whether it stays within the fences of its language and source."""
+    judged = adaptive_quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_RATE_SQL = {x: f"(({top} * {scale}) // greatest({bottom}, 1))" for x, (top, bottom, scale, _, _) in adaptive_quality.RATES.items()}
+
+
+def _fence_sql(by: list[str], tag: str) -> str:
+    """Common table expressions for the fences by some keys."""
+    key = ", ".join(by)
+    lead = key + ", " if by else ""
+    over = f"partition by {lead}rate"
+    cols = []
+    for x, (_, _, _, below, margin) in adaptive_quality.RATES.items():
+        width = f"greatest(3 * (q3 - q1), {margin})"
+        cols.append(f"max(case when rate = '{x}' and q3 + {width} < {adaptive_quality.TOP} then q3 + {width} end) as {x}_high")
+        if below:
+            cols.append(f"max(case when rate = '{x}' then q1 - {width} end) as {x}_low")
+    return f"""
+ranked_{tag} as (
+  select {lead}rate, value, sum(n) over ({over} order by value) as upto, sum(n) over ({over}) as total
+  from (select {lead}rate, value, sum(n) as n from sketch group by {lead}rate, value)
+), quartiles_{tag} as (
+  select {lead}rate, min(value) filter (where upto * 4 >= total) as q1, min(value) filter (where upto * 4 >= total * 3) as q3, max(total) as size
+  from ranked_{tag} group by {lead}rate
+), fences_{tag} as (
+  select {lead}max(size) as size, {", ".join(cols)} from quartiles_{tag}{" group by " + key if by else ""}
+)"""
+
+
+def _bound(name: str) -> str:
+    least = adaptive_quality.LEAST_GROUP
+    return f"case when b.size >= {least} then b.{name} when l.size >= {least} then l.{name} else a.{name} end"
+
+
+OP6_SQL = rf"""
+with words as (
+  select doc_id, lang, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+  from documents
+), windows as (
+  select doc_id, unnest(range(1, len(w) - 6)) as i,
+         unnest(list_transform(range(1, len(w) - 6), lambda i: md5(array_to_string(w[i:i + 7], ' ')))) as h
+  from words where len(w) >= 8
+), repeated as (
+  select doc_id, i from windows qualify count(*) over (partition by doc_id, h) > 1
+), covered as (
+  select doc_id, count(distinct i + k) as n_repeat_words from repeated, range(8) t(k) group by doc_id
+), facts as (
+  select doc_id, lang, source, cast(len(w) as bigint) as n_words,
+         cast(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as bigint) as word_chars,
+         cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+         cast(len(lines) as bigint) as n_lines, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
+         cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words
+  from words left join covered using (doc_id)
+), based as (
+  select *, n_words < {adaptive_quality.LEAST_WORDS} or 100 * n_repeat_words > {adaptive_quality.MOST_REPEATED} * n_words as base_failed from facts
+), sketch as (
+  {" union all ".join(f"select lang, source, '{x}' as rate, least({e}, {adaptive_quality.TOP}) as value, count(*) as n from based where not base_failed group by all" for x, e in _RATE_SQL.items())}
+), {_fence_sql(["lang", "source"], "both")}, {_fence_sql(["lang"], "lang")}, {_fence_sql([], "all")}
+select d.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and {" and ".join(f"coalesce({e} <= {_bound(x + '_high')}, true)" + (f" and coalesce({e} >= {_bound(x + '_low')}, true)" if adaptive_quality.RATES[x][3] else "") for x, e in _RATE_SQL.items())} as kept
+from based d
+left join fences_both b on d.lang is not distinct from b.lang and d.source is not distinct from b.source
+left join fences_lang l on d.lang is not distinct from l.lang
+cross join fences_all a
+"""
+
+
+_FETCHED_ON = "date_add(date '2024-01-01', cast(page_id % 366 as int))"
+
+
+def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: the list entry in force on the day of its fetch; the tables hold no fetch day, so page_id sets one of 2024."""
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(_FETCHED_ON).alias("fetched_on"))
+    entries = spark.createDataFrame(url_lists.entry_rows(), "pattern string, list_name string, action string, since string")
+    return url_lists.evaluate(captures, entries.withColumn("since", F.col("since").cast("date")))
+
+
+_ENTRY_SQL = ", ".join(f"('{p}', '{n}', '{a}', date '{d}')" for p, n, a, d in url_lists.entry_rows())
+OP7_SQL = rf"""
+with entries(pattern, list_name, action, since) as (values {_ENTRY_SQL}),
+day as (
+  select pattern, list_name, since, max(case action when 'block' then 2 when 'allow' then 1 else 0 end) as strength
+  from entries group by pattern, list_name, since
+), valid as (
+  select *, lead(since) over (partition by pattern, list_name order by since) as until from day qualify strength > 0
+), captures as (
+  select page_id, url, cast(date '2024-01-01' + cast(page_id % 366 as int) as date) as fetched_on,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) as host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1) as path
+  from pages
+), met as (
+  select c.page_id, v.*, row_number() over (
+    partition by c.page_id
+    order by len(string_split(v.pattern, '/')) desc, len(string_split(string_split(v.pattern, '/')[1], '.')) desc, v.since desc, v.strength desc, v.list_name
+  ) as place
+  from captures c join valid v
+    on c.fetched_on >= v.since and (v.until is null or c.fetched_on < v.until)
+   and case when contains(v.pattern, '/') then starts_with(c.host || regexp_replace(c.path, '/+', '/', 'g') || '/', v.pattern || '/')
+            else c.host = v.pattern or ends_with(c.host, '.' || v.pattern) end
+)
+select c.page_id, c.url, c.fetched_on, case m.strength when 2 then 'block' when 1 then 'allow' else 'none' end as verdict,
+       m.pattern, m.list_name, m.since as valid_from
+from captures c left join met m on m.page_id = c.page_id and m.place = 1
+"""
+
+
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its SimHash in hexadecimal and the smallest doc_id that links within two bits lead to."""
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -61,7 +171,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_feistel_shards": op3_feistel_shards,
+    "op6_adaptive_quality": op6_adaptive_quality,
+    "op7_url_lists": op7_url_lists,
     "op9_simhash_components": op9_simhash_components,
     "op10_language_id": op10_language_id,
 }
-ORACLE: dict[str, str] = {"op1_substring_dedup": OP1_SQL}
+ORACLE: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op6_adaptive_quality": OP6_SQL, "op7_url_lists": OP7_SQL}
