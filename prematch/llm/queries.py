@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_quality, feistel, language_id, rlz, simhash, url_lists
+from . import adaptive_quality, feistel, language_id, licenses, rlz, simhash, string_tiling, url_lists
 from .common import table
 
 
@@ -39,6 +39,11 @@ select w.doc_id, cast(len(w.w) as bigint) as n_words, cast(coalesce(k.n_removed,
 from words w left join kept k using (doc_id)
 """
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in documents, with how they differ from the template that compresses them best."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its counts, whether the base rules fail, and whether it stays within the fences of its language and source."""
     judged = adaptive_quality.judge(table(spark, sf_dir, "documents"))
@@ -155,6 +160,11 @@ def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a test item at least half of whose words the document has under tiles."""
+    return string_tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its shard and slot in a reproducible shuffle; shards differ by one row at most."""
     placed = feistel.shards(table(spark, sf_dir, "documents"), shards=8)
@@ -170,7 +180,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_benchmark_leaks": op2_benchmark_leaks,
     "op3_feistel_shards": op3_feistel_shards,
+    "op5_license_scan": op5_license_scan,
     "op6_adaptive_quality": op6_adaptive_quality,
     "op7_url_lists": op7_url_lists,
     "op9_simhash_components": op9_simhash_components,
