@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_quality, feistel, language_id, licenses, rlz, simhash, string_tiling, url_lists
+from . import adaptive_quality, feistel, html_text, language_id, licenses, rlz, simhash, string_tiling, url_lists
 from .common import table
 
 
@@ -39,6 +39,11 @@ select w.doc_id, cast(len(w.w) as bigint) as n_words, cast(coalesce(k.n_removed,
 from words w left join kept k using (doc_id)
 """
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: its main text and the text's length."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in documents, with how they differ from the template that compresses them best."""
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -182,6 +187,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_benchmark_leaks": op2_benchmark_leaks,
     "op3_feistel_shards": op3_feistel_shards,
+    "op4_html_text": op4_html_text,
     "op5_license_scan": op5_license_scan,
     "op6_adaptive_quality": op6_adaptive_quality,
     "op7_url_lists": op7_url_lists,
