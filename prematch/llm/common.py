@@ -67,7 +67,7 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def in_batches(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:
-    """docs with a column ``batch`` (by a hash of doc_id), dealt out by it; as many batches as the text bytes call for.
+    """docs (doc_id, text, ...) with a column ``batch`` (by a hash of doc_id) before them, dealt out by it; as many batches as the text bytes call for.
 
     The frame is meant to be used several times within one plan: Spark then
     shuffles the text once and reads that exchange again.
@@ -76,11 +76,7 @@ def in_batches(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> tuple[DataFra
     total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     batches = max(2, shuffle_parts(spark), math.ceil(total / batch_bytes))
     parts = max(2, shuffle_parts(spark), batches // 4)
-    keyed = docs.select(
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(batches)).cast("int").alias("batch"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-    )
+    keyed = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), "*")
     return keyed.repartition(parts, "batch"), parts
 
 

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_quality, feistel, html_text, language_id, licenses, rlz, simhash, string_tiling, url_lists
+from . import adaptive_quality, bm25_packing, feistel, html_text, language_id, licenses, rlz, simhash, string_tiling, url_lists
 from .common import table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: how many words, how many of them lie in passages of 20 or more that also start earlier, and a digest of the rest."""
     parsed = rlz.parse_corpus(table(spark, sf_dir, "documents"), layout="words")
-    return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return parsed.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP1_SQL = r"""
@@ -159,6 +159,11 @@ from captures c left join met m on m.page_id = c.page_id and m.place = 1
 """
 
 
+def op8_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 2048 tokens, filled with lexical neighbours."""
+    return bm25_packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its SimHash in hexadecimal and the smallest doc_id that links within two bits lead to."""
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -191,6 +196,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scan": op5_license_scan,
     "op6_adaptive_quality": op6_adaptive_quality,
     "op7_url_lists": op7_url_lists,
+    "op8_bm25_packing": op8_bm25_packing,
     "op9_simhash_components": op9_simhash_components,
     "op10_language_id": op10_language_id,
 }

@@ -24,8 +24,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WORD_BASE, Rolling, first_of_each, in_batches, mixed, signed, text_buffer, word_hashes, words_of
 
@@ -132,7 +134,10 @@ def _answers(table: pa.Table, stage: int) -> dict[str, np.ndarray]:
 
 _INDEX_ROWS = "batch int, anchor long, block long, several boolean, doc_id long, start int"
 _WINDOW_ROWS = "batch int, hash long, anchor long, doc_id long, start int"
-_PARSED = "doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start:int,length:int,ref_doc:long,ref_start:int>>"
+
+
+def _parsed() -> T.StructType:
+    return T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start:int,length:int,ref_doc:long,ref_start:int>>")
 
 
 def _indexer(window: int):
@@ -163,13 +168,13 @@ def _asker(window: int):
     return ask
 
 
-def _parser(window: int, layout: str):
+def _parser(window: int, layout: str, carry: bool):
     factor = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())])
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("factors", pa.list_(factor))])
 
     def parse(docs: pa.Table, answered: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return schema.empty_table()
+            return (schema.append(docs.schema.field("carried")) if carry else schema).empty_table()
         batch = _Batch(docs, window)
         copied, ref_doc, ref_start = _sources(batch, _answers(answered, 1), _answers(answered, 2))
         # words under copied windows
@@ -191,7 +196,8 @@ def _parser(window: int, layout: str):
             pa.array(np.searchsorted(owners, np.arange(len(batch.ids) + 1)).astype(np.int32)),
             pa.StructArray.from_arrays([pa.array(pos, pa.int32()), pa.array(length.astype(np.int32)), pa.array(ref_doc[copied][head], pa.int64()), pa.array(ref_start[copied][head], pa.int32())], fields=list(factor)),
         )
-        return pa.table({"doc_id": batch.ids, "n_words": batch.n_words.astype(np.int64), "n_removed": np.diff(per_doc).astype(np.int64), "kept_text": _kept(batch, gone, layout), "factors": lists}, schema=schema)
+        made = pa.table({"doc_id": batch.ids, "n_words": batch.n_words.astype(np.int64), "n_removed": np.diff(per_doc).astype(np.int64), "kept_text": _kept(batch, gone, layout), "factors": lists}, schema=schema)
+        return made.append_column(batch.docs.schema.field("carried"), batch.docs.column("carried")) if carry else made
 
     return parse
 
@@ -257,27 +263,33 @@ def _kept(batch: _Batch, gone: np.ndarray, layout: str) -> pa.Array:
             np.add.at(edge, batch.ends[out], -1)
             take = np.cumsum(edge[:-1], dtype=np.int32) == 0
     sizes = np.concatenate([[0], np.cumsum(take)])[batch.offsets].astype(np.int32)
-    return pa.StringArray.from_buffers(len(batch.ids), pa.py_buffer(sizes.tobytes()), pa.py_buffer(data[take].tobytes()))
+    made = pa.StringArray.from_buffers(len(batch.ids), pa.py_buffer(sizes.tobytes()), pa.py_buffer(data[take].tobytes()))
+    texts = batch.docs.column("text")
+    return pc.if_else(pc.is_valid(texts.combine_chunks()), made, pa.scalar(None, pa.string())) if texts.null_count else made
 
 
-def parse_corpus(docs: DataFrame, window: int = WINDOW, layout: str = "text") -> DataFrame:
+def parse_corpus(docs: DataFrame, window: int = WINDOW, layout: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Parse every document of docs (doc_id, text) against the whole corpus and cut out what also starts earlier.
 
     Returns doc_id, n_words, n_removed, kept_text and factors (start, length,
     ref_doc, ref_start; in words).  A word goes if some ``window`` consecutive
     words around it also start earlier: in a smaller doc_id, or earlier in the
-    same document.  Null text counts as empty: no words, empty kept_text; a row
+    same document.  Null text has no words, and null as kept_text; a row
     with a null doc_id is a document of its own that sorts first.  Documents shorter than a window stay whole.
     Rows that share a doc_id are separate documents, ordered by text (a
-    repeated row is removed as a copy).  Other columns are ignored; an empty
-    table gives an empty result.  layout "words" joins what is kept by single
-    spaces, "text" keeps the white space before every kept word.
+    repeated row is removed as a copy).  Of other columns, those named in carry
+    come along in a struct ``carried``; an empty table gives an empty result.
+    layout "words" joins what is kept by single spaces, "text" keeps the white
+    space before every kept word.
     """
     if window <= ANCHOR:
         raise ValueError(f"a window must be longer than {ANCHOR} words")
     # a null id would be lost on the way through numpy
     low = F.lit(-(1 << 63)).cast("long")
-    dealt, parts = in_batches(docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), low)))
+    named = [F.coalesce(F.col("doc_id").cast("long"), low).alias("doc_id"), F.col("text").cast("string").alias("text")]
+    if carry:
+        named.append(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"))
+    dealt, parts = in_batches(docs.select(*named))
     rows = dealt.groupBy("batch").applyInArrow(_indexer(window), _INDEX_ROWS)
     by = Window.partitionBy("anchor")
     seen = rows.select(
@@ -299,5 +311,5 @@ def parse_corpus(docs: DataFrame, window: int = WINDOW, layout: str = "text") ->
     later = asked.select("*", F.min(F.struct("doc_id", "start")).over(by).alias("ref")).where((F.col("ref.doc_id") != F.col("doc_id")) | (F.col("ref.start") != F.col("start")))
     found = later.select("batch", F.lit(2).alias("stage"), F.col("hash").alias("key"), F.lit(_COPY).alias("kind"), F.col("ref.doc_id").alias("ref_doc"), F.col("ref.start").alias("ref_start"))
     answers = known.unionByName(found).repartition(parts, "batch")
-    parsed = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_parser(window, layout), _PARSED)
+    parsed = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_parser(window, layout, bool(carry)), T.StructType([*_parsed().fields, *dealt.schema.fields[3:]]))
     return parsed.withColumn("doc_id", F.when(F.col("doc_id") != low, F.col("doc_id")))

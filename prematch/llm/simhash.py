@@ -220,3 +220,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(links(classes.where("node is not null").select("bits", "node")))
     named = classes.select("bits", "node").join(found, "node", "left").select("bits", F.coalesce("component", "node").alias("component_id"))
     return join_hot(prints, named, "bits", hot).select("doc_id", "bits", "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id names their component: one document of each group of near duplicates.
+
+    Of rows that share a doc_id the one with the smallest text stays, a null
+    text first; rows with a null doc_id can't be named and stay.
+    """
+    near = near_duplicates(docs)
+    named = near.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_named")).distinct()
+    kept = docs.join(named, F.col("doc_id").cast("long") == F.col("_named"), "left_semi")
+    at = F.row_number().over(Window.partitionBy(F.col("doc_id").cast("long")).orderBy("text"))
+    one = kept.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), at.alias("at")).where("at = 1").select("row.*")
+    return one.unionByName(docs.where("doc_id is null"))

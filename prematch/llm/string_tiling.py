@@ -26,6 +26,8 @@ LEAST = 5
 COVERAGE = 0.5
 #: Text bytes of the items that are sent to the executors at once; larger benchmarks go in blocks.
 BLOCK_BYTES = 16 << 20
+#: Stands for a null item_id on the executors.
+NO_ID = -(1 << 63)
 
 
 def normal(column: pa.Array) -> pa.Array:
@@ -100,13 +102,13 @@ _ROWS = "doc_id long, item_id long, item_words int, covered int, n_tiles int, lo
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int32()), ("covered", pa.int32()), ("n_tiles", pa.int32()), ("longest", pa.int32())])
 
 
-def tile_batch(ids: np.ndarray, texts: pa.Array, items: Items, coverage: float) -> list[tuple]:
-    """Rows of _ROWS for the pairs of a batch whose coverage suffices."""
+def tile_batch(texts: pa.Array, items: Items, coverage: float) -> list[tuple]:
+    """(index of the text, item_id, item_words, covered, n_tiles, longest) of the pairs whose coverage suffices."""
     data, offsets = text_buffer(normal(texts))
     starts, ends, first = words_of(data, offsets)
     if not len(starts) or not len(items.hashes):
         return []
-    doc = np.repeat(np.arange(len(ids)), np.diff(first))
+    doc = np.repeat(np.arange(len(texts)), np.diff(first))
     at = np.flatnonzero(first[1:][doc] - np.arange(len(starts)) >= LEAST)
     hashes = Rolling(word_hashes(data, starts, ends), WORD_BASE).of(at, at + LEAST)
     maybe = np.flatnonzero(items.maybe[hashes >> items.shift])
@@ -130,38 +132,65 @@ def tile_batch(ids: np.ndarray, texts: pa.Array, items: Items, coverage: float)
         found = tiles(maximal(item_at[s:e], text_at[s:e] - first[owner[s]]))
         covered = sum(t[2] for t in found)
         if covered >= coverage * n:
-            rows.append((ids[owner[s]], int(items.ids[item[s]]), n, covered, len(found), max(t[2] for t in found)))
+            rows.append((int(owner[s]), int(items.ids[item[s]]), n, covered, len(found), max(t[2] for t in found)))
     return rows
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Items]:
+    """The benchmark (item_id, text) in blocks of about so many bytes."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    total = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    blocks = max(1, -(-total // block_bytes))
+    for k in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
+        yield Items([r["item_id"] if r["item_id"] is not None else NO_ID for r in rows], [r["text"] for r in rows])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, item_words, covered, n_tiles, longest and coverage of every pair that reaches the threshold.
 
     docs (doc_id, text) are read once per block of the benchmark (item_id,
     text), and never shuffled.  Words are runs of letters and digits in lower
     case.  Null or empty texts, and items of fewer than LEAST words, give no
-    pair; repeated rows of either table give a pair each; an empty table gives
-    an empty result; other columns are ignored.
+    pair; rows with null ids give pairs with null ids; repeated rows of either
+    table give a pair each; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    blocks = max(1, -(-total // block_bytes))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     out = None
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows]).parts())
+    for items in _blocks(benchmark, block_bytes):
+        shared = spark.sparkContext.broadcast(items.parts())
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             held = Items.of(shared.value)
             for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
                     piece = batch.slice(at, 1024)
-                    rows = tile_batch(piece.column(0).to_pylist(), piece.column(1), held, coverage)
+                    ids = piece.column(0).to_pylist()
+                    rows = [(ids[i], *r) for i, *r in tile_batch(piece.column(1), held, coverage)]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SCHEMA.types)], schema=_SCHEMA)
 
         found = named.mapInArrow(run, _ROWS)
         out = found if out is None else out.unionByName(found)
-    return out.withColumn("coverage", F.col("covered") / F.col("item_words"))
+    return out.withColumns({"item_id": F.when(F.col("item_id") != NO_ID, F.col("item_id")), "coverage": F.col("covered") / F.col("item_words")})
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, all columns, that no item contaminates (as ``contaminated`` finds it); null texts stay."""
+    spark = docs.sparkSession
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    for items in _blocks(benchmark, block_bytes):
+        shared = spark.sparkContext.broadcast(items.parts())
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            held = Items.of(shared.value)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    piece = batch.slice(at, 1024)
+                    stay = np.ones(piece.num_rows, bool)
+                    stay[[r[0] for r in tile_batch(piece.column(1), held, coverage)]] = False
+                    yield piece.filter(pa.array(stay))
+
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows.select("row.*")
