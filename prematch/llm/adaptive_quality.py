@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_BASE, Rolling, mixed, text_buffer, word_hashes, words_of, written
+from .common import WORD_BASE, Rolling, mixed, slices, text_buffer, word_hashes, words_of, written
 
 REPEAT_WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
@@ -81,11 +81,9 @@ def measure(data: np.ndarray, offsets: np.ndarray, window: int = REPEAT_WINDOW)
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            piece = batch.slice(at, 2048)
-            found = measure(*text_buffer(piece.column(piece.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *[pa.array(found[x].astype(np.int64)) for x in _FACTS]], [*piece.schema.names[:-1], *_FACTS])
+    for piece in slices(batches):
+        found = measure(*text_buffer(piece.column(piece.num_columns - 1)))
+        yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *[pa.array(found[x].astype(np.int64)) for x in _FACTS]], [*piece.schema.names[:-1], *_FACTS])
 
 
 def facts(docs: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 #: A key counts as hot above this share of all rows, so at most 1 / HOT_SHARE keys are hot.
 HOT_SHARE = 1 / 1000
 #: Text bytes that one Python task holds at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -187,6 +189,22 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: in
     return out
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks and share an executor's memory."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in smaller ones, so that little is held as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    release()
+
+
 def first_of_each(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows in order: the index of the first row with the same keys, for each row, and a number for each distinct key tuple."""
     n = len(keys[0])

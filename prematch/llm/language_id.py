@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 UNKNOWN = "und"
 #: Bounds of the sample that is fitted, per language: documents, characters of each, bytes of the dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 1024, 32 << 10
@@ -114,7 +116,7 @@ def classify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         encoders = compressors(own)
-        for batch in batches:
+        for batch in slices(batches):
             made = [classify_text(t, own, encoders) for t in batch.column(batch.num_columns - 1).to_pylist()]
             new = [pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64()), pa.array([m[2] for m in made], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names)

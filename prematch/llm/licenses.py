@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Public license notices by SPDX name.  Fixed values.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -166,7 +168,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(given)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(i, *r) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in scanner.scan(t)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SCHEMA.types)], schema=_SCHEMA)

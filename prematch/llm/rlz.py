@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BASE, Rolling, first_of_each, in_batches, mixed, signed, text_buffer, word_hashes, words_of
+from .common import WORD_BASE, Rolling, first_of_each, in_batches, mixed, release, signed, text_buffer, word_hashes, words_of
 
 WINDOW, ANCHOR = 20, 8
 _COPY, _ASK = 1, 2
@@ -143,8 +143,10 @@ def _parsed() -> T.StructType:
 def _indexer(window: int):
     def index(table: pa.Table) -> pa.Table:
         batch = _Batch(table, window)
-        rows = batch.index_rows(table.column("batch")[0].as_py())
-        return pa.table({**rows, "anchor": rows["anchor"]})
+        made = pa.table(batch.index_rows(table.column("batch")[0].as_py()))
+        del batch
+        release()
+        return made
 
     return index
 
@@ -163,7 +165,10 @@ def _asker(window: int):
         mine = np.flatnonzero(first == np.arange(len(first)))
         ids, pos = batch.place(batch.starts_at[windows[mine]])
         number = docs.column("batch")[0].as_py()
-        return pa.table({"batch": np.full(len(mine), number, np.int32), "hash": signed(hashes[mine]), "anchor": signed(anchors[mine]), "doc_id": ids, "start": pos}, schema=schema)
+        made = pa.table({"batch": np.full(len(mine), number, np.int32), "hash": signed(hashes[mine]), "anchor": signed(anchors[mine]), "doc_id": ids, "start": pos}, schema=schema)
+        del batch
+        release()
+        return made
 
     return ask
 
@@ -197,7 +202,11 @@ def _parser(window: int, layout: str, carry: bool):
             pa.StructArray.from_arrays([pa.array(pos, pa.int32()), pa.array(length.astype(np.int32)), pa.array(ref_doc[copied][head], pa.int64()), pa.array(ref_start[copied][head], pa.int32())], fields=list(factor)),
         )
         made = pa.table({"doc_id": batch.ids, "n_words": batch.n_words.astype(np.int64), "n_removed": np.diff(per_doc).astype(np.int64), "kept_text": _kept(batch, gone, layout), "factors": lists}, schema=schema)
-        return made.append_column(batch.docs.schema.field("carried"), batch.docs.column("carried")) if carry else made
+        if carry:
+            made = made.append_column(batch.docs.schema.field("carried"), batch.docs.column("carried"))
+        del batch
+        release()
+        return made
 
     return parse
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hot_keys, join_hot, shuffle_parts, text_buffer, written
+from .common import hot_keys, join_hot, shuffle_parts, slices, text_buffer, written
 from .graph import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -75,13 +75,11 @@ def _fold(hashes: list[list[int]], step: int = 1 << 16) -> np.ndarray:
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 512):
         data, offsets = text_buffer(batch.column(1))
         whole, cuts = data.tobytes(), offsets.tolist()
-        for at in range(0, batch.num_rows, 512):
-            to = min(at + 512, batch.num_rows)
-            values = _fold([_shingle_hashes(whole[a:b], SHINGLE) for a, b in zip(cuts[at:to], cuts[at + 1 : to + 1])])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(values.view(np.int64))], ["doc_id", "bits"])
+        values = _fold([_shingle_hashes(whole[a:b], SHINGLE) for a, b in zip(cuts, cuts[1:])])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "bits"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BASE, Rolling, text_buffer, word_hashes, words_of
+from .common import WORD_BASE, Rolling, slices, text_buffer, word_hashes, words_of
 
 #: Words of a seed, and least length of a tile.
 LEAST = 5
@@ -163,13 +163,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             held = Items.of(shared.value)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    piece = batch.slice(at, 1024)
-                    ids = piece.column(0).to_pylist()
-                    rows = [(ids[i], *r) for i, *r in tile_batch(piece.column(1), held, coverage)]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SCHEMA.types)], schema=_SCHEMA)
+            for piece in slices(batches):
+                ids = piece.column(0).to_pylist()
+                rows = [(ids[i], *r) for i, *r in tile_batch(piece.column(1), held, coverage)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SCHEMA.types)], schema=_SCHEMA)
 
         found = named.mapInArrow(run, _ROWS)
         out = found if out is None else out.unionByName(found)
@@ -185,12 +183,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, blo
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             held = Items.of(shared.value)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    piece = batch.slice(at, 1024)
-                    stay = np.ones(piece.num_rows, bool)
-                    stay[[r[0] for r in tile_batch(piece.column(1), held, coverage)]] = False
-                    yield piece.filter(pa.array(stay))
+            for piece in slices(batches):
+                stay = np.ones(piece.num_rows, bool)
+                stay[[r[0] for r in tile_batch(piece.column(1), held, coverage)]] = False
+                yield piece.filter(pa.array(stay))
 
         rows = rows.mapInArrow(run, rows.schema)
     return rows.select("row.*")
