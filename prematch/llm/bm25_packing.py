@@ -4,36 +4,36 @@
 2. Document frequencies of all token ids, over the whole corpus, make the term
    statistics: one number per vocabulary entry, a size that the corpus doesn't change.
 3. Documents are ordered by a lexical signature, so that similar ones come
-   together, and dealt out in ranges.  Each task cuts its range into shards
-   with an inverted BM25 index each.
+   together, and dealt out in parts of about equal size.  Each part is cut
+   into shards with an inverted BM25 index each.
 4. A window starts with a seed document.  The index ranks the shard's unused
    documents against it, and they fill the window in that order; the last one
    is cut, and its rest starts the next window.  A window that a shard leaves
-   open is filled on from the next shard, so only the last one of a task is padded.
+   open is filled on from the next shard, so only the last one of a part is padded.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import mixed, text_buffer, written
+from .common import mixed, release, shuffle_parts, slices, text_buffer, word_hashes, words_of, written
 
 WINDOW, END = 2048, 1
 #: Size of one index: documents and tokens.
 SHARD_DOCS, SHARD_TOKENS = 512, 1 << 20
 K1, B = 1.2, 0.75
 #: Words whose ids a task remembers.
-CACHE_WORDS = 400_000
-#: Tokens that a task packs, about: it bounds what the ranges' last windows can pad.
+CACHE_WORDS = 200_000
+#: Tokens of a part, about: it bounds what last windows can pad.
 TASK_TOKENS = 4 << 20
 
 
@@ -46,25 +46,113 @@ def vocabulary_path(path: str | None = None) -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Words(dict):
-    """Word (bytes without ASCII white space) to its ids as little-endian 16-bit numbers.
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones themselves, the others from U+0100 on in order."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
-    The tokenizer drops white space and never joins across it, so the ids of a
-    text are those of its words in a row.
-    """
 
-    def __init__(self, path: str):
-        self.encode = Tokenizer.from_file(path).encode
+class Letters(dict):
+    """Run of plain letters (see ``Words``) to its ids: one piece for the model, without the steps before it."""
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u2").tobytes()
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenize, self.letters = tokenizer.model.tokenize, "".join(byte_letters())
+
+    def __missing__(self, run: bytes) -> bytes:
+        low = run.decode() if run.isascii() else run.decode().lower().encode().decode("latin-1").translate(self.letters)
         if len(self) >= CACHE_WORDS:
             self.clear()
-        self[word] = ids
+        found = self.tokenize(low)
+        self[run] = ids = struct.pack(f"<{len(found)}H", *[t.id for t in found])
         return ids
 
-    def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+
+class Others(dict):
+    """Any other bytes without ASCII white space to their ids, by the whole tokenizer."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.encode = tokenizer.encode
+
+    def __missing__(self, run: bytes) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        found = self.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids
+        self[run] = ids = struct.pack(f"<{len(found)}H", *found)
+        return ids
+
+
+_LETTER, _DIGIT, _OTHER, _WHOLE = 1, 2, 3, 4
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = 0
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = _LETTER
+_CLASS[0x30:0x3A] = _DIGIT
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+
+
+def _unplain(data: np.ndarray) -> np.ndarray:
+    """Positions that keep a word from being cut: an apostrophe, the start of a special token, and characters over 127
+    other than the letters U+00C0 to U+024F that have one lower-case letter."""
+    before = np.concatenate([[0], data[:-1]])
+    high = (data >= 0x80) & ((data < 0xC3) | (data > 0xC9)) & ((data >= 0xC0) | (before < 0x80) | (before == 0xC2))
+    sign = ((before == 0xC3) & ((data == 0x97) | (data == 0xB7))) | ((before == 0xC4) & (data == 0xB0)) | ((before == 0xC9) & (data > 0x8F))
+    return np.flatnonzero(high | (data >= 0xCA) | (data == 0xC2) | sign | (data == 0x27) | ((before == 0x3C) & (data == 0x7C)))
+
+
+class Words:
+    """Ids of texts from the ids of their parts, each distinct part looked up once.
+
+    The tokenizer drops white space, lower-cases, and splits text into runs of
+    letters, single digits and runs of other signs before its model sees them; so
+    a word is cut there first.  A word with an apostrophe, a special token or
+    a character that isn't plain goes to the tokenizer whole.
+    """
+
+    def __init__(self, path: str):
+        tokenizer = Tokenizer.from_file(path)
+        self.letters, self.others = Letters(tokenizer), Others(tokenizer)
+        self.end = np.array([END], "<u2").tobytes()
+
+    def parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, starts, ends, class of each byte): words cut into parts, lower-case but for those that stay whole."""
+        starts, ends, _ = words_of(data, offsets)
+        kind, low = _CLASS[data], _LOWER[data]
+        odd = np.unique(np.searchsorted(starts, _unplain(data), "right") - 1)
+        whole = np.zeros(len(data) + 1, np.int8)
+        whole[starts[odd]] += 1
+        whole[ends[odd]] -= 1
+        whole = np.cumsum(whole[:-1], dtype=np.int8) > 0
+        kind[whole], low[whole] = _WHOLE, data[whole]
+        first = np.ones(len(data), bool)
+        first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        first[starts] = True  # words of two documents may touch
+        first &= kind > 0
+        begins = np.flatnonzero(first)
+        # a part ends where the next one begins or its word ends
+        word_end = ends[np.searchsorted(starts, begins, "right") - 1] if len(begins) else begins
+        return low, begins, np.minimum(np.append(begins[1:], len(data)), word_end), kind
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents of a buffer, END after each; how many each has)."""
+        low, starts, ends, kind = self.parts(data, offsets)
+        hashes = word_hashes(low, starts, ends)
+        order = np.argsort(hashes)
+        new = np.ones(len(order), bool)
+        new[1:] = hashes[order][1:] != hashes[order][:-1]
+        one, which = order[new], np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        raw, letters, others = low.tobytes(), self.letters, self.others
+        found = [(letters if k == _LETTER else others)[raw[a:b]] for a, b, k in zip(starts[one].tolist(), ends[one].tolist(), kind[starts[one]].tolist())]
+        found.append(self.end)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        table, begins = np.frombuffer(b"".join(found), "<u2"), np.cumsum(sizes) - sizes
+        closes = np.searchsorted(starts, offsets[1:])
+        which = np.insert(which, closes, len(found) - 1)  # END closes each document
+        n = sizes[which]
+        total = np.cumsum(n)
+        flat = table[np.repeat(begins[which] - total + n, n) + np.arange(total[-1] if len(total) else 0)]
+        return flat, np.diff(total[closes + np.arange(len(closes))], prepend=0)
 
 
 def signs(size: int, bits: int = 16) -> np.ndarray:
@@ -73,23 +161,24 @@ def signs(size: int, bits: int = 16) -> np.ndarray:
     return ((h[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.int8) * 2 - 1
 
 
-def _tokenizer(path: str, size: int):
-    end = np.array([END], "<u2").tobytes()
+def terms_of(ids: np.ndarray) -> np.ndarray:
+    """Distinct ids, ascending."""
+    ordered = np.sort(ids)
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return ordered[new]
+
 
+def _tokenizer(path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, direction = Words(path), signs(size)
         powers = 1 << np.arange(direction.shape[1], dtype=np.int64)
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
-            whole, cuts = data.tobytes(), offsets.tolist()
-            for at in range(0, batch.num_rows, 512):
-                to = min(at + 512, batch.num_rows)
-                made = [words.ids(whole[a:b]) + end for a, b in zip(cuts[at:to], cuts[at + 1 : to + 1])]
-                views = [np.frombuffer(m, "<u2") for m in made]
-                keys = [int(((direction[np.unique(v)].sum(0, dtype=np.int64) > 0) * powers).sum()) for v in views]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, to - at), pa.array(made, pa.binary()), pa.array([len(v) for v in views], pa.int64()), pa.array(keys, pa.int32())], ["doc_id", "ids", "n", "signature"]
-                )
+        for piece in slices(batches, 512):
+            flat, n = words.ids(*text_buffer(piece.column(1)))
+            cuts = np.concatenate([[0], np.cumsum(n)])
+            keys = [int(((direction[terms_of(flat[a:b])].sum(0, dtype=np.int32) > 0) * powers).sum()) for a, b in zip(cuts, cuts[1:])]
+            packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer((2 * cuts).tobytes()), pa.py_buffer(flat.tobytes())])
+            yield pa.RecordBatch.from_arrays([piece.column(0), packed.cast(pa.binary()), pa.array(n), pa.array(keys, pa.int32())], ["doc_id", "ids", "n", "signature"])
 
     return run
 
@@ -108,7 +197,7 @@ def _counter(size: int):
         df = np.zeros(size, np.int64)
         for batch in batches:
             for ids in batch.column(0):
-                df[np.unique(np.frombuffer(ids.as_buffer(), "<u2"))] += 1
+                df[terms_of(np.frombuffer(ids.as_buffer(), "<u2"))] += 1
         has = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array(df[has])], ["id", "df"])
 
@@ -189,27 +278,48 @@ def _packer(df: np.ndarray, n: int, mean: float, window: int):
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(TaskContext.get().partitionId() << 40, idf, mean, window)
-        held, size = [], 0
+        part, packer, held, size = None, None, [], 0
 
-        def flush() -> pa.RecordBatch:
-            rows = packer.shard(held)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_SCHEMA)
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                rows = packer.shard(held)
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_SCHEMA)
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for own, doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if own != part or len(held) >= SHARD_DOCS or size >= SHARD_TOKENS:
+                    yield from flush()
+                    size = 0
+                if own != part:
+                    release()
+                    part, packer = own, Packer(own << 40, idf, mean, window)
                 held.append((doc_id, np.frombuffer(ids.as_py(), "<u2")))
                 size += len(held[-1][1])
-                if len(held) >= SHARD_DOCS or size >= SHARD_TOKENS:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
+        yield from flush()
 
     return run
 
 
+def ranges(tokens: DataFrame, task_tokens: int = TASK_TOKENS) -> DataFrame:
+    """(signature, part, pieces): neighbouring signatures share a part of about task_tokens; one with more is cut in pieces.
+
+    Signatures are 16 bits, so the sizes that reach the driver and the table
+    that goes back are of 65,536 rows at most.
+    """
+    sizes = sorted((r["signature"], r["n"]) for r in tokens.groupBy("signature").agg(F.sum("n").alias("n")).collect())
+    rows, part, held = [], 0, 0
+    for signature, n in sizes:
+        pieces = -(-n // task_tokens)
+        if held and held + n > task_tokens:
+            part, held = part + 1, 0
+        rows.append((signature, part, pieces))
+        held += n
+        if pieces > 1:
+            part, held = part + pieces, 0
+    return tokens.sparkSession.createDataFrame(rows, "signature int, part long, pieces long")
+
+
 def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
     """Pieces of all rows of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -227,6 +337,8 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Data
     df = np.zeros(size, np.int64)
     df[[r["id"] for r in counted]] = [r["df"] for r in counted]
     n, mean = max(1, totals["docs"]), max(1.0, (totals["n"] or 0) / max(1, totals["docs"]))
-    parts = max(1, min(math.ceil((totals["n"] or 0) / TASK_TOKENS), 100_000))
-    ordered = tokens.repartitionByRange(parts, "signature", "doc_id").sortWithinPartitions("signature", "doc_id", "n", "ids").select("doc_id", "ids")
-    return ordered.mapInArrow(_packer(df, n, mean, window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    placed = tokens.join(F.broadcast(ranges(tokens)), "signature")
+    part = (F.col("part") + F.pmod(F.xxhash64("doc_id", "n"), F.col("pieces"))).alias("part")
+    tasks = max(shuffle_parts(spark), math.ceil((totals["n"] or 0) / TASK_TOKENS))
+    ordered = placed.select(part, "signature", "doc_id", "n", "ids").repartition(tasks, "part").sortWithinPartitions("part", "signature", "doc_id", "n", "ids")
+    return ordered.select("part", "doc_id", "ids").mapInArrow(_packer(df, n, mean, window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
