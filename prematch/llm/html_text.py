@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, shuffle_parts, text_buffer, word_hashes, words_of
+from .common import HOT_SHARE, hot_keys, shuffle_parts, slices, text_buffer, word_hashes, words_of
 from .url_lists import host_of
 
 #: Depth of the suffix array: substrings of at least so many words count as long.
@@ -33,6 +33,8 @@ DEPTH = 8
 COVERED = 0.5
 #: Words of one host's pages that are sorted at once.
 GROUP_WORDS = 1 << 20
+#: Pages of a host below which it is never dealt out in chunks.
+CHUNK_PAGES = 200
 
 # Elements and names by role.
 RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|object|canvas|audio|video|select"
@@ -192,7 +194,7 @@ def main_texts(pages: list[list[tuple[str, str]]]) -> list[tuple[str, int, int]]
 
 def _zoned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in slices(batches):
         packed = []
         for page in batch.column(batch.num_columns - 1).to_pylist():
             packed.append(packer.compress("\n".join(z + t for z, t in blocks(page)).encode("utf-8", "replace")))
@@ -236,15 +238,15 @@ def extract(pages: DataFrame) -> DataFrame:
     without a host, belongs to the host of empty name; repeated rows come back
     each time and count as one page; an empty table gives an empty result;
     other columns are ignored.  Pages of a host with over a thousandth of all
-    pages are sorted in several chunks, by a hash of page_id.
+    pages (and over CHUNK_PAGES) are sorted in several chunks, by a hash of page_id.
     """
     host = F.coalesce(host_of(F.col("url").cast("string")), F.lit(""))
     named = pages.select(host.alias("host"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     counts = named.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    hot, total = hot_keys(counts, "host")
+    hot, total = hot_keys(counts, "host", least=CHUNK_PAGES)
     chunk = F.lit(0)
     if hot:
-        most = max(1000.0, total / 1000)
+        most = max(CHUNK_PAGES, total * HOT_SHARE)
         sizes = {r["host"]: int(-(-r["n"] // most)) for r in counts.where(F.col("host").isin(hot)).collect()}
         pieces = F.create_map(*[F.lit(x) for h, k in sizes.items() for x in (h, k)])[F.col("host")]
         chunk = F.when(pieces.isNotNull(), F.pmod(F.xxhash64(F.coalesce("page_id", F.lit(0))), pieces)).otherwise(0)
