@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prematch import schema
 from prematch.functions import scalars
+from prematch.sources.shared import numbered
 
 
 def rare_bucket(df: DataFrame, column: str, least: int, name: str | None = None) -> DataFrame:
@@ -93,14 +94,5 @@ def oriented(matches: DataFrame, key: str, shared: list[str], pairs: dict[str, t
 
 
 def row_numbers(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
-    """Global 0-based numbers in the given total order: sorted in ranges, numbered by zipWithIndex, no single task for all."""
-    spark = df.sparkSession
-    schema_ = df.schema
-    numbered = df.orderBy(*[F.col(c).asc_nulls_last() for c in order]).rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    return spark.createDataFrame(numbered, StructType([StructField(name, LongType(), False), *schema_.fields]))
-
-
-def total_over(by: list[str]) -> Column:
-    return F.count(F.lit(1)).over(Window.partitionBy(*by))
+    """Global 0-based numbers in the given total order, missing values last; no single task sees all rows."""
+    return numbered(df, [F.col(c).asc_nulls_last() for c in order], name)[0]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prematch import schema
-from prematch.functions import scalars
+from prematch.functions import scalars, skew
 from prematch.functions import windows as W
 from prematch.operators.asof import asof_join
 
@@ -25,12 +25,25 @@ def serve_sides(history: DataFrame, match_id: str = "match_num") -> DataFrame:
     return history.select(F.inline(F.array(*rows)))
 
 
-def serve_totals(history: DataFrame, match_id: str = "match_num") -> DataFrame:
-    """The nine running totals as of the player's previous match (null where that match lacks the statistic)."""
-    by, order = ["player"], ["tourney_date", "match_id"]
-    rows = serve_sides(history, match_id)
-    rows = rows.withColumns({f"_{c}": W.running_total(c, by, order) for c in _COUNTERS})
-    return rows.select("match_id", "tourney_date", "player", "side", *[W.previous(f"_{c}", by, order).alias(f"{c}_cum_before") for c in _COUNTERS])
+def serve_totals(history: DataFrame, match_id: str = "match_num", hot: list | None = None) -> DataFrame:
+    """The nine running totals as of the player's previous match (null where that match lacks the statistic); hot players go month by month."""
+    order = ["tourney_date", "match_id"]
+    sides = serve_sides(history, match_id)
+    hot = skew.hot_keys(sides, "player") if hot is None else hot
+    cut = skew.chunked(sides, "player", "tourney_date", hot)
+    by = ["player", skew.CHUNK] if hot else ["player"]
+    rows = cut.withColumns({f"_{c}": W.running_total(c, by, order) for c in _COUNTERS})
+    keep = ["match_id", "tourney_date", "player", "side"]
+    if not hot:
+        return rows.select(*keep, *[W.previous(f"_{c}", by, order).alias(f"{c}_cum_before") for c in _COUNTERS])
+    # the totals of earlier months, and the last row before this month
+    before = skew.carried(cut, ["player"], {f"_b_{c}": F.col(c) for c in _COUNTERS})
+    tails = skew.earlier_tail(skew.last_rows(cut, ["player"], order, _COUNTERS), ["player"])
+    met = skew.attach(skew.attach(rows.withColumns({f"_p_{c}": W.previous(f"_{c}", by, order) for c in _COUNTERS} | {"_at": W.prior_count(by, order)}), before, ["player"]), tails, ["player"])
+    last = F.try_element_at("tail", F.lit(-1))
+    own = lambda c: F.col(f"_p_{c}") + F.coalesce(f"_b_{c}", F.lit(0.0))
+    handed = lambda c: F.when(last[c].isNotNull(), F.col(f"_b_{c}"))
+    return met.select(*keep, *[F.when(F.col("_at") > 0, own(c)).otherwise(handed(c)).alias(f"{c}_cum_before") for c in _COUNTERS])
 
 
 def serve_rates(history: DataFrame, match_id: str = "match_num") -> DataFrame:

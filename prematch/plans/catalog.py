@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -605,12 +603,9 @@ def q_classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest over two files and an absent year."""
-    folder = tempfile.mkdtemp()
-    for year in (2020, 2022):
-        Path(folder, f"{year}.csv").write_text(f"year\n{year}\n")
-    made = manifest.manifest(spark, folder, 2020, 2022, "csv").drop("local_path", "created_at_utc")
-    return spark.createDataFrame(made.collect(), made.schema)
+    """A manifest over two tables and an absent one in place of yearly files."""
+    paths = {y: f"{sf_dir}/{t}.parquet" for y, t in ((1, "region"), (2, "nation"), (3, "absent"))}
+    return manifest.manifest(spark, sf_dir, 1, 3, "parquet", paths=paths).drop("local_path", "created_at_utc")
 
 
 # --- models ---------------------------------------------------------------------------------------
