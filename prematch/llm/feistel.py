@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, shuffle_parts, written
+from prematch.sources.shared import numbered
+
+from .common import mixed
 
 ROUNDS = 6
 
@@ -53,25 +55,6 @@ class Permutation:
         return self._walk(places, self.keys[::-1])
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "row_number") -> tuple[DataFrame, int]:
-    """rows with global numbers from 0 in the given order (without a window over the whole table), and how many there are.
-
-    The sorted rows are written once, so that the counts per part (as many as
-    partitions; all that reaches the driver) and the numbers come from the same data.
-    """
-    part, at = F.col("_part"), F.col("_at")
-    ordered = rows.repartitionByRange(shuffle_parts(rows.sparkSession), *order).sortWithinPartitions(*order)
-    ordered = ordered.withColumn("_id", F.monotonically_increasing_id())
-    ordered = ordered.withColumns({"_part": F.shiftrightunsigned("_id", 33).cast("int"), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
-    ordered = written(ordered, "numbered")
-    before, starts = 0, {}
-    for row in sorted(ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()):
-        starts[row["_part"]] = before
-        before += row["n"]
-    offsets = rows.sparkSession.createDataFrame(list(starts.items()), "_part int, _start long")
-    return ordered.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_start") + at).drop("_part", "_at", "_start"), before
-
-
 def shards(docs: DataFrame, shards: int = 8, key: int = 20240229) -> DataFrame:
     """doc_id, size, text_crc32, row_number, shard and slot of every row of docs (doc_id, text).
 
