@@ -26,7 +26,7 @@ TOP = 2000
 RATES = {
     "symbols": ("n_symbols", "word_chars", 1000, False, 10),
     "dup_lines": ("n_dup_lines", "n_lines", 1000, False, 400),
-    "repeats": ("n_repeat_words", "n_words", 1000, False, 280),
+    "repeats": ("n_repeat_words", "n_words", 1000, False, 300),
     "word_length": ("word_chars", "n_words", 10, True, 30),
 }
 #: Groups of fewer documents use the fences of their language, or of all.

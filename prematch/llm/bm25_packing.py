@@ -33,8 +33,8 @@ SHARD_DOCS, SHARD_TOKENS = 512, 1 << 20
 K1, B = 1.2, 0.75
 #: Words whose ids a task remembers.
 CACHE_WORDS = 200_000
-#: Tokens of a part, about: it bounds what last windows can pad.
-TASK_TOKENS = 4 << 20
+#: Tokens of a part, about (it bounds what last windows can pad), and of the parts that one task works through.
+PART_TOKENS, TASK_TOKENS = 4 << 20, 64 << 20
 
 
 def vocabulary_path(path: str | None = None) -> str:
@@ -301,8 +301,8 @@ def _packer(df: np.ndarray, n: int, mean: float, window: int):
     return run
 
 
-def ranges(tokens: DataFrame, task_tokens: int = TASK_TOKENS) -> DataFrame:
-    """(signature, part, pieces): neighbouring signatures share a part of about task_tokens; one with more is cut in pieces.
+def ranges(tokens: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
+    """(signature, part, pieces): neighbouring signatures share a part of about part_tokens; one with more is cut in pieces.
 
     Signatures are 16 bits, so the sizes that reach the driver and the table
     that goes back are of 65,536 rows at most.
@@ -310,8 +310,8 @@ def ranges(tokens: DataFrame, task_tokens: int = TASK_TOKENS) -> DataFrame:
     sizes = sorted((r["signature"], r["n"]) for r in tokens.groupBy("signature").agg(F.sum("n").alias("n")).collect())
     rows, part, held = [], 0, 0
     for signature, n in sizes:
-        pieces = -(-n // task_tokens)
-        if held and held + n > task_tokens:
+        pieces = -(-n // part_tokens)
+        if held and held + n > part_tokens:
             part, held = part + 1, 0
         rows.append((signature, part, pieces))
         held += n

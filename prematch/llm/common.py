@@ -17,6 +17,8 @@ from prematch.sources.shared import written  # noqa: F401  for the operators
 HOT_SHARE = 1 / 1000
 #: Text bytes that one Python task holds at a time.
 BATCH_BYTES = 4 << 20
+#: Text bytes of all the batches that one task works through, at least as many tasks as shuffle partitions.
+TASK_BYTES = 128 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +40,8 @@ def in_batches(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> tuple[DataFra
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    batches = max(2, shuffle_parts(spark), math.ceil(total / batch_bytes))
-    parts = max(2, shuffle_parts(spark), batches // 4)
+    parts = max(2, shuffle_parts(spark), math.ceil(total / TASK_BYTES))
+    batches = max(parts, math.ceil(total / batch_bytes))
     keyed = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), "*")
     return keyed.repartition(parts, "batch"), parts
 
@@ -59,11 +61,7 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, hot: list, how: str = "
 def hot_keys(counts: DataFrame, key: str, n: str = "n", share: float = HOT_SHARE, least: int = 1000) -> tuple[list, int]:
     """Keys with over ``share`` of all rows (so fewer than 1 / share), and the number of rows; counts has one row per key."""
     total = counts.agg(F.sum(n).alias("t")).first()["t"] or 0
-    if total * share < least:
-        floor = least
-    else:
-        floor = total * share
-    found = counts.where((F.col(n) > floor) & F.col(key).isNotNull()).select(key, n).limit(math.ceil(1 / share)).collect()
+    found = counts.where((F.col(n) > max(least, total * share)) & F.col(key).isNotNull()).select(key).limit(math.ceil(1 / share)).collect()
     return [r[key] for r in found], total
 
 
