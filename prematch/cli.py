@@ -78,7 +78,8 @@ def enrich(spark: SparkSession, source: str, folder: str, output: str, report: s
 
 def build_features(spark: SparkSession, source: str, output: str, metadata: str, rare: int = 20, step: int = 1, least: int = 8, select: bool = True) -> dict:
     """Enriched matches to the mirrored training set, with a forest baseline and selected features in the metadata."""
-    full = features.add_features(history.attach_head_to_head(history.attach_history(read_clean(spark, source), "match_id", "date"), "match_id", "date"), rare)
+    matches = features.rare_buckets(read_clean(spark, source), rare)
+    full = features.add_features(history.attach_head_to_head(history.attach_history(matches, "match_id", "date"), "match_id", "date"), rare)
     checks.validate(full)
     rows = features.row_numbers(features.mirrored(full), ["date", "match_id", "player_a_win"]).persist()
     numeric, categorical = features.matrix_columns(rows)

@@ -47,9 +47,14 @@ def add_features(df: DataFrame, rare: int = 20) -> DataFrame:
         if {f"winner_{suffix}", f"loser_{suffix}"} <= have:
             made[name] = F.col(f"winner_{suffix}") - F.col(f"loser_{suffix}")
     df = df.withColumns(made) if made else df
+    return rare_buckets(df, rare)
+
+
+def rare_buckets(df: DataFrame, least: int) -> DataFrame:
+    """df with the buckets it can have and doesn't have yet; cheapest on the plain matches, before their histories."""
     for column in ("tournament", "location"):
-        if column in have:
-            df = rare_bucket(df, column, rare)
+        if column in df.columns and f"{column}_bucket" not in df.columns:
+            df = rare_bucket(df, column, least)
     return df
 
 

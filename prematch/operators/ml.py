@@ -136,7 +136,7 @@ def eliminate_features(rows: DataFrame, row_id: str, numeric: list[str], categor
     """Recursive elimination with cross-validation: per fold, drop the ``step`` least important features again and again;
     the size with the best mean accuracy wins (the smallest of equals), and a last elimination on all rows names the features.
 
-    The preprocessor is fitted once on all rows, as the reference does.
+    The preprocessor is fitted once, on all rows, before the folds.
     """
     prep = fit_preprocessor(rows, numeric, categorical)
     names = prep.names()

@@ -323,7 +323,7 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
         | {f"avg_{s}": scalars.odds(f"avg_{s}") for s in ("winner", "loser")}
         | {"round": scalars.round_name("round"), "court": scalars.court("court")}
     )
-    known = b.withColumn("has_any_market_odds", scalars.any_present(["avg_winner", "avg_loser"]))
+    known = features.rare_buckets(b.withColumn("has_any_market_odds", scalars.any_present(["avg_winner", "avg_loser"])), RARE)
     return features.add_features(history.attach_head_to_head(history.attach_history(known)), RARE)
 
 
