@@ -429,7 +429,43 @@ def q_name_resolution_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity.resolve_names(_names(spark, sf_dir), _players(spark, sf_dir), fuzzy=False, ascii_only=True)
 
 
-@query()
+#: Similarity by a bit-parallel common subsequence, one step per letter; lengths that cannot reach 87 are left out, as 92 less the margin of 5.
+_FUZZY = f"""with recursive {_PARTS}, {_KNOWN}, tried as (
+  select p.name, p.surname, p.initial, count(k.player_id) as n, min(k.player_id) as player_id, min(k.full_name) as full_name
+  from parts p left join known k on p.surname = k.surname and k.surname != '' and (p.initial = '' or p.initial = k.initial) group by all
+), still as (select * from tried where n = 0 and surname != ''),
+surnames as (select surname as b, min(player_id) as ord from known where surname != '' group by surname),
+pairs as (
+  select s.name, s.surname as a, u.b, u.ord from still s join surnames u
+  on len(u.b) between ceil(len(s.surname) * 0.87::double / 1.13::double) and floor(len(s.surname) * 1.13::double / 0.87::double)
+), step as (
+  select name, a, b, ord, 0 as j, (1::bigint << len(a)) - 1 as state from pairs
+  union all
+  select name, a, b, ord, j + 1, ((state + (state & m)) | (state - (state & m))) & ((1::bigint << len(a)) - 1) from (
+    select *, list_aggregate(list_transform(range(len(a)), lambda i: case when substr(a, i::int + 1, 1) = substr(b, j + 1, 1) then 1::bigint << i else 0::bigint end), 'bit_or') as m
+    from step where j < len(b)
+  )
+), scored as (
+  select name, b, ord, 100.0::double * 2 * (len(a) - bit_count(state)) / (len(a) + len(b)) as score from step where j = len(b)
+), ranked as (
+  select *, row_number() over (partition by name order by score desc, ord, b) as place from scored
+), best as (
+  select s.name, s.initial, coalesce(x.score, 0.0::double) as score, y.score as second, x.b as best
+  from still s left join ranked x on x.name = s.name and x.place = 1 left join ranked y on y.name = s.name and y.place = 2
+), fits as (
+  select b.name, b.score, b.second, count(k.player_id) as n, min(k.player_id) as player_id, min(k.full_name) as full_name
+  from best b left join known k on k.surname = b.best and (b.initial = '' or b.initial = k.initial) group by all
+), judged as (select *, score >= 92 and (second is null or score - second >= 5) and n = 1 as win from fits)
+select t.name as tennis_data_name, t.surname as tennis_data_surname, t.initial as tennis_data_initial,
+  case when j.win then j.full_name when t.surname != '' and t.n = 1 then t.full_name end as sackmann_name,
+  case when j.win then j.player_id when t.surname != '' and t.n = 1 then t.player_id end as player_id,
+  case when j.win then 'fuzzy_surname' when j.name is not null then 'fuzzy_ambiguous_or_low_score' when t.surname = '' then 'invalid_name'
+    when t.n = 1 then 'exact_surname_initial' else 'ambiguous_surname_initial' end as match_method,
+  case when j.name is not null then j.score when t.surname != '' then 100.0::double end as score, j.second as second_score
+from tried t left join judged j on j.name = t.name"""
+
+
+@query(_FUZZY)
 def q_name_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ladder, near spellings included."""
     return entity.resolve_names(_names(spark, sf_dir), _players(spark, sf_dir))
