@@ -194,6 +194,7 @@ def tokenized(docs: DataFrame, path: str) -> tuple[DataFrame, int]:
 
 def _counter(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         df = np.zeros(size, np.int64)
         for batch in batches:
             for ids in batch.column(0):
@@ -278,6 +279,7 @@ def _packer(df: np.ndarray, n: int, mean: float, window: int):
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         part, packer, held, size = None, None, [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -292,7 +294,6 @@ def _packer(df: np.ndarray, n: int, mean: float, window: int):
                     yield from flush()
                     size = 0
                 if own != part:
-                    release()
                     part, packer = own, Packer(own << 40, idf, mean, window)
                 held.append((doc_id, np.frombuffer(ids.as_py(), "<u2")))
                 size += len(held[-1][1])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import math
 from collections.abc import Iterator
 
@@ -150,7 +151,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: in
 
 
 def release() -> None:
-    """Give freed memory back to the system: Python workers live on between tasks and share an executor's memory."""
+    """Give freed memory back to the system: Python workers live on between tasks and share an executor's memory.
+
+    Functions that came with earlier tasks, and the tables they made, hang together in cycles; only a collection frees them.
+    """
+    gc.collect()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
@@ -159,6 +164,7 @@ def release() -> None:
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The rows of batches in smaller ones, so that little is held as Python objects at a time."""
+    release()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

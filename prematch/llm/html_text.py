@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, hot_keys, shuffle_parts, slices, text_buffer, word_hashes, words_of
+from .common import HOT_SHARE, hot_keys, release, shuffle_parts, slices, text_buffer, word_hashes, words_of
 from .url_lists import host_of
 
 #: Depth of the suffix array: substrings of at least so many words count as long.
@@ -206,6 +206,7 @@ _SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in order of (host, chunk): texts of each run of one host, in groups of GROUP_WORDS words at most."""
+    release()
     opener = zstandard.ZstdDecompressor()
     held: list[tuple] = []
     key, size = None, 0

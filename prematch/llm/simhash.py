@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hot_keys, join_hot, shuffle_parts, slices, text_buffer, written
+from .common import hot_keys, join_hot, release, shuffle_parts, slices, text_buffer, written
 from .graph import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -155,6 +155,7 @@ def tile_links(bits: np.ndarray, ones: np.ndarray, split: int = 0, radius: int =
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in order of (tile, i, j): compare each run of equal ones, holding one run at a time."""
+    release()
     held: list[pa.RecordBatch] = []
 
     def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
