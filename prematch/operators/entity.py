@@ -44,17 +44,17 @@ def _normal(c: str, ascii_only: bool):
     return scalars.ascii_words(c) if ascii_only else scalars.normal_name_udf(F.col(c))
 
 
-def resolve_names(names: DataFrame, players: DataFrame, fuzzy: bool = True, threshold: float = 92.0, margin: float = 5.0, ascii_only: bool = False, order: str = "player_id") -> DataFrame:
+def resolve_names(names: DataFrame, players: DataFrame, fuzzy: bool = True, threshold: float = 92.0, margin: float = 5.0, ascii_only: bool = False, order: str = "player_id", all_scores: bool = False) -> DataFrame:
     """One review row (REVIEW) per name; player_id is set where exactly one player fits.
 
     names (name) are "Surname I.", players (player_id, full_name) "First
     Surname".  A surname with exactly one player of that initial (or no
     initial given) resolves, several are ambiguous.  Only names without any
-    such player go on to the fuzzy step, where they meet the distinct surnames
-    of the same or nearly the same length, grouped by length, never all of
-    them: a surname whose length alone keeps the ratio below
-    threshold - margin can neither win nor spoil a win; for names that do not
-    resolve the scores of the report are those among such surnames.
+    such player go on to the fuzzy step, where they meet the distinct surnames that
+    can reach threshold - margin: any other can neither win nor spoil a win.
+    For names that stay unresolved the report gives the scores of such
+    surnames, 0 if there is none; with all_scores every name is compared with every
+    surname, for the sake of those scores alone.
     Ties of scores go to the surname of the player first in ``order``.
     """
     surname, initial = scalars.surname_first("_n")
@@ -79,7 +79,7 @@ def resolve_names(names: DataFrame, players: DataFrame, fuzzy: bool = True, thre
     if not fuzzy:
         return exact
     open_names = exact.where("match_method = 'unmatched'").select("tennis_data_name", "tennis_data_surname", "tennis_data_initial")
-    ranked = fuzzy_candidates(open_names, known, threshold - margin)
+    ranked = fuzzy_candidates(open_names, known, threshold - margin, all_scores)
     own = known.where(F.col("surname").isNotNull()).select("player_id", "full_name", F.col("surname").alias("best"), F.col("initial").alias("_i"))
     fit = (F.col("tennis_data_initial") == "") | (F.col("tennis_data_initial") == F.col("_i"))
     tried = ranked.join(own, "best", "left").groupBy("tennis_data_name").agg(F.first("score").alias("score"), F.first("second").alias("second"), F.count_if(fit & F.col("player_id").isNotNull()).alias("fits"), F.min(F.when(fit, F.col("player_id"))).alias("pid"), F.min(F.when(fit, F.col("full_name"))).alias("pname"))
@@ -98,25 +98,41 @@ def resolve_names(names: DataFrame, players: DataFrame, fuzzy: bool = True, thre
     )
 
 
-def fuzzy_candidates(names: DataFrame, known: DataFrame, floor: float) -> DataFrame:
-    """names with the best surname, its score and the second score, of all surnames whose length allows at least ``floor``.
+def _near_pairs(names: DataFrame, surnames: DataFrame, floor: float) -> DataFrame:
+    """names with every surname that a ratio of ``floor`` allows, found by equality.
 
-    The ratio is at most 200 * min(la, lb) / (la + lb), so only lengths within
-    a factor of each other are compared: names are sent to those lengths and
-    meet the surnames there by an equi-join.
+    At such a ratio two words are at most k = (1 - floor) * (la + lb) letters
+    taken out or put in apart, so of k + 1 pieces of a name one stands in the
+    surname untouched, at most k places off: its first two letters meet the
+    surname's pairs of letters of that length, in about that place.
     """
-    surnames = known.groupBy("surname").agg(F.min("_order").alias("_order")).withColumn("_len", F.length("surname"))
-    n, f = F.length("tennis_data_surname"), max(floor, 1.0) / 100
-    low, high = F.ceil(n * f / (2 - f)), F.floor(n * (2 - f) / f)
-    spread = names.withColumn("_len", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-    scored = spread.join(surnames, "_len").withColumn("score", scalars.indel_ratio_udf("tennis_data_surname", "surname"))
+    f = max(floor, 1.0) / 100
+    n = F.length("tennis_data_surname")
+    low, high = F.ceil(n * f / (2 - f)).cast("int"), F.floor(n * (2 - f) / f).cast("int")
+    cut = names.withColumn("_len", F.explode(F.sequence(low, high))).withColumn("_k", F.floor((n + F.col("_len")) * (1 - f) + 1e-9).cast("int"))
+    cut = cut.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k"))))
+    at = lambda i: F.floor(i * n / (F.col("_k") + 1)).cast("int")
+    cut = cut.withColumns({"_from": at(F.col("_i")), "_to": at(F.col("_i") + 1)})
+    cut = cut.withColumn("_pair", F.substr("tennis_data_surname", F.col("_from") + 1, F.least(F.lit(2), F.col("_to") - F.col("_from"))))
+    letters = surnames.withColumn("_len", F.length("surname")).withColumn("_at", F.explode(F.sequence(F.lit(1), F.greatest(F.col("_len") - 1, F.lit(1)))))
+    letters = letters.withColumn("_pair", F.substr("surname", F.col("_at"), F.lit(2)))
+    met = cut.join(letters, ["_len", "_pair"]).where(F.abs(F.col("_at") - 1 - F.col("_from")) <= F.col("_k"))
+    return met.select(*names.columns, "surname", "_order").distinct()
+
+
+def fuzzy_candidates(names: DataFrame, known: DataFrame, floor: float, all_scores: bool = False) -> DataFrame:
+    """names with the best surname, its score and the second score, of those that reach ``floor`` (of all with all_scores)."""
+    surnames = known.groupBy("surname").agg(F.min("_order").alias("_order"))
+    pairs = names.crossJoin(surnames) if all_scores else _near_pairs(names, surnames, floor)
+    scored = pairs.withColumn("score", scalars.indel_ratio_udf("tennis_data_surname", "surname"))
+    if not all_scores:
+        scored = scored.where(F.col("score") >= floor)
     at = Window.partitionBy("tennis_data_name").orderBy(F.col("score").desc(), "_order", "surname")
     top = scored.withColumn("_at", F.row_number().over(at)).where("_at <= 2")
-    best = top.groupBy("tennis_data_name", "tennis_data_surname", "tennis_data_initial").agg(
-        F.max(F.when(F.col("_at") == 1, F.col("surname"))).alias("best"), F.max(F.when(F.col("_at") == 1, F.col("score"))).alias("score"), F.max(F.when(F.col("_at") == 2, F.col("score"))).alias("second")
-    )
-    # a name without any surname of such a length still went through the step
-    return names.join(best.drop("tennis_data_surname", "tennis_data_initial"), "tennis_data_name", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    pick = lambda i, c: F.max(F.when(F.col("_at") == i, F.col(c)))
+    best = top.groupBy("tennis_data_name").agg(pick(1, "surname").alias("best"), pick(1, "score").alias("score"), pick(2, "score").alias("second"))
+    # a name without such a surname still went through the step
+    return names.join(best, "tennis_data_name", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def attach_ids(matches: DataFrame, review: DataFrame) -> DataFrame:

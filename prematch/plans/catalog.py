@@ -429,7 +429,7 @@ def q_name_resolution_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity.resolve_names(_names(spark, sf_dir), _players(spark, sf_dir), fuzzy=False, ascii_only=True)
 
 
-#: Similarity by a bit-parallel common subsequence, one step per letter; lengths that cannot reach 87 are left out, as 92 less the margin of 5.
+#: Similarity by a bit-parallel common subsequence, one step per letter; scores under 87, 92 less the margin of 5, are left out.
 _FUZZY = f"""with recursive {_PARTS}, {_KNOWN}, tried as (
   select p.name, p.surname, p.initial, count(k.player_id) as n, min(k.player_id) as player_id, min(k.full_name) as full_name
   from parts p left join known k on p.surname = k.surname and k.surname != '' and (p.initial = '' or p.initial = k.initial) group by all
@@ -448,7 +448,7 @@ pairs as (
 ), scored as (
   select name, b, ord, 100.0::double * 2 * (len(a) - bit_count(state)) / (len(a) + len(b)) as score from step where j = len(b)
 ), ranked as (
-  select *, row_number() over (partition by name order by score desc, ord, b) as place from scored
+  select *, row_number() over (partition by name order by score desc, ord, b) as place from scored where score >= 87
 ), best as (
   select s.name, s.initial, coalesce(x.score, 0.0::double) as score, y.score as second, x.b as best
   from still s left join ranked x on x.name = s.name and x.place = 1 left join ranked y on y.name = s.name and y.place = 2

@@ -155,6 +155,20 @@ def test_name_ladder_fuzzy(spark):
     assert got["Herbert P.H."].match_method == "fuzzy_ambiguous_or_low_score" and got["..."].match_method == "invalid_name"
 
 
+def test_near_surnames_are_all_found(spark):
+    import random
+
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(250)})
+    names = spark.createDataFrame([(w, w, "") for w in words[:120]], "tennis_data_name string, tennis_data_surname string, tennis_data_initial string")
+    known = spark.createDataFrame([(w, w) for w in words[60:]], "surname string, _order string")
+    got = {(r.tennis_data_surname, r.surname) for r in entity._near_pairs(names, known, 87.0).collect()}
+    want = {(a, b) for a in words[:120] for b in words[60:] if scalars.indel_ratio(a, b) >= 87.0}
+    assert want <= got and len(want) > 60
+    a, b = (entity.fuzzy_candidates(names, known, 87.0, all_scores=x).where("score >= 87").select("tennis_data_name", "best", "score").collect() for x in (True, False))
+    assert sorted(a) == sorted(b)
+
+
 def test_players(spark):
     rows = spark.createDataFrame([(" 7 ", "Ana", "Ost", "U", "180", "19900131"), ("7", "Zoe", "B", "R", "x", "bad")], "player_id string, name_first string, name_last string, hand string, ht string, dob string")
     (one,) = entity.player_dimension(rows).collect()
