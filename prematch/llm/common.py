@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prematch.sources.shared import written  # noqa: F401  for the operators
@@ -17,7 +17,7 @@ from prematch.sources.shared import written  # noqa: F401  for the operators
 #: A key counts as hot above this share of all rows, so at most 1 / HOT_SHARE keys are hot.
 HOT_SHARE = 1 / 1000
 #: Text bytes that one Python task holds at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Text bytes of all the batches that one task works through, at least as many tasks as shuffle partitions.
 TASK_BYTES = 128 << 20
 
@@ -33,18 +33,18 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def in_batches(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:
-    """docs (doc_id, text, ...) with a column ``batch`` (by a hash of doc_id) before them, dealt out by it; as many batches as the text bytes call for.
+def in_batches(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int, Column]:
+    """docs (doc_id, text, ...) with a column ``batch`` (by a hash of doc_id) before them, dealt out by it; also how many partitions it has, and the batch of a doc_id.
 
-    The frame is meant to be used several times within one plan: Spark then
+    There are as many batches as the text bytes call for.  The frame is meant to be used several times within one plan: Spark then
     shuffles the text once and reads that exchange again.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     parts = max(2, shuffle_parts(spark), math.ceil(total / TASK_BYTES))
     batches = max(parts, math.ceil(total / batch_bytes))
-    keyed = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), "*")
-    return keyed.repartition(parts, "batch"), parts
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch")
+    return docs.select(batch, "*").repartition(parts, "batch"), parts, batch
 
 
 def join_hot(big: DataFrame, small: DataFrame, key: str, hot: list, how: str = "left") -> DataFrame:
@@ -150,12 +150,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: in
     return out
 
 
-def release() -> None:
+def release(collect: bool = True) -> None:
     """Give freed memory back to the system: Python workers live on between tasks and share an executor's memory.
 
     Functions that came with earlier tasks, and the tables they made, hang together in cycles; only a collection frees them.
     """
-    gc.collect()
+    if collect:
+        gc.collect()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
@@ -168,7 +169,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-    release()
+    release(False)
 
 
 def first_of_each(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -96,10 +96,11 @@ class _Batch:
         doc = self.doc_of_word[words]
         return self.ids[doc], (words - self.first_word[doc]).astype(np.int32)
 
-    def index_rows(self, batch: int) -> dict:
+    def index_rows(self) -> pa.Table:
+        """One row per anchor: its block and first place; no block if it has several."""
         rows = np.flatnonzero(self.anchor_first == np.arange(len(self.anchor_first)))
         ids, pos = self.place(self.starts_at[self.block_from[rows]])
-        return {"batch": np.full(len(rows), batch, np.int32), "anchor": signed(self.anchor[rows]), "block": signed(self.block[rows]), "several": self.several[rows], "doc_id": ids, "start": pos}
+        return pa.table({"anchor": signed(self.anchor[rows]), "block": pa.array(signed(self.block[rows]), mask=self.several[rows]), "doc_id": ids, "start": pos})
 
     def settle(self, answers: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """With the index's answers: (answer row or -1 for each block's anchor, which blocks are asked window by window)."""
@@ -132,29 +133,47 @@ def _answers(table: pa.Table, stage: int) -> dict[str, np.ndarray]:
     return {c: v[mine] for c, v in cols.items()}
 
 
-_INDEX_ROWS = "batch int, anchor long, block long, several boolean, doc_id long, start int"
-_WINDOW_ROWS = "batch int, hash long, anchor long, doc_id long, start int"
+_INDEX_ROWS = "anchor long, block long, doc_id long, start int"
+_WINDOW_ROWS = "hash long, anchor long, doc_id long, start int"
 
 
 def _parsed() -> T.StructType:
     return T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start:int,length:int,ref_doc:long,ref_start:int>>")
 
 
+def _beginning():
+    """A call that collects, once per task, what earlier tasks left behind."""
+    begun: list = []
+
+    def begin() -> None:
+        if not begun:
+            release()
+            begun.append(True)
+
+    return begin
+
+
 def _indexer(window: int):
+    begin = _beginning()
+
     def index(table: pa.Table) -> pa.Table:
+        begin()
         batch = _Batch(table, window)
-        made = pa.table(batch.index_rows(table.column("batch")[0].as_py()))
+        made = batch.index_rows()
         del batch
-        release()
+        release(False)
         return made
 
     return index
 
 
 def _asker(window: int):
-    schema = pa.schema([("batch", pa.int32()), ("hash", pa.int64()), ("anchor", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32())])
+    schema = pa.schema([("hash", pa.int64()), ("anchor", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32())])
+
+    begin = _beginning()
 
     def ask(docs: pa.Table, answered: pa.Table) -> pa.Table:
+        begin()
         if not docs.num_rows:
             return schema.empty_table()
         batch = _Batch(docs, window)
@@ -164,10 +183,9 @@ def _asker(window: int):
         first, _ = first_of_each(hashes, anchors)
         mine = np.flatnonzero(first == np.arange(len(first)))
         ids, pos = batch.place(batch.starts_at[windows[mine]])
-        number = docs.column("batch")[0].as_py()
-        made = pa.table({"batch": np.full(len(mine), number, np.int32), "hash": signed(hashes[mine]), "anchor": signed(anchors[mine]), "doc_id": ids, "start": pos}, schema=schema)
+        made = pa.table({"hash": signed(hashes[mine]), "anchor": signed(anchors[mine]), "doc_id": ids, "start": pos}, schema=schema)
         del batch
-        release()
+        release(False)
         return made
 
     return ask
@@ -177,7 +195,10 @@ def _parser(window: int, layout: str, carry: bool):
     factor = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())])
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("factors", pa.list_(factor))])
 
+    begin = _beginning()
+
     def parse(docs: pa.Table, answered: pa.Table) -> pa.Table:
+        begin()
         if not docs.num_rows:
             return (schema.append(docs.schema.field("carried")) if carry else schema).empty_table()
         batch = _Batch(docs, window)
@@ -205,7 +226,7 @@ def _parser(window: int, layout: str, carry: bool):
         if carry:
             made = made.append_column(batch.docs.schema.field("carried"), batch.docs.column("carried"))
         del batch
-        release()
+        release(False)
         return made
 
     return parse
@@ -298,27 +319,27 @@ def parse_corpus(docs: DataFrame, window: int = WINDOW, layout: str = "text", ca
     named = [F.coalesce(F.col("doc_id").cast("long"), low).alias("doc_id"), F.col("text").cast("string").alias("text")]
     if carry:
         named.append(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"))
-    dealt, parts = in_batches(docs.select(*named))
+    dealt, parts, batch = in_batches(docs.select(*named))
     rows = dealt.groupBy("batch").applyInArrow(_indexer(window), _INDEX_ROWS)
     by = Window.partitionBy("anchor")
     seen = rows.select(
         "*",
         F.count(F.lit(1)).over(by).alias("n"),
+        F.count("block").over(by).alias("n_blocks"),
         F.min("block").over(by).alias("least"),
         F.max("block").over(by).alias("most"),
-        F.max("several").over(by).alias("mixed"),
         F.min(F.struct("doc_id", "start")).over(by).alias("ref"),
-    ).where((F.col("n") > 1) & ~F.col("several"))
-    ask = F.col("mixed") | (F.col("least") != F.col("most"))
+    ).where("n > 1 and block is not null")
+    ask = (F.col("n_blocks") < F.col("n")) | (F.col("least") != F.col("most"))
     first = (F.col("ref.doc_id") == F.col("doc_id")) & (F.col("ref.start") == F.col("start"))
     known = seen.where(ask | ~first).select(
-        "batch", F.lit(1).alias("stage"), F.col("anchor").alias("key"), F.when(ask, _ASK).otherwise(_COPY).alias("kind"), F.col("ref.doc_id").alias("ref_doc"), F.col("ref.start").alias("ref_start")
+        batch, F.lit(1).alias("stage"), F.col("anchor").alias("key"), F.when(ask, _ASK).otherwise(_COPY).alias("kind"), F.col("ref.doc_id").alias("ref_doc"), F.col("ref.start").alias("ref_start")
     )
     known = known.repartition(parts, "batch")
     asked = dealt.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(_asker(window), _WINDOW_ROWS)
     by = Window.partitionBy("hash", "anchor")
     later = asked.select("*", F.min(F.struct("doc_id", "start")).over(by).alias("ref")).where((F.col("ref.doc_id") != F.col("doc_id")) | (F.col("ref.start") != F.col("start")))
-    found = later.select("batch", F.lit(2).alias("stage"), F.col("hash").alias("key"), F.lit(_COPY).alias("kind"), F.col("ref.doc_id").alias("ref_doc"), F.col("ref.start").alias("ref_start"))
+    found = later.select(batch, F.lit(2).alias("stage"), F.col("hash").alias("key"), F.lit(_COPY).alias("kind"), F.col("ref.doc_id").alias("ref_doc"), F.col("ref.start").alias("ref_start"))
     answers = known.unionByName(found).repartition(parts, "batch")
     parsed = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_parser(window, layout, bool(carry)), T.StructType([*_parsed().fields, *dealt.schema.fields[3:]]))
     return parsed.withColumn("doc_id", F.when(F.col("doc_id") != low, F.col("doc_id")))
