@@ -15,9 +15,9 @@
 from __future__ import annotations
 
 import math
-import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,8 @@ WINDOW, END = 2048, 1
 #: Size of one index: documents and tokens.
 SHARD_DOCS, SHARD_TOKENS = 512, 1 << 20
 K1, B = 1.2, 0.75
-#: Words whose ids a task remembers.
-CACHE_WORDS = 200_000
+#: Parts of words whose ids a task remembers, before it starts anew.
+CACHE_PARTS = 500_000
 #: Tokens of a part, about (it bounds what last windows can pad), and of the parts that one task works through.
 PART_TOKENS, TASK_TOKENS = 4 << 20, 64 << 20
 
@@ -53,35 +53,6 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
-class Letters(dict):
-    """Run of plain letters (see ``Words``) to its ids: one piece for the model, without the steps before it."""
-
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenize, self.letters = tokenizer.model.tokenize, "".join(byte_letters())
-
-    def __missing__(self, run: bytes) -> bytes:
-        low = run.decode() if run.isascii() else run.decode().lower().encode().decode("latin-1").translate(self.letters)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        found = self.tokenize(low)
-        self[run] = ids = struct.pack(f"<{len(found)}H", *[t.id for t in found])
-        return ids
-
-
-class Others(dict):
-    """Any other bytes without ASCII white space to their ids, by the whole tokenizer."""
-
-    def __init__(self, tokenizer: Tokenizer):
-        self.encode = tokenizer.encode
-
-    def __missing__(self, run: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        found = self.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids
-        self[run] = ids = struct.pack(f"<{len(found)}H", *found)
-        return ids
-
-
 _LETTER, _DIGIT, _OTHER, _WHOLE = 1, 2, 3, 4
 _CLASS = np.full(256, _OTHER, np.uint8)
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 0
@@ -111,8 +82,30 @@ class Words:
 
     def __init__(self, path: str):
         tokenizer = Tokenizer.from_file(path)
-        self.letters, self.others = Letters(tokenizer), Others(tokenizer)
-        self.end = np.array([END], "<u2").tobytes()
+        self.encode, self.tokenize, self.bytes = tokenizer.encode, tokenizer.model.tokenize, "".join(byte_letters())
+        self.forget()
+
+    def forget(self) -> None:
+        """Start with END alone: known parts by hash, ascending, and where their ids lie in the table."""
+        self.known, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.table = np.array([END], "<u2")
+
+    def look_up(self, part: bytes, letters: bool) -> list[int]:
+        """Ids of a run of plain letters, which is one piece for the model, or of anything else, by the whole tokenizer."""
+        if not letters:
+            return self.encode(part.decode("utf-8", "replace"), add_special_tokens=False).ids
+        piece = part.decode() if part.isascii() else part.decode().lower().encode().decode("latin-1").translate(self.bytes)
+        return [t.id for t in self.tokenize(piece)]
+
+    def learn(self, hashes: np.ndarray, parts: list[tuple[bytes, bool]]) -> None:
+        """Add parts that aren't known, by ascending hash."""
+        found = [self.look_up(*p) for p in parts]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        new = np.fromiter(chain.from_iterable(found), np.uint16, int(size.sum()))
+        at = np.searchsorted(self.known, hashes)
+        self.begin = np.insert(self.begin, at, len(self.table) + np.cumsum(size) - size)
+        self.size, self.known = np.insert(self.size, at, size), np.insert(self.known, at, hashes)
+        self.table = np.concatenate([self.table, new])
 
     def parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(bytes, starts, ends, class of each byte): words cut into parts, lower-case but for those that stay whole."""
@@ -142,16 +135,21 @@ class Words:
         new[1:] = hashes[order][1:] != hashes[order][:-1]
         one, which = order[new], np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
-        raw, letters, others = low.tobytes(), self.letters, self.others
-        found = [(letters if k == _LETTER else others)[raw[a:b]] for a, b, k in zip(starts[one].tolist(), ends[one].tolist(), kind[starts[one]].tolist())]
-        found.append(self.end)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 2
-        table, begins = np.frombuffer(b"".join(found), "<u2"), np.cumsum(sizes) - sizes
+        if len(self.known) > CACHE_PARTS:
+            self.forget()
+        mine = hashes[one]
+        at = np.minimum(np.searchsorted(self.known, mine), max(len(self.known) - 1, 0))
+        fresh = np.flatnonzero(self.known[at] != mine) if len(self.known) else np.arange(len(mine))
+        raw = low.tobytes()
+        wanted = zip(starts[one[fresh]].tolist(), ends[one[fresh]].tolist(), (kind[starts[one[fresh]]] == _LETTER).tolist())
+        self.learn(mine[fresh], [(raw[a:b], k) for a, b, k in wanted])
+        at = np.searchsorted(self.known, mine)
+        begins, sizes = np.append(self.begin[at], 0), np.append(self.size[at], 1)
         closes = np.searchsorted(starts, offsets[1:])
-        which = np.insert(which, closes, len(found) - 1)  # END closes each document
+        which = np.insert(which, closes, len(mine))  # END closes each document
         n = sizes[which]
         total = np.cumsum(n)
-        flat = table[np.repeat(begins[which] - total + n, n) + np.arange(total[-1] if len(total) else 0)]
+        flat = self.table[np.repeat(begins[which] - total + n, n) + np.arange(total[-1] if len(total) else 0)]
         return flat, np.diff(total[closes + np.arange(len(closes))], prepend=0)
 
 
@@ -173,7 +171,7 @@ def _tokenizer(path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, direction = Words(path), signs(size)
         powers = 1 << np.arange(direction.shape[1], dtype=np.int64)
-        for piece in slices(batches, 512):
+        for piece in slices(batches, 1024):
             flat, n = words.ids(*text_buffer(piece.column(1)))
             cuts = np.concatenate([[0], np.cumsum(n)])
             keys = [int(((direction[terms_of(flat[a:b])].sum(0, dtype=np.int32) > 0) * powers).sum()) for a, b in zip(cuts, cuts[1:])]
