@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from prematch.llm import bm25_packing, language_id, rlz, simhash, string_tiling
 from prematch.llm.common import table, written
 
+#: Near duplicates: words of a shingle, the similarity that counts, and a radius that pairs of such similarity (about 10 bits apart, give or take 3) hardly ever leave.
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 24
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is certain; the dictionaries come from a bounded sample of those with a language."""
@@ -20,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest doc_id."""
-    return simhash.representatives(docs)
+    return simhash.representatives(docs, SHINGLE, RADIUS, SIMILARITY)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,11 @@ fields and cut into pieces; a pair of pieces whose counts differ by more than
 the radius is skipped, every other pair is compared whole with exclusive-or
 and bit counts.  A tile sends on the edges of a spanning forest, never all its
 pairs, and large tiles are dealt out as pairs of pieces.
+
+With a Jaccard similarity to reach, the radius is too wide for shared fields.
+Tiles are then made by equal bands of MinHash values; pairs within the radius
+are candidates only, and each of their components is settled by the exact
+similarity of its shingle sets.
 """
 
 from __future__ import annotations
@@ -20,13 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hot_keys, join_hot, release, shuffle_parts, slices, text_buffer, written
+from .common import hot_keys, join_hot, mixed, release, shuffle_parts, slices, text_buffer, written
 from .graph import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
 FIELDS = list(combinations(range(4), 2))
 #: Fingerprints of one tile that a task holds against another such piece.
 PIECE = 4096
+#: MinHash values in a band, and bands: at a similarity of 0.8, 3 pairs in a million share none.
+BAND, BANDS = 4, 24
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -153,7 +160,7 @@ def tile_links(bits: np.ndarray, ones: np.ndarray, split: int = 0, radius: int =
     return edges
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], radius: int = RADIUS) -> Iterator[pa.RecordBatch]:
     """Rows come in order of (tile, i, j): compare each run of equal ones, holding one run at a time."""
     release()
     held: list[pa.RecordBatch] = []
@@ -167,7 +174,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for s, e in zip(cuts, cuts[1:]):
             split = int(np.searchsorted(own[s:e], j[s])) if i[s] != j[s] else 0
-            for x, y in tile_links(bits[s:e], ones[s:e], split) if e - s > 1 else ():
+            for x, y in tile_links(bits[s:e], ones[s:e], split, radius) if e - s > 1 else ():
                 a.append(node[s + x])
                 b.append(node[s + y])
         if a:
@@ -191,18 +198,138 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(prints: DataFrame, piece: int = PIECE) -> DataFrame:
     """prints (bits, node), bits distinct, to spanning-forest edges (a, b) of all pairs within the radius."""
-    parts = shuffle_parts(prints.sparkSession)
+    return _linked(_tiles(prints), RADIUS, piece)
+
+
+def _linked(tiles: DataFrame, radius: int, piece: int = PIECE) -> DataFrame:
+    """Tiles (tile, ones, bits, node) to spanning-forest edges (a, b) of each tile's pairs within the radius."""
+    parts = shuffle_parts(tiles.sparkSession)
     by = Window.partitionBy("tile")
-    tiles = _tiles(prints).select("*", F.count(F.lit(1)).over(by).alias("n"), F.row_number().over(by.orderBy("ones", "bits")).alias("at")).where("n > 1")
+    tiles = tiles.select("*", F.count(F.lit(1)).over(by).alias("n"), F.row_number().over(by.orderBy("ones", "bits")).alias("at")).where("n > 1")
     # pieces of a tile in order of population count; a pair of pieces is one unit of work
     own = F.floor((F.col("at") - 1) / piece).cast("int")
     pieces = F.floor((F.col("n") - 1) / piece).cast("int") + 1
     dealt = tiles.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
     pairs = dealt.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "ones", "bits", "node")
-    return pairs.repartition(parts, "tile", "i", "j").sortWithinPartitions("tile", "i", "j", "own", "ones").mapInArrow(_compare, "a long, b long")
+    return pairs.repartition(parts, "tile", "i", "j").sortWithinPartitions("tile", "i", "j", "own", "ones").mapInArrow(lambda batches: _compare(batches, radius), "a long, b long")
+
+
+# --- exact similarity ------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def _sets(batch: pa.RecordBatch, shingle: int) -> list[np.ndarray]:
+    """Distinct shingle hashes of each text of the second column, ascending."""
+    data, offsets = text_buffer(batch.column(1))
+    whole, cuts = data.tobytes(), offsets.tolist()
+    return [np.unique(np.array(_shingle_hashes(whole[a:b], shingle), np.uint64)) for a, b in zip(cuts, cuts[1:])]
+
+
+def _set_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """One number per set of shingles, the same for equal sets."""
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+
+
+def bands(sets: list[np.ndarray]) -> np.ndarray:
+    """BANDS keys per set, each of BAND MinHash values; sets that are alike share some. 0 for empty sets."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    have = np.flatnonzero(sizes)
+    out = np.zeros((len(sets), BANDS), np.uint64)
+    if not len(have):
+        return out
+    flat = np.concatenate(sets)
+    begins = np.concatenate([[0], np.cumsum(sizes[have])[:-1]])
+    factors = mixed(np.arange(1, BANDS * BAND + 1, dtype=np.uint64)) | np.uint64(1)
+    for k in range(BANDS):
+        key = np.full(len(have), k + 1, np.uint64)
+        for a in factors[k * BAND : (k + 1) * BAND]:
+            key = mixed(key ^ np.minimum.reduceat(mixed(flat * a), begins))
+        out[have, k] = key
+    return out
+
+
+def alike_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Spanning-forest edges (row numbers) among all pairs of sets whose Jaccard similarity is ``least`` or more.
+
+    Shingles are ordered from rare to common: two such sets share one of their
+    first n - ceil(least * n) + 1.  Pairs that are joined already are skipped.
+    """
+    n = np.array([len(x) for x in sets], np.int64)
+    values, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.empty(len(values), np.int64)
+    place[np.argsort(count, kind="stable")] = np.arange(len(values))
+    ranked = [np.sort(x) for x in np.split(place[inverse], np.cumsum(n)[:-1])]
+    root, held, edges = np.arange(len(sets)), {}, []
+    for i, own in enumerate(ranked):
+        met = np.zeros(i, bool)
+        first = own[: n[i] - int(np.ceil(least * n[i] - 1e-9)) + 1].tolist()
+        for v in first:
+            if v in held:
+                met[held[v]] = True
+        for j in np.flatnonzero(met).tolist():
+            if root[i] == root[j] or min(n[i], n[j]) < least * max(n[i], n[j]) - 1e-9:
+                continue
+            both = len(np.intersect1d(own, ranked[j], assume_unique=True))
+            if both >= least * (n[i] + n[j] - both) - 1e-9:
+                edges.append((i, j))
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root[root == old] = new
+        for v in first:
+            held.setdefault(v, []).append(i)
+    return edges
+
+
+def _alike(docs: DataFrame, shingle: int, radius: int, least: float) -> DataFrame:
+    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512):
+            sets = _sets(batch, shingle)
+            tiles = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands(sets).view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_set_keys(sets)), pa.array(_fold([x.tolist() for x in sets]).view(np.int64)), tiles], ["doc_id", "node", "bits", "tiles"])
+
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512):
+            sets = _sets(batch, shingle)
+            yield pa.RecordBatch.from_arrays([pa.array(_set_keys(sets)), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of component."""
+        release()
+        now, nodes, sets = None, [], []
+
+        def run() -> Iterator[pa.RecordBatch]:
+            found = alike_links(sets, least) if len(sets) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[e[k]] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            nodes.clear()
+            sets.clear()
+
+        for batch in batches:
+            for component, node, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if component != now:
+                    yield from run()
+                    now = component
+                nodes.append(node)
+                sets.append(np.frombuffer(shingles.as_py(), np.uint64))
+        yield from run()
+
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints = written(named.mapInArrow(profiles, "doc_id long, node long, bits long, tiles array<long>"), "prints")
+    classes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits"), F.first("tiles").alias("tiles"), F.count(F.lit(1)).alias("n")), "classes")
+    tiles = classes.where("least is not null").select(F.explode("tiles").alias("tile"), F.bit_count("bits").cast("int").alias("ones"), "bits", "node").where("tile != 0")
+    candidates = written(components(_linked(tiles, radius)), "candidates")
+    # one document of each candidate set
+    asked = classes.join(candidates, "node", "left_semi").select(F.col("least").alias("doc_id")).distinct()
+    sets = named.join(asked, "doc_id", "left_semi").mapInArrow(whole_sets, "node long, shingles binary")
+    held = sets.join(candidates, "node").groupBy("component", "node").agg(F.first("shingles").alias("shingles"))
+    edges = held.repartition(shuffle_parts(docs.sparkSession), "component").sortWithinPartitions("component", "node").mapInArrow(confirm, "a long, b long")
+    # the edges form a component each; its name is the smallest doc_id of its sets
+    joined = classes.select("node", "least").join(components(edges), "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    named_sets = joined.join(names, "component").select("node", "component_id")
+    hot, _ = hot_keys(classes, "node")
+    return join_hot(prints.select("doc_id", "node", "bits"), named_sets, "node", hot).select("doc_id", "bits", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, jaccard: float | None = None) -> DataFrame:
     """doc_id, bits and component_id for every row of docs (doc_id, text).
 
     Fingerprints (see ``fingerprints``) link at two or fewer differing bits;
@@ -212,7 +339,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     are kept and lend their component no name (a component of null ids alone
     has a null id).  Other columns are ignored, an empty table gives an empty
     result.
+
+    With ``jaccard``, documents link whose sets of ``shingle`` words are that
+    similar; fingerprints (of the sets) within ``radius`` are candidates, and the
+    exact similarity decides.  The set of a text without words is like no
+    other but itself.  Without it, shingle and radius must be the fixed ones.
     """
+    if jaccard is not None:
+        return _alike(docs, shingle, radius, jaccard)
+    if (shingle, radius) != (SHINGLE, RADIUS):
+        raise ValueError("fields are made for the fixed shingle and radius; other ones need jaccard")
     prints = written(fingerprints(docs), "prints")
     classes = written(prints.groupBy("bits").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "classes")
     hot, _ = hot_keys(classes, "bits")
@@ -221,13 +357,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return join_hot(prints, named, "bits", hot).select("doc_id", "bits", "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, jaccard: float | None = None) -> DataFrame:
     """The rows of docs, all columns, whose doc_id names their component: one document of each group of near duplicates.
 
     Of rows that share a doc_id the one with the smallest text stays, a null
     text first; rows with a null doc_id can't be named and stay.
     """
-    near = near_duplicates(docs)
+    near = near_duplicates(docs, shingle, radius, jaccard)
     named = near.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_named")).distinct()
     kept = docs.join(named, F.col("doc_id").cast("long") == F.col("_named"), "left_semi")
     at = F.row_number().over(Window.partitionBy(F.col("doc_id").cast("long")).orderBy("text"))

@@ -78,3 +78,55 @@ def test_order_does_not_matter(spark):
     rows = texts()
     a = sorted(map(str, simhash.near_duplicates(documents(spark, rows, 2)).collect()))
     assert a == sorted(map(str, simhash.near_duplicates(documents(spark, rows[::-1], 5)).collect()))
+
+
+def words_apart(text, at):
+    words = text.split()
+    for k in at:
+        words[k] = f"other{k}"
+    return " ".join(words)
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def alike_rows():
+    from fixtures import prose
+
+    rows = []
+    for g in range(12):
+        base = prose(("alike", g), 60 + 40 * g)
+        rows += [(100 * g + k, words_apart(base, [(17 * j + 5 * k) % (50 + 40 * g) for j in range(k)])) for k in range(7)]
+    return rows
+
+
+def test_similar_documents_against_brute_force(spark):
+    rows = alike_rows()
+    sets = {i: shingles(t) for i, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    # the radius of the query finds few of them
+    assert sum((fingerprint(dict(rows)[a]) ^ fingerprint(dict(rows)[b])).bit_count() > 2 for a, b in pairs) > len(pairs) / 2
+    want = components(sets, pairs)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, rows), 5, 24, 0.8).collect()}
+    assert got == want and len(set(want.values())) < len(rows)
+
+
+def test_pipeline_stage_drops_similar_documents(spark):
+    import corpus_pipeline
+
+    rows = alike_rows()
+    sets = {i: shingles(t) for i, t in rows}
+    group = components(sets, [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    kept = corpus_pipeline.near_dedup(spark, documents(spark, rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in group if group[i] == i)
+
+
+def test_similar_documents_with_odd_rows(docs, empty):
+    near = simhash.representatives(docs, 5, 24, 0.8)
+    ids = [r.doc_id for r in near.collect()]
+    named = [i for i in ids if i is not None]
+    assert len(named) == len(set(named)) and ids.count(None) == 2 and set(range(24)) <= set(named)
+    assert {200, 300, 400} <= set(named) and not {201, 202, 203, 210, 211, 301, 302} & set(named)
+    assert simhash.near_duplicates(empty, 5, 24, 0.8).count() == 0
