@@ -257,24 +257,35 @@ def alike_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     values, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     place = np.empty(len(values), np.int64)
     place[np.argsort(count, kind="stable")] = np.arange(len(values))
-    ranked = [np.sort(x) for x in np.split(place[inverse], np.cumsum(n)[:-1])]
-    root, held, edges = np.arange(len(sets)), {}, []
+    cuts = np.concatenate([[0], np.cumsum(n)])
+    flat = place[inverse]
+    ranked = [np.sort(x) for x in np.split(flat, cuts[1:-1])]
+    firsts = [x[: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1] for x in ranked]
+    # sets by shingle, ascending
+    listed = np.concatenate(firsts)
+    order = np.argsort(listed, kind="stable")
+    holders = np.repeat(np.arange(len(sets)), [len(x) for x in firsts])[order]
+    begins = np.searchsorted(listed[order], np.arange(len(values) + 1))
+    root, mark, edges = np.arange(len(sets)), np.zeros(len(values), bool), []
     for i, own in enumerate(ranked):
-        met = np.zeros(i, bool)
-        first = own[: n[i] - int(np.ceil(least * n[i] - 1e-9)) + 1].tolist()
-        for v in first:
-            if v in held:
-                met[held[v]] = True
-        for j in np.flatnonzero(met).tolist():
-            if root[i] == root[j] or min(n[i], n[j]) < least * max(n[i], n[j]) - 1e-9:
-                continue
-            both = len(np.intersect1d(own, ranked[j], assume_unique=True))
-            if both >= least * (n[i] + n[j] - both) - 1e-9:
+        met = np.zeros(len(sets), bool)
+        for v in firsts[i].tolist():
+            if begins[v + 1] - begins[v] > 1:
+                met[holders[begins[v] : begins[v + 1]]] = True
+        near = np.flatnonzero(met[:i] & (root[:i] != root[i]) & (np.minimum(n[:i], n[i]) >= least * np.maximum(n[:i], n[i]) - 1e-9))
+        if not len(near):
+            continue
+        mark[own] = True
+        if len(near) > i // 4:
+            both = np.add.reduceat(mark[flat[: cuts[i]]], cuts[:i], dtype=np.int64)[near]
+        else:
+            both = np.array([mark[ranked[j]].sum() for j in near.tolist()], np.int64)
+        mark[own] = False
+        for j in near[both >= least * (n[near] + n[i] - both) - 1e-9].tolist():
+            if root[i] != root[j]:
                 edges.append((i, j))
                 old, new = max(root[i], root[j]), min(root[i], root[j])
                 root[root == old] = new
-        for v in first:
-            held.setdefault(v, []).append(i)
     return edges
 
 
