@@ -141,8 +141,8 @@ def _dense(keys: np.ndarray) -> np.ndarray:
 def repeats(words: np.ndarray, left: np.ndarray, page: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     """Which words of concatenated streams are covered by a substring of at least ``depth`` words that distinct pages have.
 
-    words: a number per word; left: words from each to its block's end (a
-    substring lies in one block); page: of each word.  Ranks of suffixes are
+    words: a number per word; left: words from each to its page's end (a
+    substring runs over borders of blocks); page: of each word.  Ranks of suffixes are
     doubled in length until they reach the depth.
     """
     n = len(words)
@@ -177,7 +177,9 @@ def main_texts(pages: list[list[tuple[str, str]]]) -> list[tuple[str, int, int]]
     streams: dict[tuple, int] = {}
     alike = np.array([streams.setdefault(tuple(p), len(streams)) for p in pages], np.int64)
     owner = np.repeat(alike, [len(p) for p in pages])
-    covered = repeats(_dense(word_hashes(data, starts, ends)), first[1:][block] - np.arange(len(starts)), owner[block])
+    sizes = [len(p) for p in pages]
+    page_end = np.repeat(first[np.cumsum(sizes)], sizes)
+    covered = repeats(_dense(word_hashes(data, starts, ends)), page_end[block] - np.arange(len(starts)), owner[block])
     share = np.diff(np.concatenate([[0], np.cumsum(covered)])[first]) / np.maximum(counts, 1)
     repeated, out, k = (share >= COVERED).tolist(), [], 0
     for p in pages:

@@ -67,3 +67,9 @@ def test_large_host_in_chunks(spark):
 
 def test_empty(spark):
     assert H.extract(frame(spark, []).limit(0)).count() == 0
+
+
+def test_runs_of_short_blocks_repeat():
+    menu = [("O", x) for x in ("Start page", "All news", "About us here", "Write to us")]
+    pages = [[*menu, ("O", prose(("short", i), 20))] for i in range(3)]
+    assert [t for t, _, _ in H.main_texts(pages)] == [prose(("short", i), 20) for i in range(3)]
