@@ -48,7 +48,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_at = path
+    return made
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table that ``written`` made of df, if it did; for a frame that nothing will read any more."""
+    path = getattr(df, "_written_at", None)
+    if path:
+        _drop(df.sparkSession, path)
 
 
 def numbered(rows: DataFrame, order: list[str | Column], name: str = "row_number") -> tuple[DataFrame, int]:
