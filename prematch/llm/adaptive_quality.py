@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_BASE, Rolling, mixed, slices, text_buffer, word_hashes, words_of, written
+from .common import number_words, runs_of, slices, text_buffer, words_of, written
 
 REPEAT_WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
@@ -56,9 +56,9 @@ def measure(data: np.ndarray, offsets: np.ndarray, window: int = REPEAT_WINDOW)
     at = np.flatnonzero(first[1:][doc] - np.arange(len(starts)) >= window)
     cover = np.zeros(len(starts) + 1, np.int32)
     if len(at):
-        keys = Rolling(word_hashes(data, starts, ends), WORD_BASE).of(at, at + window) ^ mixed(doc[at].astype(np.uint64) + np.uint64(1))
-        order = np.argsort(keys, kind="stable")
-        same = keys[order][1:] == keys[order][:-1]
+        run = runs_of(number_words(data, starts, ends)[0], window)[at]
+        order = np.argsort(run, kind="stable")  # of equal runs, those of one document follow one another
+        same = (run[order][1:] == run[order][:-1]) & (doc[at[order]][1:] == doc[at[order]][:-1])
         twice = np.zeros(len(at), bool)
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prematch.sources.shared import written  # noqa: F401  for the operators
+from prematch.sources.shared import forget, written  # noqa: F401  for the operators
 
 #: A key counts as hot above this share of all rows, so at most 1 / HOT_SHARE keys are hot.
 HOT_SHARE = 1 / 1000
@@ -134,20 +134,79 @@ class Rolling:
         return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
 
-BYTE_BASE, WORD_BASE = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
+WORD_BASE, OTHER_BASE = 0xAF251AF3B0F025B5, 0xD1342543DE82EF95
+_LANES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: For a word's last bytes: the bits that are its own.
+_OWN = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 20) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; works in stretches of about ``step`` bytes."""
-    out = np.zeros(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + step, "right")))
-        low, high = int(starts[at]), int(ends[to - 1])
-        rolled = Rolling(data[low:high].astype(np.uint64) + np.uint64(1), BYTE_BASE)
-        out[at:to] = rolled.of(starts[at:to] - low, ends[at:to] - low)
-        at = to
-    return out
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on (zeros beyond the end) as one number."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word's bytes.
+
+    Eight bytes at a time go through a bijection, so no pattern of repeats (as
+    with sums of powers) makes two words alike in both.
+    """
+    size, view = ends - starts, eights(data)
+    keys = [mixed(size.astype(np.uint64) ^ c) for c in _LANES]
+    live, at, left = np.arange(len(starts)), starts, size
+    while len(live):
+        here = view[at] & _OWN[np.minimum(left, 8)]
+        for key, c in zip(keys, _LANES):
+            key[live] = mixed((key[live] ^ here) * c + c)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return keys[0], keys[1]
+
+
+def same_bytes(x: np.ndarray, x_at: np.ndarray, y: np.ndarray, y_at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Are the ``size`` bytes from x_at in x those from y_at in y?"""
+    a, b = eights(x), eights(y)
+    same, live, at = np.ones(len(size), bool), np.arange(len(size)), 0
+    while len(live):
+        here = (a[x_at[live] + at] ^ b[y_at[live] + at]) & _OWN[np.minimum(size[live] - at, 8)]
+        same[live[here != 0]] = False
+        at += 8
+        live = live[(here == 0) & (size[live] > at)]
+    return same
+
+
+def number_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(a number for each word, one word of each number, the keys of those): equal numbers mean equal bytes, which are compared."""
+    a, b = word_keys(data, starts, ends)
+    order = np.argsort(a)
+    new = np.ones(len(order), bool)
+    new[1:] = a[order][1:] != a[order][:-1]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    one = order[new]
+    first, size = one[number], ends - starts
+    if not (((b == b[first]) & (size == size[first])).all() and same_bytes(data, starts, data, starts[first], size).all()):
+        # words that share a key: told apart by their bytes
+        raw, known = data.tobytes(), {}
+        number = np.array([known.setdefault(raw[s:e], len(known)) for s, e in zip(starts.tolist(), ends.tolist())], np.int64)
+        one = np.unique(number, return_index=True)[1]
+    return number, one, (a[one], b[one])
+
+
+def runs_of(number: np.ndarray, length: int) -> np.ndarray:
+    """A number for the run of ``length`` values from each place on: equal for equal runs, without hashes.
+
+    Ranks are doubled in length; runs that would leave the sequence count as followed by nothing.
+    """
+    n, size, rank = len(number), 1, number
+    while size < length:
+        step = min(size, length - size)
+        after = np.zeros(n, np.int64)
+        after[: n - step] = rank[step:] + 1
+        rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64)
+        size += step
+    return rank
 
 
 def release(collect: bool = True) -> None:

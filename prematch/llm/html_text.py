@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, hot_keys, release, shuffle_parts, slices, text_buffer, word_hashes, words_of
+from .common import HOT_SHARE, hot_keys, number_words, release, shuffle_parts, slices, text_buffer, words_of
 from .url_lists import host_of
 
 #: Depth of the suffix array: substrings of at least so many words count as long.
@@ -179,7 +179,7 @@ def main_texts(pages: list[list[tuple[str, str]]]) -> list[tuple[str, int, int]]
     owner = np.repeat(alike, [len(p) for p in pages])
     sizes = [len(p) for p in pages]
     page_end = np.repeat(first[np.cumsum(sizes)], sizes)
-    covered = repeats(_dense(word_hashes(data, starts, ends)), page_end[block] - np.arange(len(starts)), owner[block])
+    covered = repeats(number_words(data, starts, ends)[0], page_end[block] - np.arange(len(starts)), owner[block])
     share = np.diff(np.concatenate([[0], np.cumsum(covered)])[first]) / np.maximum(counts, 1)
     repeated, out, k = (share >= COVERED).tolist(), [], 0
     for p in pages:

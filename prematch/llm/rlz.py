@@ -12,9 +12,11 @@ of all documents, finds every earlier occurrence of every window.
 2. Boundaries: blocks under an anchor that is also seen with another block
    text (a repeated passage ends or starts inside) are looked up window by
    window.
-3. Parse: from left to right, a factor starts at a window that also occurs
-   earlier and is extended while the source goes on too.  Words under factors
-   are duplicate spans.
+3. Parse: greedily from left to right, a factor starts at a word whose window
+   also occurs earlier, goes on as long as its source does, and the parse
+   jumps to its end.  Factors have at least ``window`` words and are duplicate
+   spans; at the end of each the windows that run over it are checked too, as
+   the next factor only begins behind it.
 
 Batches resolve repeats inside them before they shuffle anything, so an index
 key has at most one row per batch, however often a passage occurs.
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BASE, Rolling, first_of_each, in_batches, mixed, release, signed, text_buffer, word_hashes, words_of
+from .common import OTHER_BASE, WORD_BASE, Rolling, first_of_each, in_batches, mixed, release, signed, text_buffer, word_keys, words_of
 
 WINDOW, ANCHOR = 20, 8
 _COPY, _ASK = 1, 2
@@ -60,7 +62,9 @@ class _Batch:
         window, spread = self.window, self.window - ANCHOR + 1
         index = np.arange(n)
         left = self.first_word[1:][self.doc_of_word] - index if n else index  # words from here to the document's end
-        rolled = Rolling(word_hashes(self.data, self.starts, self.ends), WORD_BASE)
+        # phrases and windows are hashed from independent keys of the words, so that an anchor with a block or window is 128 bits
+        keys, others = word_keys(self.data, self.starts, self.ends)
+        rolled, self.rolled = Rolling(keys, WORD_BASE), Rolling(others, OTHER_BASE)
         phrase = np.full(n + window, np.iinfo(np.uint64).max, np.uint64)
         there = np.flatnonzero(left >= ANCHOR)
         phrase[there] = rolled.of(there, there + ANCHOR)
@@ -81,8 +85,7 @@ class _Batch:
         s = at[self.block_from]
         self.anchor = least[self.block_from]
         offset = (anchor[self.block_from] - s).astype(np.uint64)
-        self.block = mixed(rolled.of(s, s + self.block_len - 1 + window) ^ offset)
-        self.rolled = rolled
+        self.block = mixed(self.rolled.of(s, s + self.block_len - 1 + window) ^ offset)
         # inside this batch: the first block with the same anchor and text, and whether the anchor has several texts
         self.same, kind = first_of_each(self.anchor, self.block)
         self.anchor_first, group = first_of_each(self.anchor)
@@ -203,19 +206,10 @@ def _parser(window: int, layout: str, carry: bool):
             return (schema.append(docs.schema.field("carried")) if carry else schema).empty_table()
         batch = _Batch(docs, window)
         copied, ref_doc, ref_start = _sources(batch, _answers(answered, 1), _answers(answered, 2))
-        # words under copied windows
-        cover = np.zeros(len(batch.starts) + 1, np.int32)
         at = batch.starts_at[copied]
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + window, -1)
-        gone = np.cumsum(cover[:-1]) > 0
+        head, length = _greedy(batch, at, ref_doc[copied], ref_start[copied])
+        gone = _spans(batch, at, at[head], length)
         per_doc = np.concatenate([[0], np.cumsum(gone)])[batch.first_word]
-        # greedy factors: a new one where the source does not go on
-        new = np.ones(len(at), bool)
-        if len(at):
-            new[1:] = (at[1:] != at[:-1] + 1) | (ref_doc[copied][1:] != ref_doc[copied][:-1]) | (ref_start[copied][1:] != ref_start[copied][:-1] + 1) | (batch.doc_of_word[at[1:]] != batch.doc_of_word[at[:-1]])
-        head = np.flatnonzero(new)
-        length = np.diff(np.append(head, len(at))) + window - 1
         _, pos = batch.place(at[head])
         owners = batch.doc_of_word[at[head]]
         lists = pa.ListArray.from_arrays(
@@ -232,6 +226,40 @@ def _parser(window: int, layout: str, carry: bool):
     return parse
 
 
+def _greedy(batch: _Batch, at: np.ndarray, ref_doc: np.ndarray, ref_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The greedy parse: (index into the copied windows of each factor's first, words of each factor).
+
+    at: first words of the copied windows, ascending, with their earliest places.  From each position the factor goes on as long as its
+    source does; the next one is sought behind its end, and words without a source are stepped over.
+    """
+    goes_on = np.zeros(len(at), bool)
+    if len(at):
+        goes_on[1:] = (at[1:] == at[:-1] + 1) & (ref_doc[1:] == ref_doc[:-1]) & (ref_start[1:] == ref_start[:-1] + 1) & (batch.doc_of_word[at[1:]] == batch.doc_of_word[at[:-1]])
+    chain = np.cumsum(~goes_on) - 1
+    last = (np.append(np.flatnonzero(~goes_on)[1:], len(at)) - 1)[chain] if len(at) else chain
+    end = at[last] + batch.window if len(at) else at  # of the factor that begins at each window
+    jump = np.searchsorted(at, end).tolist()
+    head, k = [], 0
+    while k < len(jump):
+        head.append(k)
+        k = jump[k]
+    head = np.array(head, np.int64)
+    return head, end[head] - at[head]
+
+
+def _spans(batch: _Batch, at: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which words go: those under factors, and at the end of each factor those under copied windows that run over it."""
+    cover = np.zeros(len(batch.starts) + 1, np.int32)
+    np.add.at(cover, first, 1)
+    np.add.at(cover, first + length, -1)
+    if len(at):
+        factor = np.searchsorted(first, at, "right") - 1
+        over = at[at + batch.window > (first + length)[factor]]
+        np.add.at(cover, over, 1)
+        np.add.at(cover, over + batch.window, -1)
+    return np.cumsum(cover[:-1]) > 0
+
+
 def _sources(batch: _Batch, index: dict, asked: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows that also start earlier (indices, ascending), and the earlier place of every window (defined for those)."""
     n = len(batch.starts_at)
@@ -305,7 +333,7 @@ def parse_corpus(docs: DataFrame, window: int = WINDOW, layout: str = "text", ca
     ref_doc, ref_start; in words).  A word goes if some ``window`` consecutive
     words around it also start earlier: in a smaller doc_id, or earlier in the
     same document.  Null text has no words, and null as kept_text; a row
-    with a null doc_id is a document of its own that sorts first.  Documents shorter than a window stay whole.
+    with a null doc_id is a document of its own; these sort first, by a hash of the text (ids below -2^62 stand for them and can't be given).  Documents shorter than a window stay whole.
     Rows that share a doc_id are separate documents, ordered by text (a
     repeated row is removed as a copy).  Of other columns, those named in carry
     come along in a struct ``carried``; an empty table gives an empty result.
@@ -314,9 +342,9 @@ def parse_corpus(docs: DataFrame, window: int = WINDOW, layout: str = "text", ca
     """
     if window <= ANCHOR:
         raise ValueError(f"a window must be longer than {ANCHOR} words")
-    # a null id would be lost on the way through numpy
-    low = F.lit(-(1 << 63)).cast("long")
-    named = [F.coalesce(F.col("doc_id").cast("long"), low).alias("doc_id"), F.col("text").cast("string").alias("text")]
+    # rows without an id get one below all others, so that they are dealt out too
+    own = F.lit(-(1 << 63)) + F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1))
+    named = [F.coalesce(F.col("doc_id").cast("long"), own).alias("doc_id"), F.col("text").cast("string").alias("text")]
     if carry:
         named.append(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"))
     dealt, parts, batch = in_batches(docs.select(*named))
@@ -342,4 +370,7 @@ def parse_corpus(docs: DataFrame, window: int = WINDOW, layout: str = "text", ca
     found = later.select(batch, F.lit(2).alias("stage"), F.col("hash").alias("key"), F.lit(_COPY).alias("kind"), F.col("ref.doc_id").alias("ref_doc"), F.col("ref.start").alias("ref_start"))
     answers = known.unionByName(found).repartition(parts, "batch")
     parsed = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_parser(window, layout, bool(carry)), T.StructType([*_parsed().fields, *dealt.schema.fields[3:]]))
-    return parsed.withColumn("doc_id", F.when(F.col("doc_id") != low, F.col("doc_id")))
+    least = F.lit(-(1 << 62))
+    made = parsed.withColumn("doc_id", F.when(F.col("doc_id") >= least, F.col("doc_id")))
+    known = lambda f: F.struct(f["start"].alias("start"), f["length"].alias("length"), F.when(f["ref_doc"] >= least, f["ref_doc"]).alias("ref_doc"), f["ref_start"].alias("ref_start"))
+    return made.withColumn("factors", F.transform("factors", known))

@@ -24,6 +24,18 @@ def test_facts(spark):
     assert got == sorted(((str(i), *facts(t)) for i, t in rows), key=str)
 
 
+def test_crafted_words_do_not_repeat():
+    import pyarrow as pa
+
+    from prematch.llm.common import text_buffer
+
+    odd = [bin(i).count("1") % 2 for i in range(1 << 10)]
+    one, other = "".join("ab"[x] for x in odd), "".join("ba"[x] for x in odd)
+    rest = "w1 w2 w3 w4 w5 w6 w7"
+    texts = [f"{one} {rest} {other} {rest}", f"{one} {rest} {one} {rest}"]
+    assert A.measure(*text_buffer(pa.array(texts)))["n_repeat_words"].tolist() == [0, 16]
+
+
 def test_fences_follow_the_group(spark):
     clean = [(i, prose(i, 60)) for i in range(200)]
     noisy = [(1000 + i, prose(i, 60).replace(" ", "# ")) for i in range(200)]

@@ -3,16 +3,27 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from fixtures import documents, texts
 
 from prematch.llm import rlz
-from prematch.llm.common import text_buffer, word_hashes, words_of
+from prematch.llm.common import number_words, text_buffer, word_keys, words_of
+
+
+def order(row):
+    """By doc_id; rows without one first, by Spark's hash of their text."""
+    i, text = row
+    if i is None:
+        (h,) = SparkSession.getActiveSession().createDataFrame([(text or "",)], "t string").select(F.xxhash64("t")).first()
+        return (0, h & ((1 << 62) - 1), text is not None, text or "")
+    return (1, i, text is not None, text or "")
 
 
 def brute(rows, window=20):
     """Per row in order: (n_words, n_removed, kept words)."""
     seen, out = set(), []
-    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    for i, text in sorted(rows, key=order):
         words = (text or "").encode().split()
         gone = [False] * len(words)
         for s in range(len(words) - window + 1):
@@ -53,7 +64,7 @@ def test_factors_are_copies(docs):
     for r in parsed(docs):
         for f in r.factors:
             mine = [w[f.start : f.start + f.length] for w in words[r.doc_id]]
-            theirs = [w[f.ref_start : f.ref_start + f.length] for w in words[f.ref_doc if f.ref_doc != -(1 << 63) else None]]
+            theirs = [w[f.ref_start : f.ref_start + f.length] for w in words[f.ref_doc]]
             assert f.length >= 20 and any(m == t and len(m) == f.length for m in mine for t in theirs)
 
 
@@ -75,7 +86,46 @@ def test_word_table():
     starts, ends, first = words_of(data, offsets)
     assert [bytes(data[a:b]) for a, b in zip(starts, ends)] == [b"ab", b"cd", b"ef", b"gh"]
     assert first.tolist() == [0, 2, 2, 3, 3, 4]
-    assert (word_hashes(data, starts, ends, step=2) == word_hashes(data, starts, ends)).all() and len(np.unique(word_hashes(data, starts, ends))) == 4
+    assert len(np.unique(word_keys(data, starts, ends)[0])) == 4
+
+
+def thue_morse(n):
+    """The word of n letters and its complement: sums of powers modulo 2^64 can't tell them apart from 2^10 letters on."""
+    odd = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in odd), "".join("ba"[x] for x in odd)
+
+
+@pytest.mark.parametrize("n", [1 << 10, 1 << 11, 1 << 12])
+def test_crafted_words_are_told_apart(spark, n):
+    one, other = thue_morse(n)
+    data, offsets = text_buffer(pa.array([f"{one} {other} {one} x", f"{other}x {other}"]))
+    starts, ends, _ = words_of(data, offsets)
+    for key in word_keys(data, starts, ends):
+        assert len(np.unique(key)) == 4
+    number, first, _ = number_words(data, starts, ends)
+    assert number[0] == number[2] != number[1] and number[1] == number[5] and len(first) == 4
+    rest = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, f"{one} {rest}"), (2, f"{other} {rest}")]
+    got = parsed(documents(spark, rows), layout="words")
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == brute(rows)
+
+
+def test_numbers_where_keys_collide(monkeypatch):
+    from prematch.llm import common
+
+    monkeypatch.setattr(common, "word_keys", lambda data, starts, ends: (np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)))
+    data, offsets = text_buffer(pa.array(["ab cd ab", "cd abcdefghij abcdefghik"]))
+    starts, ends, _ = words_of(data, offsets)
+    assert common.number_words(data, starts, ends)[0].tolist() == [0, 1, 0, 1, 2, 3]
+
+
+def test_removal_comes_from_factors(docs):
+    """Without factors and their boundaries nothing is removed; with them, each removed word lies under one or runs over its end."""
+    for r in parsed(docs, layout="words"):
+        under = sum(f.length for f in r.factors)
+        assert (r.n_removed == 0) == (under == 0) and under <= r.n_removed <= under + 19 * len(r.factors)
+        ends = [(f.start, f.start + f.length) for f in r.factors]
+        assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
 
 
 def test_window_length(docs):
