@@ -1,15 +1,15 @@
-"""Packing by lexical retrieval: documents fill fixed windows together with their BM25 neighbours.
+"""Packing by lexical retrieval: seed documents fill windows with their BM25 neighbours out of the whole corpus.
 
 1. Every document is tokenized once, and the tokens are written to the shared folder.
 2. Document frequencies of all token ids, over the whole corpus, make the term
    statistics: one number per vocabulary entry, a size that the corpus doesn't change.
-3. Documents are ordered by a lexical signature, so that similar ones come
-   together, and dealt out in parts of about equal size.  Each part is cut
-   into shards with an inverted BM25 index each.
-4. A window starts with a seed document.  The index ranks the shard's unused
-   documents against it, and they fill the window in that order; the last one
-   is cut, and its rest starts the next window.  A window that a shard leaves
-   open is filled on from the next shard, so only the last one of a part is padded.
+3. Every document whose id is divisible by SEED_EVERY is a seed.  The corpus is
+   an index in shards of SHARD_DOCS documents, each laid out as BM25 weights by term; every
+   shard is asked with all seeds, in blocks of bounded size.  A document that
+   several seeds find goes to the one it scores highest with, so it is used once.
+4. Documents are ordered by (seed, score) and dealt out in ranges of that order.
+   A seed and then its neighbours, the best first, fill windows; the last document of a window
+   is cut, and its rest starts the next one, so only the last window of a task is padded.
 """
 
 from __future__ import annotations
@@ -25,16 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import mixed, release, shuffle_parts, slices, text_buffer, word_hashes, words_of, written
+from .common import forget, number_words, release, same_bytes, shuffle_parts, slices, text_buffer, words_of, written
 
 WINDOW, END = 2048, 1
-#: Size of one index: documents and tokens.
-SHARD_DOCS, SHARD_TOKENS = 512, 1 << 20
+#: Documents that ask, those whose id it divides, and documents of one shard of the index.
+SEED_EVERY, SHARD_DOCS = 100, 512
+#: Bytes of the matrix that a block of seeds makes in a task.
+BLOCK_BYTES = 64 << 20
 K1, B = 1.2, 0.75
 #: Parts of words whose ids a task remembers, before it starts anew.
 CACHE_PARTS = 500_000
-#: Tokens of a part, about (it bounds what last windows can pad), and of the parts that one task works through.
-PART_TOKENS, TASK_TOKENS = 4 << 20, 64 << 20
+#: Tokens that one task packs, at most about, and windows, at least about: it pads one of them.
+TASK_TOKENS, TASK_WINDOWS = 16 << 20, 64
 
 
 def vocabulary_path(path: str | None = None) -> str:
@@ -86,9 +88,10 @@ class Words:
         self.forget()
 
     def forget(self) -> None:
-        """Start with END alone: known parts by hash, ascending, and where their ids lie in the table."""
-        self.known, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.table = np.array([END], "<u2")
+        """Start with END alone.  Known parts, by ascending key: their second key, bytes (in the pool) and ids (in the table)."""
+        self.known, self.other = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.lies, self.long, self.begin, self.size = (np.zeros(0, np.int64) for _ in range(4))
+        self.pool, self.table = np.zeros(0, np.uint8), np.array([END], "<u2")
 
     def look_up(self, part: bytes, letters: bool) -> list[int]:
         """Ids of a run of plain letters, which is one piece for the model, or of anything else, by the whole tokenizer."""
@@ -97,15 +100,35 @@ class Words:
         piece = part.decode() if part.isascii() else part.decode().lower().encode().decode("latin-1").translate(self.bytes)
         return [t.id for t in self.tokenize(piece)]
 
-    def learn(self, hashes: np.ndarray, parts: list[tuple[bytes, bool]]) -> None:
-        """Add parts that aren't known, by ascending hash."""
+    def _ids_of(self, parts: list[tuple[bytes, bool]]) -> tuple[np.ndarray, np.ndarray]:
+        """Put the ids of parts into the table: (where, how many)."""
         found = [self.look_up(*p) for p in parts]
         size = np.fromiter(map(len, found), np.int64, len(found))
-        new = np.fromiter(chain.from_iterable(found), np.uint16, int(size.sum()))
-        at = np.searchsorted(self.known, hashes)
-        self.begin = np.insert(self.begin, at, len(self.table) + np.cumsum(size) - size)
-        self.size, self.known = np.insert(self.size, at, size), np.insert(self.known, at, hashes)
-        self.table = np.concatenate([self.table, new])
+        begin = len(self.table) + np.cumsum(size) - size
+        self.table = np.concatenate([self.table, np.fromiter(chain.from_iterable(found), np.uint16, int(size.sum()))])
+        return begin, size
+
+    def _known(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Where each part is among the known ones, by its bytes; -1 if it is not."""
+        if not len(self.known):
+            return np.full(len(starts), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.known, keys[0]), len(self.known) - 1)
+        same = (self.known[at] == keys[0]) & (self.other[at] == keys[1]) & (self.long[at] == ends - starts)
+        hit = np.flatnonzero(same)
+        same[hit] = same_bytes(low, starts[hit], self.pool, self.lies[at[hit]], self.long[at[hit]])
+        return np.where(same, at, -1)
+
+    def _learn(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: tuple[np.ndarray, np.ndarray], letters: np.ndarray) -> None:
+        """Add parts whose first keys are distinct and not known."""
+        order = np.argsort(keys[0])
+        starts, ends, letters = starts[order], ends[order], letters[order]
+        raw = [low[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
+        begin, size = self._ids_of(list(zip(raw, letters.tolist())))
+        long = ends - starts
+        at = np.searchsorted(self.known, keys[0][order])
+        for name, new in {"known": keys[0][order], "other": keys[1][order], "lies": len(self.pool) + np.cumsum(long) - long, "long": long, "begin": begin, "size": size}.items():
+            setattr(self, name, np.insert(getattr(self, name), at, new))
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(raw), np.uint8)])
 
     def parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(bytes, starts, ends, class of each byte): words cut into parts, lower-case but for those that stay whole."""
@@ -129,36 +152,27 @@ class Words:
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents of a buffer, END after each; how many each has)."""
         low, starts, ends, kind = self.parts(data, offsets)
-        hashes = word_hashes(low, starts, ends)
-        order = np.argsort(hashes)
-        new = np.ones(len(order), bool)
-        new[1:] = hashes[order][1:] != hashes[order][:-1]
-        one, which = order[new], np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
+        which, one, keys = number_words(low, starts, ends)
         if len(self.known) > CACHE_PARTS:
             self.forget()
-        mine = hashes[one]
-        at = np.minimum(np.searchsorted(self.known, mine), max(len(self.known) - 1, 0))
-        fresh = np.flatnonzero(self.known[at] != mine) if len(self.known) else np.arange(len(mine))
-        raw = low.tobytes()
-        wanted = zip(starts[one[fresh]].tolist(), ends[one[fresh]].tolist(), (kind[starts[one[fresh]]] == _LETTER).tolist())
-        self.learn(mine[fresh], [(raw[a:b], k) for a, b, k in wanted])
-        at = np.searchsorted(self.known, mine)
+        own = (low, starts[one], ends[one])
+        letters = kind[own[1]] == _LETTER
+        fresh = np.flatnonzero(~np.isin(keys[0], self.known))
+        fresh = fresh[np.unique(keys[0][fresh], return_index=True)[1]]
+        self._learn(low, own[1][fresh], own[2][fresh], (keys[0][fresh], keys[1][fresh]), letters[fresh])
+        at = self._known(*own, keys)
         begins, sizes = np.append(self.begin[at], 0), np.append(self.size[at], 1)
+        odd = np.flatnonzero(at < 0)  # shares its key with another part
+        if len(odd):
+            begins[odd], sizes[odd] = self._ids_of([(low[a:b].tobytes(), k) for a, b, k in zip(own[1][odd].tolist(), own[2][odd].tolist(), letters[odd].tolist())])
         closes = np.searchsorted(starts, offsets[1:])
-        which = np.insert(which, closes, len(mine))  # END closes each document
+        which = np.insert(which, closes, len(one))  # END closes each document
         n = sizes[which]
         total = np.cumsum(n)
         flat = self.table[np.repeat(begins[which] - total + n, n) + np.arange(total[-1] if len(total) else 0)]
         return flat, np.diff(total[closes + np.arange(len(closes))], prepend=0)
 
 
-def signs(size: int, bits: int = 16) -> np.ndarray:
-    """A fixed direction per token id and bit: 1 or -1."""
-    h = mixed(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return ((h[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.int8) * 2 - 1
-
-
 def terms_of(ids: np.ndarray) -> np.ndarray:
     """Distinct ids, ascending."""
     ordered = np.sort(ids)
@@ -167,27 +181,25 @@ def terms_of(ids: np.ndarray) -> np.ndarray:
     return ordered[new]
 
 
-def _tokenizer(path: str, size: int):
+def _tokenizer(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, direction = Words(path), signs(size)
-        powers = 1 << np.arange(direction.shape[1], dtype=np.int64)
+        words = Words(path)
         for piece in slices(batches, 1024):
             flat, n = words.ids(*text_buffer(piece.column(1)))
             cuts = np.concatenate([[0], np.cumsum(n)])
-            keys = [int(((direction[terms_of(flat[a:b])].sum(0, dtype=np.int32) > 0) * powers).sum()) for a, b in zip(cuts, cuts[1:])]
             packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer((2 * cuts).tobytes()), pa.py_buffer(flat.tobytes())])
-            yield pa.RecordBatch.from_arrays([piece.column(0), packed.cast(pa.binary()), pa.array(n), pa.array(keys, pa.int32())], ["doc_id", "ids", "n", "signature"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), packed.cast(pa.binary()), pa.array(n)], ["doc_id", "ids", "n"])
 
     return run
 
 
 def tokenized(docs: DataFrame, path: str) -> tuple[DataFrame, int]:
-    """doc_id, ids (16-bit little-endian, END at the end), n and a lexical signature of every row (null text: END alone), and the vocabulary size."""
+    """doc_id, ids (16-bit little-endian, END at the end) and n of every row (null text: END alone), and the vocabulary size."""
     size = Tokenizer.from_file(path).get_vocab_size()
     if size > 1 << 16:
         raise ValueError("token ids must fit 16 bits")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return named.mapInArrow(_tokenizer(path, size), "doc_id long, ids binary, n long, signature int"), size
+    return named.mapInArrow(_tokenizer(path), "doc_id long, ids binary, n long"), size
 
 
 def _counter(size: int):
@@ -203,128 +215,138 @@ def _counter(size: int):
     return run
 
 
-class Shard:
-    """An inverted BM25 index: a row of document weights for each term of the shard."""
+class Terms:
+    """The statistics of the whole corpus: BM25 weights of documents, in columns of the terms that occur."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        parts = [np.unique(d, return_counts=True) for d in docs]
-        self.queries = [p[0] for p in parts]
-        terms = np.concatenate(self.queries)
-        doc = np.repeat(np.arange(len(docs)), [len(q) for q in self.queries])
-        tf = np.concatenate([p[1] for p in parts]).astype(np.float32)
-        length = np.array([len(d) for d in docs], np.float32)[doc]
-        seen = np.unique(terms)
-        self.row = np.full(len(idf), -1, np.int32)
-        self.row[seen] = np.arange(len(seen), dtype=np.int32)
-        self.weights = np.zeros((len(seen), len(docs)), np.float32)
-        self.weights[self.row[terms], doc] = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+    def __init__(self, df: np.ndarray, docs: int, mean: float):
+        seen = np.flatnonzero(df)
+        self.size, self.mean = len(seen), mean
+        self.column = np.full(len(df), -1, np.int32)
+        self.column[seen] = np.arange(len(seen), dtype=np.int32)
+        self.idf = np.log1p((docs - df[seen] + 0.5) / (df[seen] + 0.5)).astype(np.float32)
 
-    def rank(self, query: np.ndarray) -> np.ndarray:
-        """All documents of the shard, the best neighbour of the query's terms first (ties: in order)."""
-        rows = self.row[query]
-        score = self.weights[rows[rows >= 0]].sum(0)
-        return np.argsort(-score, kind="stable")
+    def weights(self, docs: list[np.ndarray]) -> np.ndarray:
+        """A row for each document (its ids), a column for each term; a document's END is no term of it."""
+        length = np.array([len(d) for d in docs], np.int64)
+        flat = np.concatenate(docs) if docs else np.zeros(0, np.uint16)
+        place = np.repeat(np.arange(len(docs)) * self.size, length) + self.column[flat]
+        tf = np.bincount(place, minlength=len(docs) * self.size).reshape(len(docs), self.size).astype(np.float32)
+        if self.column[END] >= 0:
+            tf[:, self.column[END]] = 0
+        norm = (K1 * (1 - B + B * length / self.mean)).astype(np.float32)[:, None]
+        return self.idf * tf * np.float32(K1 + 1) / (tf + norm)
 
 
-class Packer:
-    """Fills windows shard after shard; pieces come out as tuples."""
+def seed_rows(weights: np.ndarray) -> np.ndarray:
+    """What seeds ask with: their own weights, of length 1 each, so that no seed draws documents by its length alone."""
+    length = np.sqrt((weights.astype(np.float64) ** 2).sum(1, keepdims=True))
+    return (weights / np.maximum(length, 1e-9)).astype(np.float32)
 
-    def __init__(self, first_sequence: int, idf: np.ndarray, mean: float, window: int = WINDOW):
-        self.sequence, self.idf, self.mean, self.window = first_sequence, idf, mean, window
-        self.used, self.seed = 0, None  # tokens in the open window, terms of the document that started it
-        self.out: list[tuple] = []
 
-    def _place(self, doc_id, ids: np.ndarray, terms: np.ndarray) -> None:
-        at = 0
-        while at < len(ids):
-            if not self.used:
-                self.seed = terms
-            take = min(self.window - self.used, len(ids) - at)
-            crc = zlib.crc32(ids[at : at + take].astype("<u4").tobytes())
-            self.out.append((doc_id, at, take, crc, len(ids), self.sequence, self.used))
-            at += take
-            self.used += take
-            if self.used == self.window:
-                self.used, self.seed, self.sequence = 0, None, self.sequence + 1
-
-    def shard(self, docs: list[tuple]) -> list[tuple]:
-        """Place all documents (doc_id, ids) of a shard; the pieces."""
-        index = Shard([d[1] for d in docs], self.idf, self.mean)
-        unused, left, nxt = np.ones(len(docs), bool), len(docs), 0
-        ranked, at, seed = None, 0, None
-        while left:
-            if self.seed is None:  # an empty window: the next document in order is its seed
-                while not unused[nxt]:
-                    nxt += 1
-                pick = nxt
-            else:
-                if ranked is None or self.seed is not seed:
-                    seed, ranked, at = self.seed, index.rank(self.seed), 0
-                while not unused[ranked[at]]:
-                    at += 1
-                pick = int(ranked[at])
-            unused[pick] = False
-            left -= 1
-            self._place(*docs[pick], index.queries[pick])
-        out, self.out = self.out, []
-        return out
+def best_seeds(asked: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each document of a shard (weights): the seed (row of asked) that it scores highest with, and that score; the first of equal ones."""
+    scores = np.rint((asked @ shard.T) * np.float32(4096)) / np.float32(4096)  # sums of floats differ a little with the shape of a shard
+    best = scores.argmax(0)
+    return best, scores[best, np.arange(len(best))]
+
+
+def _finder(shared):
+    """Columns doc_id, ids, n, seed, score: with the better one of the seed so far and that of this block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        (df, docs, mean), names, ids = shared.value
+        terms = Terms(df, docs, mean)
+        names, asked = np.array(names, np.int64), seed_rows(terms.weights([np.frombuffer(x, "<u2") for x in ids]))
+        step = max(1, min(SHARD_DOCS, BLOCK_BYTES // (8 * max(1, terms.size))))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                piece = batch.slice(at, step)
+                best, score = best_seeds(asked, terms.weights([np.frombuffer(x.as_buffer(), "<u2") for x in piece.column(1)]))
+                had = piece.column(4).to_numpy(zero_copy_only=False)
+                seed, had_seed = names[best], piece.column(3).fill_null(0).to_numpy()
+                take = (score > had) | (score == had) & (score > 0) & (seed < had_seed)
+                seed, score = np.where(take, seed, had_seed), np.where(take, score, had)
+                yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array(seed, mask=score <= 0), pa.array(score, pa.float64())], ["doc_id", "ids", "n", "seed", "score"])
+        release(False)
+
+    return run
+
+
+def claimed(tokens: DataFrame, df: np.ndarray, docs: int, mean: float, every: int = SEED_EVERY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """tokens (doc_id, ids, n) with the seed that claims each row and the score; null and 0 if it shares no term with any.
+
+    A row whose doc_id is divisible by ``every`` is a seed and its own.  Seeds
+    go out in blocks of about block_bytes as matrices of a task, one at a time.
+    """
+    spark = tokens.sparkSession
+    seeds = tokens.where(F.col("doc_id") % every == 0).groupBy("doc_id").agg(F.min("ids").alias("ids"))
+    a_block = max(1, block_bytes // (4 * max(1, int((df > 0).sum()))))
+    blocks = -(-seeds.count() // a_block)
+    own = F.col("doc_id") % every == 0
+    rows = tokens.select("doc_id", "ids", "n", F.when(own, F.col("doc_id")).alias("seed"), F.when(own, F.lit(float("inf"))).otherwise(0.0).alias("score"))
+    for k in range(blocks):
+        block = seeds.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == k).orderBy("doc_id").collect()
+        if not block:
+            continue
+        shared = spark.sparkContext.broadcast(((df, docs, mean), [r["doc_id"] for r in block], [bytes(r["ids"]) for r in block]))
+        found = written(rows.mapInArrow(_finder(shared), "doc_id long, ids binary, n long, seed long, score double"), "claimed")
+        shared.destroy()
+        forget(rows)
+        rows = found
+    return rows
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
-def _packer(df: np.ndarray, n: int, mean: float, window: int):
-    idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+def fill(docs: Iterator[tuple[int, np.ndarray]], sequence: int, window: int = WINDOW) -> Iterator[tuple]:
+    """Pieces (as in ``pack``) of documents (doc_id, ids) laid one after another into windows numbered from ``sequence``."""
+    used = 0
+    for doc_id, ids in docs:
+        at, whole = 0, ids.astype("<u4").tobytes()
+        while at < len(ids):
+            take = min(window - used, len(ids) - at)
+            yield doc_id, at, take, zlib.crc32(whole[4 * at : 4 * (at + take)]), len(ids), sequence, used
+            at += take
+            used += take
+            if used == window:
+                used, sequence = 0, sequence + 1
+
 
+def _packer(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        part, packer, held, size = None, None, [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                rows = packer.shard(held)
+        task: list[int] = []
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                if batch.num_rows and not task:
+                    task.append(batch.column(0)[0].as_py())
+                yield from ((i, np.frombuffer(x.as_buffer(), "<u2")) for i, x in zip(batch.column(1).to_pylist(), batch.column(2)))
+
+        docs, held = rows(), []
+        first = next(docs, None)
+        if first is None:
+            return
+        for piece in fill(chain([first], docs), task[0] << 40, window):
+            held.append(piece)
+            if len(held) >= 8192:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held)], schema=_SCHEMA)
                 held.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_SCHEMA)
-
-        for batch in batches:
-            for own, doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if own != part or len(held) >= SHARD_DOCS or size >= SHARD_TOKENS:
-                    yield from flush()
-                    size = 0
-                if own != part:
-                    part, packer = own, Packer(own << 40, idf, mean, window)
-                held.append((doc_id, np.frombuffer(ids.as_py(), "<u2")))
-                size += len(held[-1][1])
-        yield from flush()
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held)], schema=_SCHEMA)
 
     return run
 
 
-def ranges(tokens: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
-    """(signature, part, pieces): neighbouring signatures share a part of about part_tokens; one with more is cut in pieces.
-
-    Signatures are 16 bits, so the sizes that reach the driver and the table
-    that goes back are of 65,536 rows at most.
-    """
-    sizes = sorted((r["signature"], r["n"]) for r in tokens.groupBy("signature").agg(F.sum("n").alias("n")).collect())
-    rows, part, held = [], 0, 0
-    for signature, n in sizes:
-        pieces = -(-n // part_tokens)
-        if held and held + n > part_tokens:
-            part, held = part + 1, 0
-        rows.append((signature, part, pieces))
-        held += n
-        if pieces > 1:
-            part, held = part + pieces, 0
-    return tokens.sparkSession.createDataFrame(rows, "signature int, part long, pieces long")
-
-
-def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, every: int = SEED_EVERY) -> DataFrame:
     """Pieces of all rows of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and END; null or empty text is END alone.  Each id is
     in exactly one piece; a sequence holds ``window`` tokens, but for the last
-    one of each task.  Repeated rows are packed each time, with the doc_id they have (null too);
+    one of each task.  Rows that no seed claims (no term shared with any, or a table without seeds)
+    come after all others, by doc_id.  Repeated rows are packed each time, with the doc_id they have (null too);
     an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -335,9 +357,11 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> Data
     counted = tokens.select("ids").mapInArrow(_counter(size), "id int, df long").groupBy("id").agg(F.sum("df").alias("df")).collect()
     df = np.zeros(size, np.int64)
     df[[r["id"] for r in counted]] = [r["df"] for r in counted]
-    n, mean = max(1, totals["docs"]), max(1.0, (totals["n"] or 0) / max(1, totals["docs"]))
-    placed = tokens.join(F.broadcast(ranges(tokens)), "signature")
-    part = (F.col("part") + F.pmod(F.xxhash64("doc_id", "n"), F.col("pieces"))).alias("part")
-    tasks = max(shuffle_parts(spark), math.ceil((totals["n"] or 0) / TASK_TOKENS))
-    ordered = placed.select(part, "signature", "doc_id", "n", "ids").repartition(tasks, "part").sortWithinPartitions("part", "signature", "doc_id", "n", "ids")
-    return ordered.select("part", "doc_id", "ids").mapInArrow(_packer(df, n, mean, window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    rows = claimed(tokens, df, max(1, totals["docs"]), max(1.0, (totals["n"] or 0) / max(1, totals["docs"])), every)
+    if hasattr(rows, "_written_at"):  # else rows still reads them
+        forget(tokens)
+    n = totals["n"] or 0
+    tasks = max(1, math.ceil(n / TASK_TOKENS), min(shuffle_parts(spark), n // (TASK_WINDOWS * window)))
+    order = [F.col("seed").asc_nulls_last(), F.col("score").desc(), F.col("doc_id").asc(), F.col("n").asc()]
+    ordered = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order, "ids")
+    return ordered.select(F.spark_partition_id().alias("task"), "doc_id", "ids").mapInArrow(_packer(window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

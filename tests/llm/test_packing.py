@@ -1,9 +1,11 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from fixtures import documents, texts
+from fixtures import documents, prose, texts
 from tokenizers import Tokenizer
 
 from prematch.llm import bm25_packing as P
@@ -43,44 +45,85 @@ def test_pack(docs, spark):
     check(pieces, texts())
     used = pieces.groupby("sequence_id").length.sum()
     assert (used == 2048).sum() >= len(used) - 2
-    again = P.pack(documents(spark, texts()[::-1], 6)).toPandas()
-    key = ["sequence_id", "offset", "length", "ids_crc32"]
-    assert sorted(pieces[key].values.tolist()) == sorted(again[key].values.tolist())
-
-
-def test_neighbours_are_the_best_unused():
-    rng = np.random.default_rng(0)
-    docs = [(i, np.array([*rng.integers(10 * (i % 4), 10 * (i % 4) + 12, 40), 1], "<u2")) for i in range(40)]
-    df = np.zeros(100, np.int64)
-    for _, d in docs:
-        df[np.unique(d)] += 1
-    idf = np.log1p((40 - df + 0.5) / (df + 0.5)).astype(np.float32)
-    packer = P.Packer(0, idf, 41.0, window=100)
-    rows = packer.shard(docs)
-    order = list(dict.fromkeys(r[0] for r in rows))
-    # brute force BM25: after its seed, a window takes the unused document of the highest score
-    def score(q, d):
-        terms, tf = np.unique(docs[d][1], return_counts=True)
-        tf = dict(zip(terms.tolist(), tf.tolist()))
-        return sum(float(idf[t]) * tf[t] * (P.K1 + 1) / (tf[t] + P.K1 * (1 - P.B + P.B * len(docs[d][1]) / 41.0)) for t in set(docs[q][1].tolist()) & tf.keys())
-
-    seeds = {}
-    for r in rows:
-        seeds.setdefault(r[5], r[0])
-    placed = set()
-    for d in order:
-        start = next(r for r in rows if r[0] == d and r[1] == 0)
-        if start[6]:
-            seed = seeds[start[5]]
-            best = max(score(seed, x) for x in range(40) if x not in placed)
-            assert score(seed, d) >= best - 1e-3
-        placed.add(d)
-
-
-def test_large_signature_is_cut(spark):
-    tokens = spark.createDataFrame([(1, 10), (1, 95), (2, 3), (3, 4), (5, 200)], "signature int, n long")
-    rows = {r.signature: (r.part, r.pieces) for r in P.ranges(tokens, 100).collect()}
-    assert rows[1] == (0, 2) and rows[2] == rows[3] == (2, 1) and rows[5] == (3, 2)
+    check(P.pack(documents(spark, texts()[::-1], 6)).toPandas(), texts())
+
+
+def bm25(rows, every):
+    """By brute force: (score of each row with each seed, seeds by row number)."""
+    ids = [ids_of(t)[:-1] for _, t in rows]
+    size = [len(x) + 1 for x in ids]
+    mean, n = sum(size) / len(size), len(rows)
+    df = Counter(t for x in ids for t in set(x))
+
+    def weights(k):
+        norm = P.K1 * (1 - P.B + P.B * size[k] / mean)
+        return {t: math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * f * (P.K1 + 1) / (f + norm) for t, f in Counter(ids[k]).items()}
+
+    w = [weights(k) for k in range(n)]
+    seeds = {i: k for k, (i, _) in enumerate(rows) if i is not None and i % every == 0}
+    length = {s: math.sqrt(sum(x * x for x in w[k].values())) or 1.0 for s, k in seeds.items()}
+    return [{s: sum(x * w[r][t] for t, x in w[k].items() if t in w[r]) / length[s] for s, k in seeds.items()} for r in range(n)]
+
+
+def claims(spark, rows, every, block_bytes):
+    tokens = P.written(P.tokenized(documents(spark, rows), P.vocabulary_path())[0], "t")
+    df = np.zeros(1 << 16, np.int64)
+    for r in tokens.collect():
+        df[np.unique(np.frombuffer(r.ids, "<u2"))] += 1
+    total = sum(len(ids_of(t)) for _, t in rows)
+    return {r.doc_id: (r.seed, r.score) for r in P.claimed(tokens, df, len(rows), total / len(rows), every, block_bytes).collect()}
+
+
+def test_every_document_goes_to_its_best_seed_of_the_whole_corpus(spark):
+    rows = [(i, prose(i % 40, 30 + i % 7) + " " + prose(("own", i), 20)) for i in range(160)] + [(1000, None), (1001, ""), (1003, None)]
+    want = bm25(rows, 10)
+    for block_bytes in (P.BLOCK_BYTES, 40_000):  # all seeds at once, and in many blocks
+        got = claims(spark, rows, 10, block_bytes)
+        assert len(got) == len(rows)
+        for (i, _), scores in zip(rows, want):
+            seed, score = got[i]
+            if i % 10 == 0:
+                assert seed == i and score == math.inf
+            elif max(scores.values()) == 0:
+                assert seed is None and score == 0
+            else:
+                assert abs(scores[seed] - max(scores.values())) < 2e-3 and abs(score - scores[seed]) < 2e-3
+
+
+def test_windows_follow_their_seeds(spark):
+    rows = [(i, prose(i % 20, 200)) for i in range(100)]
+    pieces = P.pack(documents(spark, rows), 256, every=20).toPandas()
+    check(pieces, rows, 256)
+    order = [int(i) for i in dict.fromkeys(pieces.sort_values(["sequence_id", "offset"]).doc_id)]
+    # copies of a seed follow it at once
+    at = {i: k for k, i in enumerate(order)}
+    assert all({order[at[s] + k] for k in range(5) if at[s] + k < len(order)} >= {s} for s in range(0, 100, 20))
+
+
+def test_without_seeds(spark):
+    rows = [(i, prose(i, 50)) for i in range(1, 30)]
+    check(P.pack(documents(spark, rows), 128).toPandas(), rows, 128)
+
+
+def test_parts_with_equal_keys(monkeypatch):
+    from prematch.llm import common
+
+    texts = ["ab cd ab", "efg ab 12 é", "abba " * 3]
+    monkeypatch.setattr(common, "word_keys", lambda data, starts, ends: (np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)))
+    words = P.Words(P.vocabulary_path())
+    for _ in range(2):  # learnt, and known
+        flat, n = words.ids(*text_buffer(pa.array(texts)))
+        cuts = np.concatenate([[0], np.cumsum(n)])
+        assert all(flat[a:b].tolist() == ids_of(t) for a, b, t in zip(cuts, cuts[1:], texts))
+
+
+def test_crafted_words():
+    odd = [bin(i).count("1") % 2 for i in range(1 << 11)]
+    one, other = "".join("ab"[x] for x in odd), "".join("ba"[x] for x in odd)
+    texts = [f"{one} {other}", other, one]
+    flat, n = P.Words(P.vocabulary_path()).ids(*text_buffer(pa.array(texts)))
+    cuts = np.concatenate([[0], np.cumsum(n)])
+    assert all(flat[a:b].tolist() == ids_of(t) for a, b, t in zip(cuts, cuts[1:], texts))
 
 
 def test_empty(empty):
