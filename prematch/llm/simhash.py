@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hot_keys, join_hot, mixed, release, shuffle_parts, slices, text_buffer, written
@@ -86,7 +86,16 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = text_buffer(batch.column(1))
         whole, cuts = data.tobytes(), offsets.tolist()
         values = _fold([_shingle_hashes(whole[a:b], SHINGLE) for a, b in zip(cuts, cuts[1:])])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "bits"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(values.view(np.int64))], ["doc_id", "key", "bits"])
+
+
+def _key() -> Column:
+    """Tells rows apart that share a doc_id: a hash of the text, null apart from empty."""
+    return F.xxhash64(F.col("text").cast("string"), F.col("text").isNull())
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _key().alias("key"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -95,7 +104,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Fewer than three words make one shingle of them all; no words, or null,
     give 0.  ``bits`` is the fingerprint as a signed long.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_prints, "doc_id long, bits long")
+    return _fingerprints(docs).select("doc_id", "bits")
+
+
+def _fingerprints(docs: DataFrame) -> DataFrame:
+    return _texts(docs).mapInArrow(_prints, "doc_id long, key long, bits long")
 
 
 # --- links ---------------------------------------------------------------------
@@ -202,16 +215,28 @@ def links(prints: DataFrame, piece: int = PIECE) -> DataFrame:
 
 
 def _linked(tiles: DataFrame, radius: int, piece: int = PIECE) -> DataFrame:
-    """Tiles (tile, ones, bits, node) to spanning-forest edges (a, b) of each tile's pairs within the radius."""
+    """Tiles (tile, ones, bits, node) to spanning-forest edges (a, b) of each tile's pairs within the radius.
+
+    Sizes are counted per tile and population count.  Pieces follow one another
+    in order of population count; one count with over ``piece`` fingerprints is cut into
+    several by hash.  Two pieces meet only if some of their counts are within the radius.
+    """
     parts = shuffle_parts(tiles.sparkSession)
-    by = Window.partitionBy("tile")
-    tiles = tiles.select("*", F.count(F.lit(1)).over(by).alias("n"), F.row_number().over(by.orderBy("ones", "bits")).alias("at")).where("n > 1")
-    # pieces of a tile in order of population count; a pair of pieces is one unit of work
-    own = F.floor((F.col("at") - 1) / piece).cast("int")
-    pieces = F.floor((F.col("n") - 1) / piece).cast("int") + 1
-    dealt = tiles.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    pairs = dealt.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "ones", "bits", "node")
-    return pairs.repartition(parts, "tile", "i", "j").sortWithinPartitions("tile", "i", "j", "own", "ones").mapInArrow(lambda batches: _compare(batches, radius), "a long, b long")
+    own, near = Window.partitionBy("tile").orderBy("ones"), Window.partitionBy("tile").orderBy("ones").rangeBetween(-radius, radius)
+    sizes = tiles.groupBy("tile", "ones").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.select("*", F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(Window.partitionBy("tile")).alias("total")).where("total > 1")
+    first = F.floor((F.col("upto") - F.col("n")) / piece).cast("int")
+    cut = sizes.select("tile", "ones", first.alias("first"), F.ceil(F.col("n") / piece).cast("int").alias("cuts"))
+    cut = cut.select("*", F.min("first").over(near).alias("low"), F.max(F.col("first") + F.col("cuts") - 1).over(near).alias("high"))
+    # a piece is one unit of work with itself and with each piece in reach
+    mine = F.col("first") + F.pmod(F.xxhash64("bits"), F.col("cuts")).cast("int")
+    dealt = tiles.join(cut, ["tile", "ones"]).withColumn("own", mine)
+    span = dealt.groupBy("tile", "own").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    meets = span.select("tile", "own", F.explode(F.sequence("low", "high")).alias("other"))
+    # both pieces of a pair must come, whichever of them sees the other
+    both = meets.unionByName(meets.select("tile", F.col("other").alias("own"), F.col("own").alias("other"))).distinct()
+    pairs = dealt.join(both, ["tile", "own"]).select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "ones", "bits", "node")
+    return pairs.repartition(parts, "tile", "i", "j").sortWithinPartitions("tile", "i", "j", "own", "ones", "bits").mapInArrow(lambda batches: _compare(batches, radius), "a long, b long")
 
 
 # --- exact similarity ------------------------------------------------------------
@@ -294,7 +319,7 @@ def _alike(docs: DataFrame, shingle: int, radius: int, least: float) -> DataFram
         for batch in slices(batches, 512):
             sets = _sets(batch, shingle)
             tiles = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands(sets).view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_set_keys(sets)), pa.array(_fold([x.tolist() for x in sets]).view(np.int64)), tiles], ["doc_id", "node", "bits", "tiles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(_set_keys(sets)), pa.array(_fold([x.tolist() for x in sets]).view(np.int64)), tiles], ["doc_id", "key", "node", "bits", "tiles"])
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
@@ -322,22 +347,29 @@ def _alike(docs: DataFrame, shingle: int, radius: int, least: float) -> DataFram
                 sets.append(np.frombuffer(shingles.as_py(), np.uint64))
         yield from run()
 
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = written(named.mapInArrow(profiles, "doc_id long, node long, bits long, tiles array<long>"), "prints")
+    named = _texts(docs)
+    prints = written(named.mapInArrow(profiles, "doc_id long, key long, node long, bits long, tiles array<long>"), "prints")
     classes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits"), F.first("tiles").alias("tiles"), F.count(F.lit(1)).alias("n")), "classes")
-    tiles = classes.where("least is not null").select(F.explode("tiles").alias("tile"), F.bit_count("bits").cast("int").alias("ones"), "bits", "node").where("tile != 0")
+    tiles = classes.select(F.explode("tiles").alias("tile"), F.bit_count("bits").cast("int").alias("ones"), "bits", "node").where("tile != 0")
     candidates = written(components(_linked(tiles, radius)), "candidates")
     # one document of each candidate set
-    asked = classes.join(candidates, "node", "left_semi").select(F.col("least").alias("doc_id")).distinct()
-    sets = named.join(asked, "doc_id", "left_semi").mapInArrow(whole_sets, "node long, shingles binary")
+    asked = prints.join(candidates, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("row")).select("row.*")
+    same = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("key") == F.col("_key"))
+    sets = named.join(asked.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")), same, "left_semi").mapInArrow(whole_sets, "node long, shingles binary")
     held = sets.join(candidates, "node").groupBy("component", "node").agg(F.first("shingles").alias("shingles"))
     edges = held.repartition(shuffle_parts(docs.sparkSession), "component").sortWithinPartitions("component", "node").mapInArrow(confirm, "a long, b long")
-    # the edges form a component each; its name is the smallest doc_id of its sets
-    joined = classes.select("node", "least").join(components(edges), "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    named_sets = joined.join(names, "component").select("node", "component_id")
+    return _named(prints, classes.select("node", "least", "n"), written(components(edges), "components"), prints["node"])
+
+
+def _named(prints: DataFrame, classes: DataFrame, found: DataFrame, node: Column) -> DataFrame:
+    """doc_id, key, bits, component (a node) and component_id of prints: each component takes the smallest doc_id of its classes (node, least, n)."""
+    names = classes.join(found, "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    hot, _ = hot_keys(found.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component")
+    linked = join_hot(found, names, "component", hot, "inner").select("node", "component", "component_id")
+    own = classes.select("node", "least").join(linked, "node", "left")
+    own = own.select("node", F.coalesce("component", "node").alias("component"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     hot, _ = hot_keys(classes, "node")
-    return join_hot(prints.select("doc_id", "node", "bits"), named_sets, "node", hot).select("doc_id", "bits", "component_id")
+    return join_hot(prints.select("doc_id", "key", "bits", node.alias("node")), own, "node", hot).select("doc_id", "key", "bits", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, jaccard: float | None = None) -> DataFrame:
@@ -347,8 +379,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     component_id is the smallest doc_id reachable over links, a document's own
     included.  Null or empty texts share fingerprint 0 and link like others;
     repeated rows are kept, with the same component; rows with a null doc_id
-    are kept and lend their component no name (a component of null ids alone
-    has a null id).  Other columns are ignored, an empty table gives an empty
+    are kept and link like others, but lend their component no name (one of null ids alone
+    has a null id); rows that share a doc_id are documents of their own.  Other columns are ignored, an empty table gives an empty
     result.
 
     With ``jaccard``, documents link whose sets of ``shingle`` words are that
@@ -356,27 +388,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     exact similarity decides.  The set of a text without words is like no
     other but itself.  Without it, shingle and radius must be the fixed ones.
     """
+    return _classified(docs, shingle, radius, jaccard).select("doc_id", "bits", "component_id")
+
+
+def _classified(docs: DataFrame, shingle: int, radius: int, jaccard: float | None) -> DataFrame:
     if jaccard is not None:
         return _alike(docs, shingle, radius, jaccard)
     if (shingle, radius) != (SHINGLE, RADIUS):
         raise ValueError("fields are made for the fixed shingle and radius; other ones need jaccard")
-    prints = written(fingerprints(docs), "prints")
-    classes = written(prints.groupBy("bits").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "classes")
-    hot, _ = hot_keys(classes, "bits")
-    found = components(links(classes.where("node is not null").select("bits", "node")))
-    named = classes.select("bits", "node").join(found, "node", "left").select("bits", F.coalesce("component", "node").alias("component_id"))
-    return join_hot(prints, named, "bits", hot).select("doc_id", "bits", "component_id")
+    prints = written(_fingerprints(docs), "prints")
+    classes = written(prints.groupBy("bits").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
+    found = written(components(links(classes.select("bits", F.col("bits").alias("node")))), "components")
+    return _named(prints, classes.select(F.col("bits").alias("node"), "least", "n"), found, prints["bits"])
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, jaccard: float | None = None) -> DataFrame:
     """The rows of docs, all columns, whose doc_id names their component: one document of each group of near duplicates.
 
-    Of rows that share a doc_id the one with the smallest text stays, a null
-    text first; rows with a null doc_id can't be named and stay.
+    Of rows of a group that share this doc_id one stays; unlike rows that share a
+    doc_id are groups of their own, and rows with a null doc_id can't be
+    named and stay.  An empty table gives an empty result.
     """
-    near = near_duplicates(docs, shingle, radius, jaccard)
-    named = near.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_named")).distinct()
-    kept = docs.join(named, F.col("doc_id").cast("long") == F.col("_named"), "left_semi")
-    at = F.row_number().over(Window.partitionBy(F.col("doc_id").cast("long")).orderBy("text"))
-    one = kept.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), at.alias("at")).where("at = 1").select("row.*")
+    near = _classified(docs, shingle, radius, jaccard)
+    chosen = near.where(F.col("doc_id") == F.col("component_id")).groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row.key").alias("_key")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"), _key().alias("_key"))
+    at = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.col("row.text")))
+    one = rows.join(chosen, ["_id", "_key"], "left_semi").withColumn("_at", at).where("_at = 1").select("row.*")
     return one.unionByName(docs.where("doc_id is null"))

@@ -1,6 +1,6 @@
 import numpy as np
 import xxhash
-from fixtures import documents, texts
+from fixtures import documents, prose, texts
 
 from prematch.llm import graph, simhash
 
@@ -45,7 +45,7 @@ def test_tiles_cut_in_pieces(spark):
     near = np.bitwise_count(bits[:, None] ^ bits[None]) <= 2
     want = components(range(len(bits)), [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(near, 1)))])
     frame = spark.createDataFrame([(int(v), i) for i, v in enumerate(bits.view(np.int64))], "bits long, node long")
-    for piece in (4096, 16):
+    for piece in (4096, 16, 3):
         got = {r.node: r.component for r in graph.components(simhash.links(frame, piece)).collect()}
         assert {n: got.get(n, n) for n in want} == want
 
@@ -53,15 +53,33 @@ def test_tiles_cut_in_pieces(spark):
 def test_long_chain(spark):
     n = 300
     edges = spark.createDataFrame([(i + 1, i) if i % 2 else (i, i + 1) for i in range(n)] + [(1000, 1001), (1000, 1000)], "a long, b long")
-    got = {r.node: r.component for r in graph.components(edges).collect()}
-    assert got == {**{i: 0 for i in range(n + 1)}, 1000: 1000, 1001: 1000}
+    for one_task in (0, graph.ONE_TASK):
+        got = {r.node: r.component for r in graph.components(edges, one_task=one_task).collect()}
+        assert got == {**{i: 0 for i in range(n + 1)}, 1000: 1000, 1001: 1000}
+
+
+def test_large_stars(spark):
+    rows = [(10 * (i % 3), 1000 + i) for i in range(6000)] + [(0, 10), (1000, 5)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(rows, "a long, b long"), one_task=0).collect()}
+    assert got == components(sorted({x for r in rows for x in r}), rows)
+
+
+def test_rows_that_share_an_id(spark):
+    """Two unlike texts under one doc_id are two documents: neither takes part in the other's links."""
+    a, z = prose("a", 60), prose("z", 60)
+    rows = [(5, a), (5, z), (8, z), (3, a), (None, prose("n", 60)), (None, prose("n", 60))]
+    got = sorted(((r.doc_id, r.bits & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(documents(spark, rows)).collect()), key=str)
+    fa, fz, fn = map(fingerprint, (a, z, prose("n", 60)))
+    assert (fa ^ fz).bit_count() > 2
+    assert got == sorted([(5, fa, 3), (5, fz, 5), (8, fz, 5), (3, fa, 3), (None, fn, None), (None, fn, None)], key=str)
 
 
 def test_representatives(docs):
     kept = simhash.representatives(docs)
     assert kept.columns == docs.columns
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert len(ids) == len(set(ids)) and {200, 300, 400} <= set(ids) and not {201, 202, 203, 301, 302} & set(ids)
+    assert ids.count(401) == 2 and len(ids) == len(set(ids)) + 1  # unlike texts under one id
+    assert {200, 300, 400} <= set(ids) and not {201, 202, 203, 301, 302} & set(ids)
     assert set(range(24)) <= set(ids)
 
 
@@ -93,8 +111,6 @@ def shingles(text):
 
 
 def alike_rows():
-    from fixtures import prose
-
     rows = []
     for g in range(12):
         base = prose(("alike", g), 60 + 40 * g)
@@ -127,6 +143,6 @@ def test_similar_documents_with_odd_rows(docs, empty):
     near = simhash.representatives(docs, 5, 24, 0.8)
     ids = [r.doc_id for r in near.collect()]
     named = [i for i in ids if i is not None]
-    assert len(named) == len(set(named)) and ids.count(None) == 2 and set(range(24)) <= set(named)
+    assert named.count(401) == 2 and len(named) == len(set(named)) + 1 and ids.count(None) == 2 and set(range(24)) <= set(named)
     assert {200, 300, 400} <= set(named) and not {201, 202, 203, 210, 211, 301, 302} & set(named)
     assert simhash.near_duplicates(empty, 5, 24, 0.8).count() == 0
