@@ -32,9 +32,48 @@ RAW_TO_CLEAN = {
 }
 #: Set scores: known only after the match.
 LEAKAGE = ["W1", "L1", "W2", "L2", "W3", "L3", "W4", "L4", "W5", "L5", "Wsets", "Lsets"]
-#: The raw layout: identity first, then the rest of the renamed columns and the set scores.
-_OUTCOME = [c for c in RAW_TO_CLEAN if c not in ("source_year",)]
-RAW_COLUMNS = ["source_year", *_OUTCOME[:15], *LEAKAGE, *_OUTCOME[15:]]
+# The raw layout.
+RAW_COLUMNS = [
+    "source_year",
+    "ATP",
+    "Location",
+    "Tournament",
+    "Date",
+    "Series",
+    "Court",
+    "Surface",
+    "Round",
+    "Best of",
+    "Winner",
+    "Loser",
+    "WRank",
+    "LRank",
+    "WPts",
+    "LPts",
+    "W1",
+    "L1",
+    "W2",
+    "L2",
+    "W3",
+    "L3",
+    "W4",
+    "L4",
+    "W5",
+    "L5",
+    "Wsets",
+    "Lsets",
+    "Comment",
+    "B365W",
+    "B365L",
+    "PSW",
+    "PSL",
+    "MaxW",
+    "MaxL",
+    "AvgW",
+    "AvgL",
+    "BFEW",
+    "BFEL",
+]
 
 ODDS = [f"{book}_{side}" for book in ("b365", "ps", "max", "avg", "bfe") for side in ("winner", "loser")]
 INTEGERS = ["source_year", "atp", "best_of"]
@@ -133,20 +172,72 @@ FLIPPED = ["rank_diff", "points_diff", "implied_prob_diff_avg", *DIFFERENCES.val
 
 CATEGORICAL = ["series", "court", "surface", "tournament_bucket", "location_bucket"]
 
-
-def _both(suffix: str) -> list[str]:
-    return [f"winner_{suffix}", f"loser_{suffix}"]
-
-
+# Numeric features of a model, in order.
 NUMERIC_FEATURES = [
-    *["source_year", "atp", "best_of", "round_ordinal"],
-    *[*_both("rank"), "rank_diff", *_both("rank_missing")],
-    *[*_both("points"), "points_diff", *_both("points_missing")],
-    *["has_any_market_odds", *_both("implied_prob_avg"), "implied_prob_diff_avg"],
-    *[*_both("matches_before"), "experience_diff"],
-    *[x for s in ("win_rate_before", "recent5_win_rate_before", "surface_win_rate_before", "days_since_last_match") for x in (*_both(s), DIFFERENCES[s])],
-    *["h2h_matches_before", *_both("h2h_win_rate_before"), "h2h_win_rate_diff"],
-    *[x for s in ("height", "age_years", *[f"{r}_before" for r in SERVE_RATES]) for x in (*_both(s), DIFFERENCES[s])],
+    "source_year",
+    "atp",
+    "best_of",
+    "round_ordinal",
+    "winner_rank",
+    "loser_rank",
+    "rank_diff",
+    "winner_rank_missing",
+    "loser_rank_missing",
+    "winner_points",
+    "loser_points",
+    "points_diff",
+    "winner_points_missing",
+    "loser_points_missing",
+    "has_any_market_odds",
+    "winner_implied_prob_avg",
+    "loser_implied_prob_avg",
+    "implied_prob_diff_avg",
+    "winner_matches_before",
+    "loser_matches_before",
+    "experience_diff",
+    "winner_win_rate_before",
+    "loser_win_rate_before",
+    "win_rate_diff",
+    "winner_recent5_win_rate_before",
+    "loser_recent5_win_rate_before",
+    "recent5_win_rate_diff",
+    "winner_surface_win_rate_before",
+    "loser_surface_win_rate_before",
+    "surface_win_rate_diff",
+    "winner_days_since_last_match",
+    "loser_days_since_last_match",
+    "rest_days_diff",
+    "h2h_matches_before",
+    "winner_h2h_win_rate_before",
+    "loser_h2h_win_rate_before",
+    "h2h_win_rate_diff",
+    "winner_height",
+    "loser_height",
+    "height_diff",
+    "winner_age_years",
+    "loser_age_years",
+    "age_diff",
+    "winner_ace_rate_before",
+    "loser_ace_rate_before",
+    "ace_rate_diff",
+    "winner_df_rate_before",
+    "loser_df_rate_before",
+    "df_rate_diff",
+    "winner_first_in_rate_before",
+    "loser_first_in_rate_before",
+    "first_in_rate_diff",
+    "winner_first_won_rate_before",
+    "loser_first_won_rate_before",
+    "first_won_rate_diff",
+    "winner_second_won_rate_before",
+    "loser_second_won_rate_before",
+    "second_won_rate_diff",
+    "winner_bp_saved_rate_before",
+    "loser_bp_saved_rate_before",
+    "bp_saved_rate_diff",
+    "winner_bp_faced_per_sv_game_before",
+    "loser_bp_faced_per_sv_game_before",
+    "bp_faced_per_sv_game_diff",
 ]
 #: Left out of a model without market odds.
 MARKET_FEATURES = ["winner_implied_prob_avg", "loser_implied_prob_avg", "implied_prob_diff_avg", "has_any_market_odds"]
