@@ -20,22 +20,44 @@ def _col(c: Column | str) -> Column:
 # --- strings ----------------------------------------------------------------------
 
 
+#: A string that cleaning would change: white space other than one space between words.
+_UNCLEAN = r"(?U)^\s|\s$|\s\s|[^\S ]"
+
+
 def clean_string(c: Column | str) -> Column:
     """Trimmed, white space (of any script) collapsed; empty becomes null."""
-    return F.nullif(F.trim(F.regexp_replace(_col(c).cast("string"), r"(?U)\s+", " ")), F.lit(""))
+    text = _col(c).cast("string")
+    # most strings have no white space to deal with
+    return F.nullif(F.when(text.rlike(_UNCLEAN), F.trim(F.regexp_replace(text, r"(?U)\s+", " "))).otherwise(text), F.lit(""))
+
+
+def known_spelling(c: Column | str, spellings: dict[str, str], missing: str = "Unknown") -> Column:
+    """Of a cleaned string: known spellings replaced, others passed through, null made ``missing``."""
+    text = _col(c)
+    made = F.when(text.isNull(), F.lit(missing))
+    for old, new in spellings.items():
+        if old != new:
+            made = made.when(text == old, F.lit(new))
+    return made.otherwise(text)
+
+
+def allowed_title(c: Column | str, allowed: list[str], missing: str = "Unknown") -> Column:
+    """Of a cleaned string: title-cased if that is an allowed value, else ``missing``."""
+    text = F.lower(_col(c))
+    made = F.when(text.isNull(), F.lit(missing))
+    for value in allowed:
+        made = made.when(text == value.lower(), F.lit(value))
+    return made.otherwise(F.lit(missing))
 
 
 def recode(c: Column | str, spellings: dict[str, str], missing: str = "Unknown") -> Column:
-    """Cleaned, known spellings replaced, others passed through, null made ``missing``."""
-    text = clean_string(c)
-    known = F.try_element_at(F.create_map(*[F.lit(x) for pair in spellings.items() for x in pair]), F.coalesce(text, F.lit("")))
-    return F.coalesce(known, text, F.lit(missing))
+    """``known_spelling`` of a string that isn't cleaned yet."""
+    return known_spelling(clean_string(c), spellings, missing)
 
 
 def one_of(c: Column | str, allowed: list[str], missing: str = "Unknown") -> Column:
-    """Cleaned and title-cased if that is an allowed value, else ``missing``."""
-    text = F.initcap(clean_string(c))
-    return F.when(text.isin(allowed), text).otherwise(missing)
+    """``allowed_title`` of a string that isn't cleaned yet."""
+    return allowed_title(clean_string(c), allowed, missing)
 
 
 def series(c: Column | str) -> Column:
@@ -189,7 +211,7 @@ def coin(key: Column | str, seed: int = 42) -> Column:
 
 def format_cell(value: object, width: int = 48) -> str:
     """A cell of the viewer: a mark for what is missing, short numbers, long text cut with an ellipsis."""
-    text = "" if value is None else str(value)
+    text = "" if value is None else str(value).strip()
     if text == "" or text.lower() in ("nan", "none", "nat"):
         return "∅"
     read = parse_number(text)

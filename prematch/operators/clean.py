@@ -26,17 +26,24 @@ def sort_nulls_last(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.orderBy(*[F.col(c).asc_nulls_last() for c in columns])
 
 
-def _renamed(raw: DataFrame) -> DataFrame:
-    return raw.select(*[F.col(f"`{old}`").alias(new) for old, new in schema.RAW_TO_CLEAN.items()])
+def _renamed(raw: DataFrame, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    return raw.select(*[F.col(f"`{old}`").alias(new) for old, new in schema.RAW_TO_CLEAN.items()], *keep)
+
+
+#: Strings that are cleaned before anything is made of them.
+_STRINGS = ["location", "tournament", "series", "court", "surface", "round", "winner_name", "loser_name"]
 
 
 def _typed(df: DataFrame) -> DataFrame:
+    """Every string is cleaned once, in a step of its own; what is made of it reads the result."""
+    text = df.withColumns({c: scalars.clean_string(c) for c in _STRINGS})
     made: dict[str, Column] = {c: scalars.number(c) for c in schema.NUMERIC}
     made |= {c: scalars.whole(scalars.number(c)) for c in schema.INTEGERS}
-    made |= {c: F.coalesce(scalars.clean_string(c), F.lit("Unknown")) for c in ("location", "tournament")}
-    made |= {"series": scalars.series("series"), "court": scalars.court("court"), "surface": scalars.surface("surface"), "round": scalars.round_name("round")}
-    made |= {"date": scalars.to_date("date"), "winner_name": scalars.clean_string("winner_name"), "loser_name": scalars.clean_string("loser_name")}
-    return df.withColumns(made)
+    made |= {c: F.coalesce(c, F.lit("Unknown")) for c in ("location", "tournament")}
+    made |= {"series": scalars.known_spelling("series", schema.SERIES), "round": scalars.known_spelling("round", schema.ROUNDS)}
+    made |= {"court": scalars.allowed_title("court", schema.COURTS), "surface": scalars.allowed_title("surface", schema.SURFACES)}
+    made |= {"date": scalars.to_date("date")}
+    return text.withColumns(made)
 
 
 def _valid(df: DataFrame) -> DataFrame:
@@ -46,12 +53,20 @@ def _valid(df: DataFrame) -> DataFrame:
     return df.withColumns(made).withColumn("has_any_market_odds", scalars.any_present(schema.ODDS))
 
 
-def normalize(raw: DataFrame) -> DataFrame:
-    """Completed matches of two named, different players on a readable date, in the columns of schema.CLEAN_COLUMNS."""
+def normalize(raw: DataFrame, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Completed matches of two named, different players on a readable date, in the columns of schema.CLEAN_COLUMNS.
+
+    Rows that are alike in all columns count once; those named in keep come along, in front.
+    """
+    return normalize_distinct(raw.dropDuplicates(), keep)
+
+
+def normalize_distinct(raw: DataFrame, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """``normalize`` for rows without repeats."""
     require(raw, list(schema.RAW_TO_CLEAN))
-    done = _renamed(raw.dropDuplicates()).where(scalars.completed("comment"))
+    done = _renamed(raw, keep).where(scalars.completed("comment"))
     typed = _typed(done).dropna(subset=["date", "winner_name", "loser_name"]).where("winner_name != loser_name")
-    return _valid(typed).select(*schema.CLEAN_COLUMNS)
+    return _valid(typed).select(*keep, *schema.CLEAN_COLUMNS)
 
 
 def ordered(clean: DataFrame) -> DataFrame:
@@ -63,7 +78,7 @@ def clean_counters(raw: DataFrame) -> DataFrame:
     """One row: how many rows each step of ``normalize`` takes away (missing players count cells, not rows)."""
     require(raw, list(schema.RAW_TO_CLEAN))
     copies = raw.groupBy(*[F.col(f"`{c}`") for c in raw.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    typed = _typed(_renamed_with(copies, "_n"))
+    typed = _typed(_renamed(copies, ["_n"]))
     done = F.coalesce(scalars.completed("comment"), F.lit(False))
     dated = done & F.col("date").isNotNull()
     named = dated & F.col("winner_name").isNotNull() & F.col("loser_name").isNotNull()
@@ -79,10 +94,6 @@ def clean_counters(raw: DataFrame) -> DataFrame:
     )
 
 
-def _renamed_with(raw: DataFrame, *more: str) -> DataFrame:
-    return raw.select(*[F.col(f"`{old}`").alias(new) for old, new in schema.RAW_TO_CLEAN.items()], *more)
-
-
 def keyed_matches(raw: DataFrame, order: list[str]) -> DataFrame:
     """The exploratory path: the comment exactly "Completed", date and players present, the first row of each
     (Date, Tournament, Winner, Loser) by the given order, seven columns made numeric."""

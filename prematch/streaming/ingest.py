@@ -18,15 +18,20 @@ def raw_stream(spark: SparkSession, folder: str, files_per_trigger: int = 16) ->
     return tables.present(spark.readStream.schema(fields).option("header", True).option("maxFilesPerTrigger", files_per_trigger).csv(folder))
 
 
-def clean_stream(raw: DataFrame, late: str = "30 days") -> DataFrame:
-    """Cleaned matches; repeats of a row are dropped while its day is within the watermark, so state stays bounded."""
-    clean.require(raw, list(schema.RAW_TO_CLEAN))
-    done = clean._renamed(raw).where(clean.scalars.completed("comment"))
-    typed = clean._typed(done).dropna(subset=["date", "winner_name", "loser_name"]).where("winner_name != loser_name")
-    valid = clean._valid(typed).select(*schema.CLEAN_COLUMNS).withColumn("_day", F.col("date").cast("timestamp"))
-    return valid.withWatermark("_day", late).dropDuplicates([*schema.CLEAN_COLUMNS, "_day"]).drop("_day")
-
-
-def start(spark: SparkSession, folder: str, output: str, checkpoint: str) -> StreamingQuery:
-    """Clean what is there and what comes, once per call, into Parquet."""
-    return clean_stream(raw_stream(spark, folder)).writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def clean_stream(raw: DataFrame) -> DataFrame:
+    """Cleaned matches, as ``clean.normalize`` makes them of all files together, in whatever order and portions these come.
+
+    Repeats of a raw row are dropped by a digest of it.  A match is as old as its day, and files
+    of earlier years may come after later ones, so event time bounds nothing: the state keeps one digest of
+    32 bytes for each distinct row ever seen.
+    """
+    names = sorted(raw.columns)
+    digest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]), {"ignoreNullFields": "false"}), 256)
+    distinct = raw.withColumn("_digest", F.unhex(digest)).dropDuplicates(["_digest"]).drop("_digest")
+    return clean.normalize_distinct(distinct)
+
+
+def start(spark: SparkSession, folder: str, output: str, checkpoint: str, files_per_trigger: int = 16) -> StreamingQuery:
+    """Clean what is there and what comes, once per call, into Parquet; the digests lie in RocksDB under the checkpoint."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return clean_stream(raw_stream(spark, folder, files_per_trigger)).writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

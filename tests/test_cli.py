@@ -1,9 +1,11 @@
 """The whole command chain on small files."""
 
 import datetime as dt
+import os
 import random
 
 from prematch import cli, schema
+from prematch.operators import clean
 from prematch.sources import tables, xlsx
 from prematch.streaming import ingest
 
@@ -37,9 +39,35 @@ def test_chain(spark, tmp_path):
     assert made["rows"] == 480 and {"winner_height", "ace_rate_diff", "h2h_matches_before"} <= set(made["numeric_features"])
     assert 0 <= made["baseline"]["cv_mean"] <= 1
     assert cli.view(spark, p["features"], 2, 3).count("\n") == 3
+    lines = (tmp_path / "features.csv").read_text().splitlines()
+    first = lambda text: [x.split("\t")[0] for x in text.split("\n")[1:]]
+    assert first(cli.view(spark, p["features"], 470, 500)) == [x.split(",")[0] for x in lines[471:]]
+    assert first(cli.view(spark, p["features"], 9999, 5)) == [lines[-1].split(",")[0]]
 
     (tmp_path / "drop").mkdir()
     (tmp_path / "drop" / "a.csv").write_text((tmp_path / "raw.csv").read_text())
     out = ingest.start(spark, str(tmp_path / "drop"), str(tmp_path / "stream"), str(tmp_path / "ck"))
     out.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "stream")).count() == 240
+
+
+def test_stream_keeps_all_matches_in_any_order(spark, tmp_path):
+    """The result is that of one batch, whichever years come first and however many files a trigger takes."""
+    header = ",".join(schema.RAW_COLUMNS)
+    rows = {}
+    for year in (2026, 2015, 2016, 2017):
+        r = [dict.fromkeys(schema.RAW_COLUMNS, "") | {"source_year": str(year), "ATP": "1", "Date": f"{year}-0{1 + i}-02", "Winner": f"A{i} B.", "Loser": "C D.", "Comment": "Completed"} for i in range(5)]
+        rows[year] = [",".join(x[c] for c in schema.RAW_COLUMNS) for x in r]
+    for k, order in enumerate(([2026, 2015, 2016, 2017], [2015, 2016, 2017, 2026], [2017, 2026, 2015, 2016])):
+        for per_trigger in (1, 2, 16):
+            here = tmp_path / f"{k}-{per_trigger}"
+            (here / "in").mkdir(parents=True)
+            for at, year in enumerate(order):
+                path = here / "in" / f"{at}.csv"
+                path.write_text("\n".join([header, *rows[year], *rows[order[0]][:2]]) + "\n")  # some rows come again in every file
+                os.utime(path, (1_700_000_000 + at, 1_700_000_000 + at))
+            done = ingest.start(spark, str(here / "in"), str(here / "out"), str(here / "ck"), per_trigger)
+            assert done.awaitTermination(180)
+            got = spark.read.parquet(str(here / "out"))
+            batch = clean.normalize(tables.read_csv(spark, str(here / "in"), columns=schema.RAW_COLUMNS))
+            assert got.count() == 20 == batch.count() and got.exceptAll(batch).count() == 0
