@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prematch.functions import scalars
+from prematch.functions.scalars import indel_ratio
 
 METHODS = ["exact_surname_initial", "ambiguous_surname_initial", "exact_surname_only", "fuzzy_surname", "fuzzy_ambiguous_or_low_score", "unmatched", "invalid_name"]
 UNRESOLVED = ["unmatched", "ambiguous_surname_initial", "fuzzy_ambiguous_or_low_score", "invalid_name"]
@@ -44,17 +47,14 @@ def _normal(c: str, ascii_only: bool):
     return scalars.ascii_words(c) if ascii_only else scalars.normal_name_udf(F.col(c))
 
 
-def resolve_names(names: DataFrame, players: DataFrame, fuzzy: bool = True, threshold: float = 92.0, margin: float = 5.0, ascii_only: bool = False, order: str = "player_id", all_scores: bool = False) -> DataFrame:
+def resolve_names(names: DataFrame, players: DataFrame, fuzzy: bool = True, threshold: float = 92.0, margin: float = 5.0, ascii_only: bool = False, order: str = "player_id") -> DataFrame:
     """One review row (REVIEW) per name; player_id is set where exactly one player fits.
 
     names (name) are "Surname I.", players (player_id, full_name) "First
     Surname".  A surname with exactly one player of that initial (or no
     initial given) resolves, several are ambiguous.  Only names without any
-    such player go on to the fuzzy step, where they meet the distinct surnames that
-    can reach threshold - margin: any other can neither win nor spoil a win.
-    For names that stay unresolved the report gives the scores of such
-    surnames, 0 if there is none; with all_scores every name is compared with every
-    surname, for the sake of those scores alone.
+    such player go on to the fuzzy step, where all distinct surnames compete:
+    score and second_score are those of the two nearest ones, whoever wins.
     Ties of scores go to the surname of the player first in ``order``.
     """
     surname, initial = scalars.surname_first("_n")
@@ -79,7 +79,7 @@ def resolve_names(names: DataFrame, players: DataFrame, fuzzy: bool = True, thre
     if not fuzzy:
         return exact
     open_names = exact.where("match_method = 'unmatched'").select("tennis_data_name", "tennis_data_surname", "tennis_data_initial")
-    ranked = fuzzy_candidates(open_names, known, threshold - margin, all_scores)
+    ranked = nearest_surnames(open_names, known)
     own = known.where(F.col("surname").isNotNull()).select("player_id", "full_name", F.col("surname").alias("best"), F.col("initial").alias("_i"))
     fit = (F.col("tennis_data_initial") == "") | (F.col("tennis_data_initial") == F.col("_i"))
     tried = ranked.join(own, "best", "left").groupBy("tennis_data_name").agg(F.first("score").alias("score"), F.first("second").alias("second"), F.count_if(fit & F.col("player_id").isNotNull()).alias("fits"), F.min(F.when(fit, F.col("player_id"))).alias("pid"), F.min(F.when(fit, F.col("full_name"))).alias("pname"))
@@ -98,41 +98,68 @@ def resolve_names(names: DataFrame, players: DataFrame, fuzzy: bool = True, thre
     )
 
 
-def _near_pairs(names: DataFrame, surnames: DataFrame, floor: float) -> DataFrame:
-    """names with every surname that a ratio of ``floor`` allows, found by equality.
+#: Surnames that go out to the executors at once.
+BLOCK_SURNAMES = 50_000
 
-    At such a ratio two words are at most k = (1 - floor) * (la + lb) letters
-    taken out or put in apart, so of k + 1 pieces of a name one stands in the
-    surname untouched, at most k places off: its first two letters meet the
-    surname's pairs of letters of that length, in about that place.
+
+class Surnames:
+    """Distinct surnames, ready for the two nearest ones of a name."""
+
+    def __init__(self, names: list[str], orders: list[str]):
+        self.names, self.orders = names, orders
+        self.length = np.array([len(n) for n in names], np.int64)
+        self.letters = np.stack([self._letters(n) for n in names]) if names else np.zeros((0, 64), np.int16)
+
+    @staticmethod
+    def _letters(name: str) -> np.ndarray:
+        return np.bincount(np.frombuffer(name.encode("utf-32-le"), "<u4") & 63, minlength=64).astype(np.int16)
+
+    def nearest(self, name: str) -> list[tuple[float, str, str]]:
+        """(score, order, surname) of the two nearest surnames, the best first; ties by order, then surname.
+
+        Letters in common bound a score from above, so only surnames whose bound reaches the second best are compared.
+        """
+        common = np.minimum(self.letters, self._letters(name)).sum(1, dtype=np.int64)
+        both = self.length + len(name)
+        bound = np.where(both > 0, 200.0 * common / np.maximum(both, 1), 100.0)
+        found: list[tuple[float, str, str]] = []
+        for k in np.argsort(-bound, kind="stable").tolist():
+            if len(found) == 2 and bound[k] < found[1][0] - 1e-9:
+                break
+            found.append((indel_ratio(name, self.names[k]), self.orders[k], self.names[k]))
+            found = sorted(found, key=lambda x: (-x[0], x[1], x[2]))[:2]
+        return found
+
+
+def nearest_surnames(names: DataFrame, known: DataFrame, block: int = BLOCK_SURNAMES) -> DataFrame:
+    """names with the best of known's distinct surnames, its score and the second one's score; null without any surname.
+
+    The names are the stated queries; the surnames go out in blocks by hash, and the best two of each block compete again.
     """
-    f = max(floor, 1.0) / 100
-    n = F.length("tennis_data_surname")
-    low, high = F.ceil(n * f / (2 - f)).cast("int"), F.floor(n * (2 - f) / f).cast("int")
-    cut = names.withColumn("_len", F.explode(F.sequence(low, high))).withColumn("_k", F.floor((n + F.col("_len")) * (1 - f) + 1e-9).cast("int"))
-    cut = cut.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k"))))
-    at = lambda i: F.floor(i * n / (F.col("_k") + 1)).cast("int")
-    cut = cut.withColumns({"_from": at(F.col("_i")), "_to": at(F.col("_i") + 1)})
-    cut = cut.withColumn("_pair", F.substr("tennis_data_surname", F.col("_from") + 1, F.least(F.lit(2), F.col("_to") - F.col("_from"))))
-    letters = surnames.withColumn("_len", F.length("surname")).withColumn("_at", F.explode(F.sequence(F.lit(1), F.greatest(F.col("_len") - 1, F.lit(1)))))
-    letters = letters.withColumn("_pair", F.substr("surname", F.col("_at"), F.lit(2)))
-    met = cut.join(letters, ["_len", "_pair"]).where(F.abs(F.col("_at") - 1 - F.col("_from")) <= F.col("_k"))
-    return met.select(*names.columns, "surname", "_order").distinct()
-
-
-def fuzzy_candidates(names: DataFrame, known: DataFrame, floor: float, all_scores: bool = False) -> DataFrame:
-    """names with the best surname, its score and the second score, of those that reach ``floor`` (of all with all_scores)."""
+    spark = names.sparkSession
     surnames = known.groupBy("surname").agg(F.min("_order").alias("_order"))
-    pairs = names.crossJoin(surnames) if all_scores else _near_pairs(names, surnames, floor)
-    scored = pairs.withColumn("score", scalars.indel_ratio_udf("tennis_data_surname", "surname"))
-    if not all_scores:
-        scored = scored.where(F.col("score") >= floor)
-    at = Window.partitionBy("tennis_data_name").orderBy(F.col("score").desc(), "_order", "surname")
-    top = scored.withColumn("_at", F.row_number().over(at)).where("_at <= 2")
+    blocks = max(1, -(-surnames.count() // block))
+    schema = T.StructType([*names.schema.fields, *[T.StructField(c, t) for c, t in (("_surname", T.StringType()), ("_score", T.DoubleType()), ("_order", T.StringType()))]])
+    pairs = None
+    for k in range(blocks):
+        rows = surnames.where(F.pmod(F.xxhash64("surname"), F.lit(blocks)) == k).orderBy("surname").collect()
+        shared = spark.sparkContext.broadcast(([r["surname"] for r in rows], [str(r["_order"]) for r in rows]))
+
+        def run(frames, shared=shared):
+            held = Surnames(*shared.value)
+            for frame in frames:
+                near = [held.nearest(n) for n in frame["tennis_data_surname"]]
+                out = frame.loc[frame.index.repeat([len(x) for x in near])].copy()
+                flat = [y for x in near for y in x]
+                out["_surname"], out["_score"], out["_order"] = [y[2] for y in flat], [y[0] for y in flat], [y[1] for y in flat]
+                yield out
+
+        found = names.mapInPandas(run, schema)
+        pairs = found if pairs is None else pairs.unionByName(found)
+    at = Window.partitionBy("tennis_data_name").orderBy(F.col("_score").desc(), "_order", "_surname")
+    top = pairs.withColumn("_at", F.row_number().over(at)).where("_at <= 2")
     pick = lambda i, c: F.max(F.when(F.col("_at") == i, F.col(c)))
-    best = top.groupBy("tennis_data_name").agg(pick(1, "surname").alias("best"), pick(1, "score").alias("score"), pick(2, "score").alias("second"))
-    # a name without such a surname still went through the step
-    return names.join(best, "tennis_data_name", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return top.groupBy(*names.columns).agg(pick(1, "_surname").alias("best"), pick(1, "_score").alias("score"), pick(2, "_score").alias("second"))
 
 
 def attach_ids(matches: DataFrame, review: DataFrame) -> DataFrame:

@@ -155,18 +155,29 @@ def test_name_ladder_fuzzy(spark):
     assert got["Herbert P.H."].match_method == "fuzzy_ambiguous_or_low_score" and got["..."].match_method == "invalid_name"
 
 
-def test_near_surnames_are_all_found(spark):
+def test_nearest_surnames_against_all(spark):
     import random
 
     rng = random.Random(8)
     words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(250)})
     names = spark.createDataFrame([(w, w, "") for w in words[:120]], "tennis_data_name string, tennis_data_surname string, tennis_data_initial string")
-    known = spark.createDataFrame([(w, w) for w in words[60:]], "surname string, _order string")
-    got = {(r.tennis_data_surname, r.surname) for r in entity._near_pairs(names, known, 87.0).collect()}
-    want = {(a, b) for a in words[:120] for b in words[60:] if scalars.indel_ratio(a, b) >= 87.0}
-    assert want <= got and len(want) > 60
-    a, b = (entity.fuzzy_candidates(names, known, 87.0, all_scores=x).where("score >= 87").select("tennis_data_name", "best", "score").collect() for x in (True, False))
-    assert sorted(a) == sorted(b)
+    known = spark.createDataFrame([(w, f"o{k % 17}") for k, w in enumerate(words[60:])], "surname string, _order string")
+    want = {}
+    for a in words[:120]:
+        ranked = sorted((-scalars.indel_ratio(a, b), f"o{k % 17}", b) for k, b in enumerate(words[60:]))
+        want[a] = (ranked[0][2], -ranked[0][0], -ranked[1][0])
+    for block in (50_000, 30):
+        got = {r.tennis_data_name: (r.best, r.score, r.second) for r in entity.nearest_surnames(names, known, block).collect()}
+        assert got == want
+
+
+def test_scores_of_names_that_stay_unresolved(spark):
+    players = spark.createDataFrame([("1", "Rafael Nadal"), ("2", "Roger Federer")], "player_id string, full_name string")
+    names = spark.createDataFrame([("Qwz T.",), ("Nade R.",)], "name string")
+    got = {r.tennis_data_name: r for r in entity.resolve_names(names, players).collect()}
+    for name, surname in (("Qwz T.", "qwz"), ("Nade R.", "nade")):
+        scores = sorted((scalars.indel_ratio(surname, x) for x in ("nadal", "federer")), reverse=True)
+        assert (got[name].match_method, [got[name].score, got[name].second_score]) == ("fuzzy_ambiguous_or_low_score", scores)
 
 
 def test_players(spark):
