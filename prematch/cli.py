@@ -110,10 +110,11 @@ def tree(spark: SparkSession, source: str, metadata: str, metrics: str, fraction
 
 
 def view(spark: SparkSession, path: str, offset: int = 0, window: int = 500) -> str:
-    """One page of a table as text."""
+    """One page of a table as text, in the order in which it is stored; the offset is kept within the table."""
     df = tables.read_any(spark, path)
-    page = df.offset(offset).limit(window).collect()
-    return "\n".join(["\t".join(df.columns), *["\t".join(scalars.format_cell(v) for v in r) for r in page]])
+    named = df.withColumn("_row", F.monotonically_increasing_id())  # as stored
+    rows = tables.page(named, offset, window, ["_row"]).drop("_row").collect()
+    return "\n".join(["\t".join(df.columns), *["\t".join(scalars.format_cell(v) for v in r) for r in rows]])
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -144,11 +145,10 @@ def main(argv: list[str] | None = None) -> None:
     )
     command("view", ("--file", {"required": True}), ("--offset", {"type": int, "default": 0}), ("--window-size", {"type": int, "default": 500}))
     a = parser.parse_args(argv)
+    spark = session()
     if a.command == "download":
         tables.download_years(a.url, a.folder, a.start_year, a.end_year)
-        return
-    spark = session()
-    if a.command == "manifest":
+    elif a.command == "manifest":
         tables.write_json({"files": [r.asDict() for r in manifests.manifest(spark, a.folder, a.start_year, a.end_year).collect()]}, a.output)
     elif a.command == "merge":
         merge(spark, a.folder, a.output)

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prematch.sources.shared import exists
+from prematch.sources import store
 
 
 def manifest(spark: SparkSession, folder: str, start: int, end: int, extension: str = "xlsx", dataset: str = "matches", source_name: str = "", url: str = "", policy: str = "raw files are not kept in the repository", notes: str = "", paths: dict[int, str] | None = None) -> DataFrame:
@@ -15,7 +15,7 @@ def manifest(spark: SparkSession, folder: str, start: int, end: int, extension:
     if start > end:
         raise ValueError("the first year must not be after the last")
     expected = [(y, (paths or {}).get(y, f"{folder}/{y}.{extension}")) for y in range(start, end + 1)]
-    names = [p for _, p in expected if exists(spark, p)]
+    names = [p for _, p in expected if store.exists(p, spark)]
     plain = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")  # noqa: E731  Spark names files with their store
     if names:
         # hashed where the bytes are read; only digests move

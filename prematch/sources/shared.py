@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prematch.sources import store
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a local session without one gets a folder of its own."""
@@ -23,31 +25,25 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def _path(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Is there such a path in whatever store it names?"""
-    where, store = _path(spark, path)
-    return store.exists(where)
-
-
 def _drop(spark: SparkSession, path: str) -> None:
     try:
-        where, store = _path(spark, path)
-        store.delete(where, True)
+        store.delete(path, spark)
     except Exception:  # the session has ended; the cluster owns what is left in its folder
         pass
 
 
+def folder(spark: SparkSession, what: str) -> str:
+    """A new folder's path in the shared one, deleted when the interpreter ends."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = folder(spark, what)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
     made = spark.read.schema(df.schema).parquet(path)
     made._written_at = path
     return made

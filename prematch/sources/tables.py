@@ -6,17 +6,16 @@ import csv
 import json
 import os
 import re
-import shutil
 import urllib.request
 from collections.abc import Iterable
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prematch import schema
+from prematch.sources import store
 
 DELIMITED = (".csv", ".data", ".tsv", ".txt")
 EXTENSIONS = (*DELIMITED, ".xlsx", ".xlsm", ".parquet")
@@ -28,7 +27,7 @@ NOT_DATA = ("<!doctype html", "<html", "404: not found")
 
 def first_existing(paths: Iterable[str]) -> str:
     for p in paths:
-        if os.path.exists(p):
+        if store.exists(p):
             return str(p)
     raise FileNotFoundError(f"none of {list(paths)} exists")
 
@@ -39,38 +38,37 @@ def present(df: DataFrame) -> DataFrame:
     return df.withColumns(made) if made else df
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", columns: list[str] | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, sep: str = ",", columns: list[str] | None = None, multiline: bool = False) -> DataFrame:
     """All columns as strings, missing tokens as null; numbers and dates are read by the operators, which never raise on a cell.
 
-    With columns the header is trusted to name them and nothing is read ahead.
+    With columns the header is trusted to name them and nothing is read ahead.  Large files are
+    read in splits; cells with line ends inside need ``multiline``, which makes a file one task.
     """
-    if not str(path).startswith(("hdfs:", "s3", "viewfs:", "file:")) and not os.path.exists(path):
+    if not store.exists(path, spark):
         raise FileNotFoundError(path)
-    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').option("enforceSchema", False)
+    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", multiline).option("escape", '"').option("enforceSchema", False)
     if columns:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     return present(reader.csv(str(path)))
 
 
+def _beginning(path: str, n: int = 8192) -> str:
+    return store.head(path, n).decode("utf-8-sig", "replace")
+
+
 def sniff_separator(path: str) -> str:
     """Of comma, semicolon, tab and pipe the one the first lines use; a tab for .tsv, else a comma if nothing tells."""
     if str(path).lower().endswith(".tsv"):
         return "\t"
-    with open(path, encoding="utf-8-sig", errors="replace", newline="") as f:
-        sample = f.read(8192)
     try:
-        return csv.Sniffer().sniff(sample, delimiters=",;\t|").delimiter
+        return csv.Sniffer().sniff(_beginning(path), delimiters=",;\t|").delimiter
     except csv.Error:
         return ","
 
 
 def looks_like_data(path: str) -> bool:
     """False for a missing or empty file and for a web page in place of one."""
-    try:
-        with open(path, encoding="utf-8-sig", errors="replace") as f:
-            first = f.readline().strip().lower()
-    except OSError:
-        return False
+    first = _beginning(path).split("\n", 1)[0].strip().lower()
     return bool(first) and not first.startswith(NOT_DATA)
 
 
@@ -102,11 +100,11 @@ def yearly_workbooks(spark: SparkSession, folder: str) -> DataFrame:
     """All yearly workbooks of a folder as one raw table in schema.RAW_COLUMNS, ``source_year`` from the file's name."""
     from prematch.sources.xlsx import read_xlsx
 
-    files = sorted((p for p in Path(folder).glob("*.xls*") if year_of(str(p))), key=lambda p: (year_of(str(p)), p.name))
+    books = [p for p, is_folder in store.listed(folder, spark) if not is_folder and re.search(r"\.xls[^/]*$", p) and year_of(p)]
     frames = []
-    for p in files:
-        frame = aligned(drop_empty_columns(read_xlsx(spark, str(p))), [c for c in schema.RAW_COLUMNS if c != "source_year"])
-        frames.append(frame.select(F.lit(str(year_of(str(p)))).alias("source_year"), "*"))
+    for p in sorted(books, key=lambda p: (year_of(p), os.path.basename(p))):
+        frame = aligned(drop_empty_columns(read_xlsx(spark, p)), [c for c in schema.RAW_COLUMNS if c != "source_year"])
+        frames.append(frame.select(F.lit(str(year_of(p))).alias("source_year"), "*"))
     if not frames:
         raise FileNotFoundError(f"no yearly workbook in {folder}")
     return union_by_name(frames)
@@ -157,11 +155,7 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
 
 def find_files(root: str) -> list[str]:
     """All readable files below a folder, heavy folders left out, sorted without regard to case."""
-    found = []
-    for folder, names, files in os.walk(root):
-        names[:] = [n for n in names if n not in HEAVY]
-        found += [os.path.join(folder, f) for f in files if f.lower().endswith(EXTENSIONS)]
-    return sorted(found, key=str.lower)
+    return sorted((p for p in store.walk(root, HEAVY) if p.lower().endswith(EXTENSIONS)), key=str.lower)
 
 
 def ragged_rows(spark: SparkSession, path: str, width: int, sep: str = ",") -> DataFrame:
@@ -209,26 +203,22 @@ def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
         return
     part = f"{path}.parts"
     df.coalesce(1).write.mode("overwrite").option("header", True).option("dateFormat", "yyyy-MM-dd").csv(part)
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    shutil.move(str(next(Path(part).glob("part-*.csv"))), path)
-    shutil.rmtree(part)
+    store.move(next(p for p, _ in store.listed(part) if os.path.basename(p).startswith("part-")), path)
+    store.delete(part)
 
 
 def write_json(data: dict, path: str) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    Path(path).write_text(json.dumps(data, indent=2, default=str), encoding="utf-8")
+    store.write(path, iter([json.dumps(data, indent=2, default=str).encode()]))
 
 
 def read_json(path: str) -> dict:
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+    return json.loads(store.read(path).decode())
 
 
-def download(url: str, path: str, chunk: int = 8192) -> None:
+def download(url: str, path: str, chunk: int = 1 << 20) -> None:
     """Stream a URL to a file; an error status raises before anything is written."""
     with urllib.request.urlopen(url) as answer:  # noqa: S310
-        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-        with open(path, "wb") as out:
-            shutil.copyfileobj(answer, out, chunk)
+        store.write(path, iter(lambda: answer.read(chunk), b""))
 
 
 def download_years(template: str, folder: str, start: int, end: int) -> list[str]:

@@ -1,18 +1,21 @@
-"""A Spark data source for the first sheet of XLSX workbooks, and a writer for tests; standard library only."""
+"""The first sheet of XLSX workbooks as a frame, and a writer for tests; standard library only."""
 
 from __future__ import annotations
 
 import datetime as dt
+import io
 import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
+from prematch.sources import store
+
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 #: Built-in number formats that show dates.
@@ -46,9 +49,9 @@ def _date_styles(book: zipfile.ZipFile) -> set[int]:
     return {i for i, x in enumerate(formats if formats is not None else ()) if int(x.get("numFmtId", 0)) in _DATE_FORMATS | own}
 
 
-def sheet_rows(path: str) -> Iterator[list[str | None]]:
-    """Rows of the first sheet as strings: computed values, dates in ISO form, empty cells None."""
-    with zipfile.ZipFile(path) as book:
+def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
+    """Rows of the first sheet of a workbook as strings: computed values, dates in ISO form, empty cells None."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
         shared = []
         if "xl/sharedStrings.xml" in book.namelist():
             shared = ["".join(t.text or "" for t in item.iter(f"{_NS}t")) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
@@ -79,51 +82,52 @@ def sheet_rows(path: str) -> Iterator[list[str | None]]:
                 yield cells
 
 
-def header(path: str) -> list[str]:
+def header(content: bytes) -> list[str]:
     """Column names of the first row; column_{i} where a cell is empty."""
-    first = next(sheet_rows(path), [])
+    first = next(sheet_rows(content), [])
     return [c if c else f"column_{i}" for i, c in enumerate(first)]
 
 
-class XlsxReader(DataSourceReader):
-    def __init__(self, path: str, width: int):
-        self.path, self.width = path, width
-
-    def partitions(self):
-        return [InputPartition(self.path)]  # a compressed sheet can only be read from its start
-
-    def read(self, partition):
-        rows = sheet_rows(partition.value)
-        next(rows, None)
-        for row in rows:
-            yield tuple((row + [None] * self.width)[: self.width])
-
+def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([header(x) for x in batch.column(0).to_pylist()], pa.list_(pa.string()))], ["names"])
 
-class XlsxSource(DataSource):
-    """spark.read.format("xlsx").load(path): one task per workbook."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "xlsx"
+def _reader(names: list[str], rows_at_once: int = 4096):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def table(held: list[list[str | None]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] if k < len(r) else None for r in held], pa.string()) for k in range(len(names))], names)
 
-    def schema(self) -> StructType:
-        return StructType([StructField(c, StringType()) for c in header(self.options["path"])])
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                rows, held = sheet_rows(content), []
+                next(rows, None)
+                for row in rows:
+                    held.append(row)
+                    if len(held) == rows_at_once:
+                        yield table(held)
+                        held = []
+                if held:
+                    yield table(held)
 
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return XlsxReader(self.options["path"], len(schema.fields))
+    return run
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
+    """A workbook's first sheet, all columns as strings, in any store; one task, as a compressed sheet can only be read from its start."""
     if not str(path).lower().endswith((".xlsx", ".xlsm")):
         raise ValueError(f"not an XLSX workbook: {path}")
     from prematch.sources.tables import present
 
-    spark.dataSource.register(XlsxSource)
-    return present(spark.read.format("xlsx").load(path))
+    books = spark.read.format("binaryFile").load(str(path)).select("content")
+    names = books.mapInArrow(_headers, "names array<string>").first()["names"]
+    if not names:
+        return spark.createDataFrame([], StructType([]))
+    return present(books.mapInArrow(_reader(names), StructType([StructField(c, StringType()) for c in names])))
 
 
 def write_xlsx(path: str, rows: list[list[object]]) -> None:
-    """A small workbook with one sheet (numbers, strings and dates), for fixtures."""
+    """A small workbook with one sheet (numbers, strings and dates), in any store."""
     lines = []
     for r, row in enumerate(rows, 1):
         cells = []
@@ -139,9 +143,11 @@ def write_xlsx(path: str, rows: list[list[object]]) -> None:
                 cells.append(f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>')
         lines.append(f'<row r="{r}">{"".join(cells)}</row>')
     main, rel = _NS[1:-1], _REL[1:-1]
-    with zipfile.ZipFile(path, "w") as book:
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as book:
         book.writestr("[Content_Types].xml", '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"/>')
         book.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>')
         book.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
         book.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
         book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{"".join(lines)}</sheetData></worksheet>')
+    store.write(path, iter([made.getvalue()]))

@@ -10,7 +10,7 @@ from prematch.sources import manifest, tables, xlsx
 def test_csv_tokens_and_missing(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text('x,y\n1,"a\nb"\nNA,\n')
-    rows = tables.read_csv(spark, str(path)).collect()
+    rows = tables.read_csv(spark, str(path), multiline=True).collect()
     assert [(r.x, r.y) for r in rows] == [("1", "a\nb"), (None, None)]
     with pytest.raises(FileNotFoundError):
         tables.read_csv(spark, str(tmp_path / "none.csv"))
@@ -23,7 +23,7 @@ def test_union_aligns_by_name(spark, tmp_path):
     assert {(r.match_num, r.tourney_id, r.extra) for r in got.collect()} == {("1", "t", None), ("2", "u", "z")} and len(skipped) == 3
 
 
-def test_sniffing(tmp_path):
+def test_sniffing(spark, tmp_path):
     (tmp_path / "a.csv").write_text("a;b\n1;2\n3;4\n")
     (tmp_path / "b.tsv").write_text("a\tb\n")
     (tmp_path / "c.txt").write_text("one\ntwo\n")
@@ -79,3 +79,23 @@ def test_files(spark, tmp_path):
     assert (tmp_path / "copy" / "c.csv").read_text() == "a\n1\n"
     tables.write_json({"a": 1}, str(tmp_path / "m.json"))
     assert tables.read_json(str(tmp_path / "m.json")) == {"a": 1}
+
+
+def test_other_stores(spark, tmp_path):
+    """Every source works on paths that only Hadoop's file systems understand."""
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.sources.link./in", tmp_path.as_uri())
+    top = "viewfs://sources/in"
+    (tmp_path / "past").mkdir()
+    (tmp_path / "past" / "atp_matches_2020.csv").write_text("tourney_id,match_num,tourney_date,winner_id,loser_id\nt,1,20200101,w,l\n")
+    (tmp_path / "past" / "atp_matches_2021.csv").write_text("<html>\n")
+    rows, skipped = tables.history_years(spark, f"{top}/past", 2019, 2021)
+    assert [r.winner_id for r in rows.collect()] == ["w"] and len(skipped) == 2
+    xlsx.write_xlsx(str(tmp_path / "2020.xlsx"), [["Winner", "ATP"], ["E F.", 7.5]])
+    assert [r.Winner for r in tables.yearly_workbooks(spark, top).collect()] == ["E F."]
+    (tmp_path / "s.csv").write_text("a;b\n1;2\n3;4\n")
+    assert tables.sniff_separator(f"{top}/s.csv") == ";" and tables.first_existing([f"{top}/no", f"{top}/s.csv"]) == f"{top}/s.csv"
+    assert [p.rsplit("/", 1)[1] for p in tables.find_files(top)] == ["2020.xlsx", "atp_matches_2020.csv", "atp_matches_2021.csv", "s.csv"]
+    tables.write_csv(tables.read_any(spark, f"{top}/s.csv"), f"{top}/out/one.csv", single=True)
+    assert (tmp_path / "out" / "one.csv").read_text() == "a,b\n1,2\n3,4\n"
+    tables.write_json({"a": 1}, f"{top}/m.json")
+    assert tables.read_json(f"{top}/m.json") == {"a": 1}
