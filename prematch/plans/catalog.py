@@ -11,7 +11,7 @@ from prematch import schema
 from prematch.functions import scalars
 from prematch.operators import checks, clean, entity, features, history, ml, serve, splits
 from prematch.plans import views
-from prematch.sources import manifest, tables
+from prematch.sources import manifest, shared, store, tables, xlsx
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,10 +74,7 @@ _VALID = ", ".join(
 )
 def q_bouts_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaning: duplicates, completed only, names, dates, numbers, null-outs."""
-    raw = views.raw(spark, sf_dir)
-    typed = clean._typed(clean._renamed_with(raw.dropDuplicates(), "match_id").where(scalars.completed("comment")))
-    kept = typed.dropna(subset=["date", "winner_name", "loser_name"]).where("winner_name != loser_name")
-    made = clean._valid(kept).select("match_id", *schema.CLEAN_COLUMNS)
+    made = clean.normalize(views.raw(spark, sf_dir), keep=["match_id"])
     return made.withColumns({c: F.col(c).cast("double") for c in ("atp", "best_of")})  # whole numbers or null: compared as doubles
 
 
@@ -281,7 +278,7 @@ def q_serve_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serve.serve_rates(views.serve(spark, sf_dir))
 
 
-_ASOF = f"""{_B}, {_SERVE_LONG}, {_SRATES}, daily as (
+_ASOF = f"""{_B}, {_SERVE_LONG}, {_SRATES}, daily as materialized (
   select * from srates qualify row_number() over (partition by player, tourney_date order by match_id desc, side desc) = 1
 ), asked as (
   select match_id, match_date, 'winner' as side, winner_name as player from bouts union all select match_id, match_date, 'loser', loser_name from bouts
@@ -290,10 +287,10 @@ _ASOF = f"""{_B}, {_SERVE_LONG}, {_SRATES}, daily as (
 )"""
 
 
-@query(
-    f"with {_ASOF} select b.match_id, {', '.join(f'{s[0]}.{c} as {s}_{c}' for s in ('winner', 'loser') for c in _RATE_COLS)} from bouts b "
-    "join found w on w.match_id = b.match_id and w.side = 'winner' join found l on l.match_id = b.match_id and l.side = 'loser'"
-)
+_ASOF_WIDE = f"select match_id, {', '.join(f'max({c}) filter (where side = {s!r}) as {s}_{c}' for s in ('winner', 'loser') for c in _RATE_COLS)} from found group by match_id"
+
+
+@query(f"with {_ASOF} {_ASOF_WIDE}")
 def q_asof_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each side's latest service rates strictly before the match."""
     made = serve.attach_serve(views.bouts(spark, sf_dir).select("match_id", "match_date", "winner_name", "loser_name"), serve.serve_rates(views.serve(spark, sf_dir)))
@@ -304,8 +301,7 @@ _COVERED = [f"{s}_{c}" for s in ("winner", "loser") for c in _RATE_COLS]
 
 
 @query(
-    f"with {_ASOF}, wide as (select b.match_id, {', '.join(f'{s[0]}.{c} as {s}_{c}' for s in ('winner', 'loser') for c in _RATE_COLS)} from bouts b "
-    "join found w on w.match_id = b.match_id and w.side = 'winner' join found l on l.match_id = b.match_id and l.side = 'loser') "
+    f"with {_ASOF}, wide as materialized ({_ASOF_WIDE}) "
     + " union all ".join(f"select '{c}' as column_name, 100.0::double * count({c}) / count(*) as pct from wide" for c in _COVERED)
 )
 def q_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -429,29 +425,28 @@ def q_name_resolution_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity.resolve_names(_names(spark, sf_dir), _players(spark, sf_dir), fuzzy=False, ascii_only=True)
 
 
-#: Similarity by a bit-parallel common subsequence, one step per letter; scores under 87, 92 less the margin of 5, are left out.
+#: Similarity by a bit-parallel common subsequence, one step per letter, of every name without an exact player with every surname.
 _FUZZY = f"""with recursive {_PARTS}, {_KNOWN}, tried as (
   select p.name, p.surname, p.initial, count(k.player_id) as n, min(k.player_id) as player_id, min(k.full_name) as full_name
   from parts p left join known k on p.surname = k.surname and k.surname != '' and (p.initial = '' or p.initial = k.initial) group by all
 ), still as (select * from tried where n = 0 and surname != ''),
 surnames as (select surname as b, min(player_id) as ord from known where surname != '' group by surname),
 pairs as (
-  select s.name, s.surname as a, u.b, u.ord from still s join surnames u
-  on len(u.b) between ceil(len(s.surname) * 0.87::double / 1.13::double) and floor(len(s.surname) * 1.13::double / 0.87::double)
+  select distinct s.surname as a, u.b, u.ord from still s, surnames u
 ), step as (
-  select name, a, b, ord, 0 as j, (1::bigint << len(a)) - 1 as state from pairs
+  select a, b, ord, 0 as j, (1::bigint << len(a)) - 1 as state from pairs
   union all
-  select name, a, b, ord, j + 1, ((state + (state & m)) | (state - (state & m))) & ((1::bigint << len(a)) - 1) from (
+  select a, b, ord, j + 1, ((state + (state & m)) | (state - (state & m))) & ((1::bigint << len(a)) - 1) from (
     select *, list_aggregate(list_transform(range(len(a)), lambda i: case when substr(a, i::int + 1, 1) = substr(b, j + 1, 1) then 1::bigint << i else 0::bigint end), 'bit_or') as m
     from step where j < len(b)
   )
 ), scored as (
-  select name, b, ord, 100.0::double * 2 * (len(a) - bit_count(state)) / (len(a) + len(b)) as score from step where j = len(b)
+  select a, b, ord, 100.0::double * 2 * (len(a) - bit_count(state)) / (len(a) + len(b)) as score from step where j = len(b)
 ), ranked as (
-  select *, row_number() over (partition by name order by score desc, ord, b) as place from scored where score >= 87
+  select *, row_number() over (partition by a order by score desc, ord, b) as place from scored
 ), best as (
-  select s.name, s.initial, coalesce(x.score, 0.0::double) as score, y.score as second, x.b as best
-  from still s left join ranked x on x.name = s.name and x.place = 1 left join ranked y on y.name = s.name and y.place = 2
+  select s.name, s.initial, x.score, y.score as second, x.b as best
+  from still s left join ranked x on x.a = s.surname and x.place = 1 left join ranked y on y.a = s.surname and y.place = 2
 ), fits as (
   select b.name, b.score, b.second, count(k.player_id) as n, min(k.player_id) as player_id, min(k.full_name) as full_name
   from best b left join known k on k.surname = b.best and (b.initial = '' or b.initial = k.initial) group by all
@@ -637,6 +632,48 @@ def q_classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.classification_report(_ruled(spark, sf_dir), "label", "prediction")
 
 
+# --- sources ----------------------------------------------------------------------------------------
+
+
+@query("select cast(c_custkey as varchar) as id, case when c_custkey % 5 = 0 then null else c_name || ', \"the\" ' || c_custkey end as name, cast(c_acctbal as double) as balance from customer")
+def q_csv_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as CSV and read again, with quotes, separators and the tokens of missing values."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    name = F.when(F.col("c_custkey") % 5 == 0, F.element_at(F.array(F.lit("NA"), F.lit("null"), F.lit("")), (F.col("c_custkey") % 3 + 1).cast("int"))).otherwise(F.concat("c_name", F.lit(', "the" '), F.col("c_custkey")))
+    path = shared.folder(spark, "customers.csv")
+    rows.select(F.col("c_custkey").alias("id"), name.alias("name"), F.col("c_acctbal").alias("balance")).write.option("header", True).option("escape", '"').csv(path)
+    return tables.read_csv(spark, path).select("id", "name", scalars.number("balance").alias("balance"))
+
+
+_YEARLY = ["match_num", "tourney_date", "winner_id", "loser_id", "w_ace"]
+
+
+@query(f"with {_S} select cast(match_num as varchar) as match_num, tourney_date, winner_id, loser_id, w_ace from serve where year(tourney_date) in (1993, 1995, 1996)")
+def q_history_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly CSV files whose columns come in another order each; one year is a web page, one lacks a column, one is not there."""
+    rows, folder = views.serve(spark, sf_dir).select(*_YEARLY), shared.folder(spark, "history")
+    for k, year in enumerate((1993, 1995, 1996, 1997)):
+        columns = [*_YEARLY[k:], *_YEARLY[:k]] if year < 1997 else _YEARLY[1:]
+        tables.write_csv(rows.where(F.year("tourney_date") == year).select(*columns), f"{folder}/atp_matches_{year}.csv", single=True)
+    store.write(f"{folder}/atp_matches_1994.csv", iter([b"<!DOCTYPE html>\n<p>404</p>\n"]))
+    found, _ = tables.history_years(spark, folder, 1992, 1998, tuple(_YEARLY[:4]))
+    return found.select("match_num", scalars.to_date("tourney_date").alias("tourney_date"), "winner_id", "loser_id", scalars.number("w_ace").alias("w_ace"))
+
+
+@query(
+    "select '2020' as source_year, cast(r_regionkey as varchar) as atp, r_name as location, cast(null as varchar) as winner from region "
+    "union all select '2021', null, null, n_name from nation"
+)
+def q_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly workbooks with different columns, one of them empty, as one table."""
+    folder = shared.folder(spark, "workbooks")
+    regions, nations = (spark.read.parquet(f"{sf_dir}/{t}.parquet").collect() for t in ("region", "nation"))  # 5 and 25 rows
+    xlsx.write_xlsx(f"{folder}/matches 2020.xlsx", [["ATP", "Location ", "Court"], *[[r["r_regionkey"], r["r_name"], None] for r in regions]])
+    xlsx.write_xlsx(f"{folder}/2021.xlsx", [["Winner"], *[[r["n_name"]] for r in nations]])
+    made = tables.yearly_workbooks(spark, folder)
+    return made.select("source_year", F.col("ATP").alias("atp"), F.col("Location").alias("location"), F.col("Winner").alias("winner"))
+
+
 @query()
 def q_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A manifest over two tables and an absent one in place of yearly files."""
