@@ -4,7 +4,7 @@
 2. Document frequencies of all token ids, over the whole corpus, make the term
    statistics: one number per vocabulary entry, a size that the corpus doesn't change.
 3. Every document whose id is divisible by SEED_EVERY is a seed.  The corpus is
-   an index in shards of SHARD_DOCS documents, each laid out as BM25 weights by term; every
+   an index in shards of SHARD_DOCS documents, each with the BM25 weights of its terms; every
    shard is asked with all seeds, in blocks of bounded size.  A document that
    several seeds find goes to the one it scores highest with, so it is used once.
 4. Documents are ordered by (seed, score) and dealt out in ranges of that order.
@@ -31,7 +31,7 @@ WINDOW, END = 2048, 1
 #: Documents that ask, those whose id it divides, and documents of one shard of the index.
 SEED_EVERY, SHARD_DOCS = 100, 512
 #: Bytes of the matrix that a block of seeds makes in a task.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 96 << 20
 K1, B = 1.2, 0.75
 #: Parts of words whose ids a task remembers, before it starts anew.
 CACHE_PARTS = 500_000
@@ -88,8 +88,8 @@ class Words:
         self.forget()
 
     def forget(self) -> None:
-        """Start with END alone.  Known parts, by ascending key: their second key, bytes (in the pool) and ids (in the table)."""
-        self.known, self.other = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        """Start with END alone.  Known parts, by ascending key: their bytes (in the pool) and ids (in the table)."""
+        self.known = np.zeros(0, np.uint64)
         self.lies, self.long, self.begin, self.size = (np.zeros(0, np.int64) for _ in range(4))
         self.pool, self.table = np.zeros(0, np.uint8), np.array([END], "<u2")
 
@@ -108,25 +108,25 @@ class Words:
         self.table = np.concatenate([self.table, np.fromiter(chain.from_iterable(found), np.uint16, int(size.sum()))])
         return begin, size
 
-    def _known(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    def _known(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Where each part is among the known ones, by its bytes; -1 if it is not."""
         if not len(self.known):
             return np.full(len(starts), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.known, keys[0]), len(self.known) - 1)
-        same = (self.known[at] == keys[0]) & (self.other[at] == keys[1]) & (self.long[at] == ends - starts)
+        at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+        same = (self.known[at] == keys) & (self.long[at] == ends - starts)
         hit = np.flatnonzero(same)
         same[hit] = same_bytes(low, starts[hit], self.pool, self.lies[at[hit]], self.long[at[hit]])
         return np.where(same, at, -1)
 
-    def _learn(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: tuple[np.ndarray, np.ndarray], letters: np.ndarray) -> None:
-        """Add parts whose first keys are distinct and not known."""
-        order = np.argsort(keys[0])
+    def _learn(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, letters: np.ndarray) -> None:
+        """Add parts whose keys are distinct and not known."""
+        order = np.argsort(keys)
         starts, ends, letters = starts[order], ends[order], letters[order]
         raw = [low[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
         begin, size = self._ids_of(list(zip(raw, letters.tolist())))
         long = ends - starts
-        at = np.searchsorted(self.known, keys[0][order])
-        for name, new in {"known": keys[0][order], "other": keys[1][order], "lies": len(self.pool) + np.cumsum(long) - long, "long": long, "begin": begin, "size": size}.items():
+        at = np.searchsorted(self.known, keys[order])
+        for name, new in {"known": keys[order], "lies": len(self.pool) + np.cumsum(long) - long, "long": long, "begin": begin, "size": size}.items():
             setattr(self, name, np.insert(getattr(self, name), at, new))
         self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(raw), np.uint8)])
 
@@ -157,9 +157,12 @@ class Words:
             self.forget()
         own = (low, starts[one], ends[one])
         letters = kind[own[1]] == _LETTER
-        fresh = np.flatnonzero(~np.isin(keys[0], self.known))
-        fresh = fresh[np.unique(keys[0][fresh], return_index=True)[1]]
-        self._learn(low, own[1][fresh], own[2][fresh], (keys[0][fresh], keys[1][fresh]), letters[fresh])
+        fresh = np.arange(len(keys))
+        if len(self.known):
+            fresh = np.flatnonzero(self.known[np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)] != keys)
+        if (keys[1:] <= keys[:-1]).any():  # parts that share a key
+            fresh = fresh[np.unique(keys[fresh], return_index=True)[1]]
+        self._learn(low, own[1][fresh], own[2][fresh], keys[fresh], letters[fresh])
         at = self._known(*own, keys)
         begins, sizes = np.append(self.begin[at], 0), np.append(self.size[at], 1)
         odd = np.flatnonzero(at < 0)  # shares its key with another part
@@ -216,38 +219,42 @@ def _counter(size: int):
 
 
 class Terms:
-    """The statistics of the whole corpus: BM25 weights of documents, in columns of the terms that occur."""
+    """The statistics of the whole corpus, and BM25 weights of documents by them."""
 
     def __init__(self, df: np.ndarray, docs: int, mean: float):
-        seen = np.flatnonzero(df)
-        self.size, self.mean = len(seen), mean
-        self.column = np.full(len(df), -1, np.int32)
-        self.column[seen] = np.arange(len(seen), dtype=np.int32)
-        self.idf = np.log1p((docs - df[seen] + 0.5) / (df[seen] + 0.5)).astype(np.float32)
-
-    def weights(self, docs: list[np.ndarray]) -> np.ndarray:
-        """A row for each document (its ids), a column for each term; a document's END is no term of it."""
+        self.idf = np.log1p((docs - df + 0.5) / (df + 0.5)).astype(np.float32)
+        self.idf[END] = 0  # ends every document, and is no term of any
+        self.mean = mean
+
+    def weights(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(the terms that some documents have, ascending; a row for each document with a column for each of these)."""
         length = np.array([len(d) for d in docs], np.int64)
         flat = np.concatenate(docs) if docs else np.zeros(0, np.uint16)
-        place = np.repeat(np.arange(len(docs)) * self.size, length) + self.column[flat]
-        tf = np.bincount(place, minlength=len(docs) * self.size).reshape(len(docs), self.size).astype(np.float32)
-        if self.column[END] >= 0:
-            tf[:, self.column[END]] = 0
+        terms = np.flatnonzero(np.bincount(flat, minlength=len(self.idf)))
+        column = np.zeros(len(self.idf), np.int64)
+        column[terms] = np.arange(len(terms))
+        tf = np.bincount(np.repeat(np.arange(len(docs)) * len(terms), length) + column[flat], minlength=len(docs) * len(terms)).reshape(len(docs), len(terms)).astype(np.float32)
         norm = (K1 * (1 - B + B * length / self.mean)).astype(np.float32)[:, None]
-        return self.idf * tf * np.float32(K1 + 1) / (tf + norm)
+        return terms, self.idf[terms] * tf * np.float32(K1 + 1) / (tf + norm)
 
 
-def seed_rows(weights: np.ndarray) -> np.ndarray:
-    """What seeds ask with: their own weights, of length 1 each, so that no seed draws documents by its length alone."""
-    length = np.sqrt((weights.astype(np.float64) ** 2).sum(1, keepdims=True))
-    return (weights / np.maximum(length, 1e-9)).astype(np.float32)
+class Seeds:
+    """What a block of seeds asks with: their own weights, of length 1 each, so that no seed draws documents by its length alone."""
 
+    def __init__(self, terms: Terms, seeds: list[np.ndarray]):
+        known, weights = terms.weights(seeds)
+        length = np.sqrt((weights * weights).sum(1, keepdims=True))
+        self.by_term = np.ascontiguousarray((weights / np.maximum(length, np.float32(1e-9))).T)
+        self.row = np.full(len(terms.idf), -1, np.int64)
+        self.row[known] = np.arange(len(known))
 
-def best_seeds(asked: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each document of a shard (weights): the seed (row of asked) that it scores highest with, and that score; the first of equal ones."""
-    scores = np.rint((asked @ shard.T) * np.float32(4096)) / np.float32(4096)  # sums of floats differ a little with the shape of a shard
-    best = scores.argmax(0)
-    return best, scores[best, np.arange(len(best))]
+    def best(self, terms: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each document of a shard (its terms and weights): the seed that it scores highest with, and that score; the first of equal ones."""
+        met = self.row[terms] >= 0
+        scores = shard[:, met] @ self.by_term[self.row[terms[met]]]
+        scores = np.rint(scores * np.float32(4096)) / np.float32(4096)  # sums of floats differ a little with the shape of a shard
+        best = scores.argmax(1)
+        return best, scores[np.arange(len(best)), best]
 
 
 def _finder(shared):
@@ -257,12 +264,12 @@ def _finder(shared):
         release()
         (df, docs, mean), names, ids = shared.value
         terms = Terms(df, docs, mean)
-        names, asked = np.array(names, np.int64), seed_rows(terms.weights([np.frombuffer(x, "<u2") for x in ids]))
-        step = max(1, min(SHARD_DOCS, BLOCK_BYTES // (8 * max(1, terms.size))))
+        names, seeds = np.array(names, np.int64), Seeds(terms, [np.frombuffer(x, "<u2") for x in ids])
+        release(False)
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                piece = batch.slice(at, step)
-                best, score = best_seeds(asked, terms.weights([np.frombuffer(x.as_buffer(), "<u2") for x in piece.column(1)]))
+            for at in range(0, batch.num_rows, SHARD_DOCS):
+                piece = batch.slice(at, SHARD_DOCS)
+                best, score = seeds.best(*terms.weights([np.frombuffer(x.as_buffer(), "<u2") for x in piece.column(1)]))
                 had = piece.column(4).to_numpy(zero_copy_only=False)
                 seed, had_seed = names[best], piece.column(3).fill_null(0).to_numpy()
                 take = (score > had) | (score == had) & (score > 0) & (seed < had_seed)

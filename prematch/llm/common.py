@@ -146,28 +146,32 @@ def eights(data: np.ndarray) -> np.ndarray:
     return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
 
-def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each word's bytes.
+def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lanes: int = 2) -> list[np.ndarray]:
+    """Independent 64-bit hashes of each word's bytes, one per lane.
 
     Eight bytes at a time go through a bijection, so no pattern of repeats (as
-    with sums of powers) makes two words alike in both.
+    with sums of powers) makes two words alike in both lanes.
     """
     size, view = ends - starts, eights(data)
-    keys = [mixed(size.astype(np.uint64) ^ c) for c in _LANES]
-    live, at, left = np.arange(len(starts)), starts, size
+    here = view[starts] & _OWN[np.minimum(size, 8)]
+    keys = [mixed((mixed(size.astype(np.uint64) ^ c) ^ here) * c + c) for c in _LANES[:lanes]]
+    live = np.flatnonzero(size > 8)
+    at, left = starts[live] + 8, size[live] - 8
     while len(live):
         here = view[at] & _OWN[np.minimum(left, 8)]
         for key, c in zip(keys, _LANES):
             key[live] = mixed((key[live] ^ here) * c + c)
         more = left > 8
         live, at, left = live[more], at[more] + 8, left[more] - 8
-    return keys[0], keys[1]
+    return keys
 
 
 def same_bytes(x: np.ndarray, x_at: np.ndarray, y: np.ndarray, y_at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Are the ``size`` bytes from x_at in x those from y_at in y?"""
-    a, b = eights(x), eights(y)
-    same, live, at = np.ones(len(size), bool), np.arange(len(size)), 0
+    a = eights(x)
+    b = a if x is y else eights(y)
+    same = (a[x_at] ^ b[y_at]) & _OWN[np.minimum(size, 8)] == 0
+    live, at = np.flatnonzero(same & (size > 8)), 8
     while len(live):
         here = (a[x_at[live] + at] ^ b[y_at[live] + at]) & _OWN[np.minimum(size[live] - at, 8)]
         same[live[here != 0]] = False
@@ -176,22 +180,22 @@ def same_bytes(x: np.ndarray, x_at: np.ndarray, y: np.ndarray, y_at: np.ndarray,
     return same
 
 
-def number_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+def number_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a number for each word, one word of each number, the keys of those): equal numbers mean equal bytes, which are compared."""
-    a, b = word_keys(data, starts, ends)
-    order = np.argsort(a)
+    (key,) = word_keys(data, starts, ends, 1)
+    order = np.argsort(key)
     new = np.ones(len(order), bool)
-    new[1:] = a[order][1:] != a[order][:-1]
+    new[1:] = key[order][1:] != key[order][:-1]
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
     one = order[new]
     first, size = one[number], ends - starts
-    if not (((b == b[first]) & (size == size[first])).all() and same_bytes(data, starts, data, starts[first], size).all()):
+    if not ((size == size[first]).all() and same_bytes(data, starts, data, starts[first], size).all()):
         # words that share a key: told apart by their bytes
         raw, known = data.tobytes(), {}
         number = np.array([known.setdefault(raw[s:e], len(known)) for s, e in zip(starts.tolist(), ends.tolist())], np.int64)
         one = np.unique(number, return_index=True)[1]
-    return number, one, (a[one], b[one])
+    return number, one, key[one]
 
 
 def runs_of(number: np.ndarray, length: int) -> np.ndarray:

@@ -79,7 +79,7 @@ class Items:
         starts, ends, first = words_of(self.data, offsets)
         doc = np.repeat(np.arange(len(texts)), np.diff(first))
         at = np.flatnonzero(first[1:][doc] - np.arange(len(starts)) >= LEAST)
-        hashes = Rolling(word_keys(self.data, starts, ends)[0], WORD_BASE).of(at, at + LEAST)
+        hashes = Rolling(word_keys(self.data, starts, ends, 1)[0], WORD_BASE).of(at, at + LEAST)
         order = np.argsort(hashes, kind="stable")
         self.words = np.diff(first)
         self.hashes, self.item, self.at = hashes[order], doc[at][order], (at - first[doc[at]])[order]
@@ -111,7 +111,7 @@ def tile_batch(texts: pa.Array, items: Items, coverage: float) -> list[tuple]:
         return []
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     at = np.flatnonzero(first[1:][doc] - np.arange(len(starts)) >= LEAST)
-    hashes = Rolling(word_keys(data, starts, ends)[0], WORD_BASE).of(at, at + LEAST)
+    hashes = Rolling(word_keys(data, starts, ends, 1)[0], WORD_BASE).of(at, at + LEAST)
     maybe = np.flatnonzero(items.maybe[hashes >> items.shift])
     low, high = np.searchsorted(items.hashes, hashes[maybe], "left"), np.searchsorted(items.hashes, hashes[maybe], "right")
     count = high - low

@@ -109,7 +109,7 @@ def test_parts_with_equal_keys(monkeypatch):
     from prematch.llm import common
 
     texts = ["ab cd ab", "efg ab 12 é", "abba " * 3]
-    monkeypatch.setattr(common, "word_keys", lambda data, starts, ends: (np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)))
+    monkeypatch.setattr(common, "word_keys", lambda data, starts, ends, lanes: [np.zeros(len(starts), np.uint64)])
     words = P.Words(P.vocabulary_path())
     for _ in range(2):  # learnt, and known
         flat, n = words.ids(*text_buffer(pa.array(texts)))

@@ -113,7 +113,7 @@ def test_crafted_words_are_told_apart(spark, n):
 def test_numbers_where_keys_collide(monkeypatch):
     from prematch.llm import common
 
-    monkeypatch.setattr(common, "word_keys", lambda data, starts, ends: (np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)))
+    monkeypatch.setattr(common, "word_keys", lambda data, starts, ends, lanes: [np.zeros(len(starts), np.uint64)])
     data, offsets = text_buffer(pa.array(["ab cd ab", "cd abcdefghij abcdefghik"]))
     starts, ends, _ = words_of(data, offsets)
     assert common.number_words(data, starts, ends)[0].tolist() == [0, 1, 0, 1, 2, 3]
