@@ -1,10 +1,11 @@
 """Quality rules whose thresholds adapt to language and source.
 
-Each document's rates fall into the buckets of a quantile sketch per
-(language, source): a count for each whole value up to TOP, so sketches merge
-by adding counts, exactly and in any order.  Fences at the quartiles, widened
-by three interquartile ranges and a least margin, replace fixed cutoffs; the
-fences are joined back and decide.
+Each document's rates go into a quantile sketch per (language, source) with
+log-linear buckets: a whole value keeps its BITS highest bits, so a bucket is at most
+1 / 2^(BITS - 1) of its values wide, at any magnitude.  A sketch is a count per
+bucket, and sketches merge by adding counts, exactly and in any order.  Fences at the
+quartiles, widened by three interquartile ranges (and a least margin, for groups without spread),
+replace fixed cutoffs; the fences are joined back and decide.
 """
 
 from __future__ import annotations
@@ -20,13 +21,12 @@ from .common import number_words, runs_of, slices, text_buffer, words_of, writte
 
 REPEAT_WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
-#: Values from TOP on share the last bucket of a sketch.
-TOP = 2000
+#: Highest bits of a value that a sketch keeps: whole values below 2^BITS are exact, others off by under 1.6 %.
+BITS = 7
 #: Rate: (numerator, denominator, scale, fence below, least distance of a fence from its quartile).
 RATES = {
     "symbols": ("n_symbols", "word_chars", 1000, False, 10),
     "dup_lines": ("n_dup_lines", "n_lines", 1000, False, 400),
-    "repeats": ("n_repeat_words", "n_words", 1000, False, 300),
     "word_length": ("word_chars", "n_words", 10, True, 30),
 }
 #: Groups of fewer documents use the fences of their language, or of all.
@@ -97,13 +97,19 @@ def _rate(name: str) -> Column:
     return F.floor(F.col(top) * scale / F.greatest(F.col(bottom), F.lit(1))).cast("long")
 
 
+def bucket(value: Column) -> Column:
+    """A value's bucket: its BITS highest bits, the lower ones zero."""
+    low = F.greatest(F.length(F.bin(value)) - BITS, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", value, low), low)
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, rate, value, n): one sketch per (lang, source), of the documents that pass the base rules."""
-    rates = F.explode(F.array(*[F.struct(F.lit(x).alias("rate"), F.least(_rate(x), F.lit(TOP)).alias("value")) for x in RATES]))
+    rates = F.explode(F.array(*[F.struct(F.lit(x).alias("rate"), bucket(_rate(x)).alias("value")) for x in RATES]))
     return measured.where(~base_failed()).select("lang", "source", rates.alias("r")).groupBy("lang", "source", "r.rate", "r.value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -124,7 +130,7 @@ def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
     for name, (_, _, _, below, margin) in RATES.items():
         width = F.greatest(3 * (F.col("q3") - F.col("q1")), F.lit(margin))
         mine = F.col("rate") == name
-        cols.append(F.max(F.when(mine, F.when(F.col("q3") + width < TOP, F.col("q3") + width))).alias(f"{name}_high"))
+        cols.append(F.max(F.when(mine, F.col("q3") + width)).alias(f"{name}_high"))
         if below:
             cols.append(F.max(F.when(mine, F.col("q1") - width)).alias(f"{name}_low"))
     return quartiles.groupBy(*by).agg(F.max("size").alias("size"), *cols)

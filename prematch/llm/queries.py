@@ -58,6 +58,11 @@ def op6_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RATE_SQL = {x: f"(({top} * {scale}) // greatest({bottom}, 1))" for x, (top, bottom, scale, _, _) in adaptive_quality.RATES.items()}
 
 
+def _bucket_sql(x: str) -> str:
+    low = f"greatest(length(bin({x})) - {adaptive_quality.BITS}, 0)"
+    return f"((({x}) >> {low}) << {low})"
+
+
 def _fence_sql(by: list[str], tag: str) -> str:
     """Common table expressions for the fences by some keys."""
     key = ", ".join(by)
@@ -66,7 +71,7 @@ def _fence_sql(by: list[str], tag: str) -> str:
     cols = []
     for x, (_, _, _, below, margin) in adaptive_quality.RATES.items():
         width = f"greatest(3 * (q3 - q1), {margin})"
-        cols.append(f"max(case when rate = '{x}' and q3 + {width} < {adaptive_quality.TOP} then q3 + {width} end) as {x}_high")
+        cols.append(f"max(case when rate = '{x}' then q3 + {width} end) as {x}_high")
         if below:
             cols.append(f"max(case when rate = '{x}' then q1 - {width} end) as {x}_low")
     return f"""
@@ -109,7 +114,7 @@ with words as (
 ), based as (
   select *, n_words < {adaptive_quality.LEAST_WORDS} or 100 * n_repeat_words > {adaptive_quality.MOST_REPEATED} * n_words as base_failed from facts
 ), sketch as (
-  {" union all ".join(f"select lang, source, '{x}' as rate, least({e}, {adaptive_quality.TOP}) as value, count(*) as n from based where not base_failed group by all" for x, e in _RATE_SQL.items())}
+  {" union all ".join(f"select lang, source, '{x}' as rate, {_bucket_sql(e)} as value, count(*) as n from based where not base_failed group by all" for x, e in _RATE_SQL.items())}
 ), {_fence_sql(["lang", "source"], "both")}, {_fence_sql(["lang"], "lang")}, {_fence_sql([], "all")}
 select d.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        not base_failed and {" and ".join(f"coalesce({e} <= {_bound(x + '_high')}, true)" + (f" and coalesce({e} >= {_bound(x + '_low')}, true)" if adaptive_quality.RATES[x][3] else "") for x, e in _RATE_SQL.items())} as kept
