@@ -23,8 +23,8 @@ from .common import slices
 UNKNOWN = "und"
 #: Bounds of the sample that is fitted, per language: documents, characters of each, bytes of the dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 1024, 32 << 10
-#: Dictionaries held by every task at once, together.
-MOST_BYTES = 64 << 20
+#: The labels that are learnt are the most frequent ones, so many at most; their dictionaries, which every task holds at once, get smaller where they would have more bytes together.
+MOST_LABELS, MOST_BYTES = 4096, 64 << 20
 #: A text is compressed in blocks, so that the dictionary counts for all of it; what goes before each lets matches in short ones count too.
 BLOCK, LEVEL, BEFORE = 4096, 6, bytes(64)
 #: Rejected below this relative difference of the two smallest totals.
@@ -51,20 +51,25 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int =
 
     Counts cover all rows.  The dictionary is made of a bounded sample: up to
     ``sample_docs`` distinct texts per language by a hash of the text, the
-    first ``sample_chars`` characters of each, ``dictionary_bytes`` in all.
+    first ``sample_chars`` characters of each, as many of them as make ``dictionary_bytes``.  Of
+    very many labels the MOST_LABELS most frequent ones are learnt, with
+    dictionaries that have MOST_BYTES together.
     """
     known = labelled.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    frequent = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LABELS)
+    counts = {r["lang"]: r["n"] for r in frequent.collect()}
     languages = sorted(counts, key=lambda x: (-counts[x], x))
-    if len(languages) * dictionary_bytes > MOST_BYTES:
-        raise ValueError(f"{len(languages)} languages need smaller dictionaries than {dictionary_bytes} bytes")
     if not languages:
         return Model([], [])
-    share = {x: min(1.0, 8 * sample_docs / counts[x]) for x in languages}
-    rank, chance = F.xxhash64("text"), F.create_map(*[F.lit(y) for x in languages for y in (x, int(share[x] * (1 << 30)))])
-    drawn = known.select("lang", rank.alias("rank"), F.substring("text", 1, sample_chars).alias("piece"))
-    drawn = drawn.where(F.pmod("rank", F.lit(1 << 30)) <= chance[F.col("lang")]).groupBy("lang", "rank").agg(F.min("piece").alias("piece"))
+    dictionary_bytes = min(dictionary_bytes, MOST_BYTES // len(languages))
+    share = [(x, int(min(1.0, 8 * sample_docs / counts[x]) * (1 << 30))) for x in languages]
+    chances = F.broadcast(known.sparkSession.createDataFrame(share, "lang string, chance long"))  # MOST_LABELS rows at most
+    drawn = known.select("lang", F.xxhash64("text").alias("rank"), F.substring("text", 1, sample_chars).alias("piece")).join(chances, "lang")
+    drawn = drawn.where(F.pmod("rank", F.lit(1 << 30)) <= F.col("chance")).groupBy("lang", "rank").agg(F.min("piece").alias("piece"))
     drawn = drawn.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("rank"))).where(F.col("at") <= sample_docs)
+    # what is drawn is cut to the dictionaries before it reaches the driver
+    upto = F.sum(F.octet_length("piece")).over(Window.partitionBy("lang").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    drawn = drawn.withColumn("upto", F.coalesce(upto, F.lit(0))).where(F.col("upto") < 2 * dictionary_bytes)
     pieces: dict[str, list] = {x: [] for x in languages}
     for row in drawn.orderBy("lang", "at").collect():
         pieces[row["lang"]].append(_plain(row["piece"]))
@@ -105,9 +110,12 @@ def classify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     difference of the two smallest totals; equal totals go to the language
     with more labelled rows.  rejected marks ``und`` and margins under NARROW.
     Repeated rows are classified alike; an empty table gives an empty result.
+    A column to keep that is named like one of those made is refused with a ValueError; in a struct it can be carried.
     """
     spark = docs.sparkSession
     keep = ["doc_id"] if keep is None else keep
+    if clash := {"lang_pred", "score", "rejected"} & set(keep):
+        raise ValueError(f"columns can't be kept beside those made of the same name: {sorted(clash)}")
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
     shared = spark.sparkContext.broadcast((model.languages, model.dictionaries))  # plain types: broadcasts are not pickled by value
     names = [*kept.columns, "lang_pred", "score", "rejected"]

@@ -42,3 +42,49 @@ def test_margins():
     assert lang == "b" and score > 0 and not rejected
     assert L.classify_text("zzqq", model, made)[2]
     assert L.classify_text("bonjour le monde " * 5000, model, made)[0] == "b"
+
+
+def test_against_plain_compression(spark):
+    """Every text as one by one with encoders made anew."""
+    import zstandard
+
+    rows = [(i, t) for i, t in texts() if t and i is not None and len(t) < 5000]
+    model = L.fit(documents(spark, rows).select("text", "lang"))
+    assert len(model.languages) == 2
+
+    def size(plain, content):
+        total = 0
+        for k in range(0, len(plain), 4096):
+            given = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            given.precompute_compress(level=L.LEVEL)
+            total += len(zstandard.ZstdCompressor(level=L.LEVEL, dict_data=given, write_content_size=False, write_checksum=False, write_dict_id=False).compress(bytes(64) + plain[k : k + 4096]))
+        return total
+
+    got = {(r.doc_id, r.text): r for r in L.classify(documents(spark, rows), model, ["doc_id", "text"]).collect()}
+    for i, t in rows:
+        letters = "".join(c if c.isalpha() else " " for c in t.lower()).split()
+        r = got[i, t]
+        if not letters:
+            assert r.lang_pred == "und"
+            continue
+        sizes = [size((" " + " ".join(letters) + " ").encode(), d) for d in model.dictionaries]
+        best = min(range(len(sizes)), key=lambda k: (sizes[k], k))
+        margin = (sorted(sizes)[1] - sizes[best]) / sorted(sizes)[1]
+        assert (r.lang_pred, r.rejected) == (model.languages[best], margin < L.NARROW) and abs(r.score - margin / (margin + 0.05)) < 1e-12
+
+
+def test_very_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_LABELS", 50)
+    rows = [(f"text number {i} about label {i % 60}", f"l{i % 60:02d}") for i in range(400)] + [("mostly this", "l07")] * 5
+    model = L.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.languages) == 50 and model.languages[0] == "l07" and "l59" not in model.languages
+    monkeypatch.setattr(L, "MOST_BYTES", 50 * 100)
+    model = L.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.languages) == 50 and max(map(len, model.dictionaries)) <= 100
+
+
+def test_clashing_columns(spark, docs):
+    import pytest
+
+    with pytest.raises(ValueError):
+        L.classify(docs, L.Model(["a"], [b"x"]), ["doc_id", "lang_pred"])
