@@ -118,6 +118,14 @@ ads-track.example.com      adverts  block  2024-03-01
 ads-track.example.net      adverts  block  2024-03-01
 ads-track.example.org      adverts  block  2024-03-01
 ads-track.example.com/en   adverts  remove 2024-03-01
+tionsh.example.net         mirrors  block  2024-01-01
+blog.tionsh.example.net    review   allow  2024-04-01
+blog.tionsh.example.net/de mirrors  block  2024-05-01
+blog.tionsh.example.net/de review   allow  2024-09-01
+blog.tionsh.example.net    review   remove 2024-11-01
+thther.example.org         mirrors  block  2024-02-01
+thther.example.org/en      review   allow  2024-03-01
+thther.example.org         mirrors  remove 2024-10-01
 """
 
 
