@@ -33,8 +33,8 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def in_batches(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int, Column]:
-    """docs (doc_id, text, ...) with a column ``batch`` (by a hash of doc_id) before them, dealt out by it; also how many partitions it has, and the batch of a doc_id.
+def in_batches(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int, int, Column]:
+    """docs (doc_id, text, ...) with a column ``batch`` (by a hash of doc_id) before them, dealt out by it; also how many partitions and batches it has, and the batch of a doc_id.
 
     There are as many batches as the text bytes call for.  The frame is meant to be used several times within one plan: Spark then
     shuffles the text once and reads that exchange again.
@@ -44,7 +44,7 @@ def in_batches(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> tuple[DataFra
     parts = max(2, shuffle_parts(spark), math.ceil(total / TASK_BYTES))
     batches = max(parts, math.ceil(total / batch_bytes))
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch")
-    return docs.select(batch, "*").repartition(parts, "batch"), parts, batch
+    return docs.select(batch, "*").repartition(parts, "batch"), parts, batches, batch
 
 
 def join_hot(big: DataFrame, small: DataFrame, key: str, hot: list, how: str = "left") -> DataFrame:

@@ -19,7 +19,9 @@ of all documents, finds every earlier occurrence of every window.
    the next factor only begins behind it.
 
 Batches resolve repeats inside them before they shuffle anything, so an index
-key has at most one row per batch, however often a passage occurs.
+key has at most one row per batch, however often a passage occurs.  Where there
+are so many batches that this is too much for one task, anchors that most of a sample of batches have are aggregated
+apart, from partial results, and their rows meet those in cells.
 """
 
 from __future__ import annotations
@@ -31,10 +33,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import OTHER_BASE, WORD_BASE, Rolling, first_of_each, in_batches, mixed, release, signed, text_buffer, word_keys, words_of
+from .common import BATCH_BYTES, OTHER_BASE, WORD_BASE, Rolling, first_of_each, in_batches, mixed, release, signed, text_buffer, word_keys, words_of
 
 WINDOW, ANCHOR = 20, 8
 _COPY, _ASK = 1, 2
+#: Rows of one index key that one task may hold: with up to so many batches there is nothing to look for.
+HOT_ROWS = 100_000
+#: Batches that are looked at for hot anchors, and how many of these are told apart at most; hot ones beyond are only slower.
+SAMPLE_BATCHES, HOT_ANCHORS = 64, 10_000
 
 
 class _Batch:
@@ -326,7 +332,29 @@ def _kept(batch: _Batch, gone: np.ndarray, layout: str) -> pa.Array:
     return pc.if_else(pc.is_valid(texts.combine_chunks()), made, pa.scalar(None, pa.string())) if texts.null_count else made
 
 
-def parse_corpus(docs: DataFrame, window: int = WINDOW, layout: str = "text", carry: list[str] | None = None) -> DataFrame:
+def hot_anchors(dealt: DataFrame, batches: int, window: int, hot_rows: int) -> list[int]:
+    """Anchors that, by a sample of batches, have over hot_rows rows in the index; none if there can't be such."""
+    if batches <= hot_rows:
+        return []
+    every = max(1, batches // SAMPLE_BATCHES)
+    rows = dealt.where(F.col("batch") % every == 0).groupBy("batch").applyInArrow(_indexer(window), _INDEX_ROWS)
+    counts = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * every > hot_rows)
+    return [r["anchor"] for r in counts.orderBy(F.col("n").desc(), "anchor").limit(HOT_ANCHORS).collect()]
+
+
+def _with_group(rows: DataFrame, key: list[str], made: dict, hot: list[int], batch, cells: int) -> DataFrame:
+    """rows with aggregates of all rows of their key; rows of hot anchors are spread over cells."""
+    by = Window.partitionBy(*key)
+    if not hot:
+        return rows.select("*", *[a.over(by).alias(n) for n, a in made.items()])
+    is_hot = F.col("anchor").isin(hot)
+    cold = rows.where(~is_hot).select("*", *[a.over(by).alias(n) for n, a in made.items()])
+    groups = rows.where(is_hot).groupBy(*key).agg(*[a.alias(n) for n, a in made.items()]).withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    met = rows.where(is_hot).withColumn("_cell", F.pmod(batch, F.lit(cells))).join(groups, [*key, "_cell"])
+    return cold.unionByName(met.select(*cold.columns))
+
+
+def parse_corpus(docs: DataFrame, window: int = WINDOW, layout: str = "text", carry: list[str] | None = None, batch_bytes: int = BATCH_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Parse every document of docs (doc_id, text) against the whole corpus and cut out what also starts earlier.
 
     Returns doc_id, n_words, n_removed, kept_text and factors (start, length,
@@ -347,17 +375,12 @@ def parse_corpus(docs: DataFrame, window: int = WINDOW, layout: str = "text", ca
     named = [F.coalesce(F.col("doc_id").cast("long"), own).alias("doc_id"), F.col("text").cast("string").alias("text")]
     if carry:
         named.append(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"))
-    dealt, parts, batch = in_batches(docs.select(*named))
+    dealt, parts, batches, batch = in_batches(docs.select(*named), batch_bytes)
+    hot, cells = hot_anchors(dealt, batches, window, hot_rows), -(-batches // hot_rows)
     rows = dealt.groupBy("batch").applyInArrow(_indexer(window), _INDEX_ROWS)
-    by = Window.partitionBy("anchor")
-    seen = rows.select(
-        "*",
-        F.count(F.lit(1)).over(by).alias("n"),
-        F.count("block").over(by).alias("n_blocks"),
-        F.min("block").over(by).alias("least"),
-        F.max("block").over(by).alias("most"),
-        F.min(F.struct("doc_id", "start")).over(by).alias("ref"),
-    ).where("n > 1 and block is not null")
+    place = F.min(F.struct("doc_id", "start"))
+    made = {"n": F.count(F.lit(1)), "n_blocks": F.count("block"), "least": F.min("block"), "most": F.max("block"), "ref": place}
+    seen = _with_group(rows, ["anchor"], made, hot, batch, cells).where("n > 1 and block is not null")
     ask = (F.col("n_blocks") < F.col("n")) | (F.col("least") != F.col("most"))
     first = (F.col("ref.doc_id") == F.col("doc_id")) & (F.col("ref.start") == F.col("start"))
     known = seen.where(ask | ~first).select(
@@ -365,8 +388,7 @@ def parse_corpus(docs: DataFrame, window: int = WINDOW, layout: str = "text", ca
     )
     known = known.repartition(parts, "batch")
     asked = dealt.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(_asker(window), _WINDOW_ROWS)
-    by = Window.partitionBy("hash", "anchor")
-    later = asked.select("*", F.min(F.struct("doc_id", "start")).over(by).alias("ref")).where((F.col("ref.doc_id") != F.col("doc_id")) | (F.col("ref.start") != F.col("start")))
+    later = _with_group(asked, ["hash", "anchor"], {"ref": place}, hot, batch, cells).where((F.col("ref.doc_id") != F.col("doc_id")) | (F.col("ref.start") != F.col("start")))
     found = later.select(batch, F.lit(2).alias("stage"), F.col("hash").alias("key"), F.lit(_COPY).alias("kind"), F.col("ref.doc_id").alias("ref_doc"), F.col("ref.start").alias("ref_start"))
     answers = known.unionByName(found).repartition(parts, "batch")
     parsed = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_parser(window, layout, bool(carry)), T.StructType([*_parsed().fields, *dealt.schema.fields[3:]]))

@@ -57,6 +57,20 @@ def test_few_words_many_repeats(spark):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=str) == brute(rows)
 
 
+def test_hot_anchors_go_by_cells(spark):
+    """A passage that all batches have: its anchors are told apart, and the result is the same."""
+    from fixtures import prose
+
+    common = prose("everywhere", 60)
+    rows = [(i, f"{prose(i, 20 + i % 9)} {common if i % 3 else common[: 150 + i]} {prose(('b', i), 25)}") for i in range(90)]
+    frame = documents(spark, rows, 4)
+    dealt, _, batches, _ = rlz.in_batches(frame.select("doc_id", "text"), 1000)
+    assert batches > 20 and rlz.hot_anchors(dealt, batches, rlz.WINDOW, 6) and not rlz.hot_anchors(dealt, batches, rlz.WINDOW, batches)
+    for hot_rows in (6, rlz.HOT_ROWS):
+        got = parsed(frame, layout="words", batch_bytes=1000, hot_rows=hot_rows)
+        assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == sorted(brute(rows))
+
+
 def test_factors_are_copies(docs):
     words = {}
     for i, t in texts():
