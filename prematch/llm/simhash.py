@@ -32,6 +32,8 @@ SEED, SHINGLE, RADIUS = 42, 3, 2
 FIELDS = list(combinations(range(4), 2))
 #: Fingerprints of one tile that a task holds against another such piece.
 PIECE = 4096
+#: Sets of shingles of one component of candidates that a task holds against another such piece.
+PIECE_SETS = 2048
 #: MinHash values in a band, and bands: at a similarity of 0.8, 3 pairs in a million share none.
 BAND, BANDS = 4, 24
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -272,48 +274,118 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def alike_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+def alike_links(sets: list[np.ndarray], least: float, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spanning-forest edges (row numbers) among all pairs of sets whose Jaccard similarity is ``least`` or more.
 
     Shingles are ordered from rare to common: two such sets share one of their
-    first n - ceil(least * n) + 1.  Pairs that are joined already are skipped.
+    first n - ceil(least * n) + 1.  Pairs that are joined already, or whose labels are equal, are skipped,
+    so in a group of copies each set is compared with a few others.
     """
     n = np.array([len(x) for x in sets], np.int64)
     values, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     place = np.empty(len(values), np.int64)
     place[np.argsort(count, kind="stable")] = np.arange(len(values))
     cuts = np.concatenate([[0], np.cumsum(n)])
-    flat = place[inverse]
-    ranked = [np.sort(x) for x in np.split(flat, cuts[1:-1])]
+    ranked = [np.sort(x) for x in np.split(place[inverse], cuts[1:-1])]
     firsts = [x[: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1] for x in ranked]
     # sets by shingle, ascending
     listed = np.concatenate(firsts)
     order = np.argsort(listed, kind="stable")
     holders = np.repeat(np.arange(len(sets)), [len(x) for x in firsts])[order]
     begins = np.searchsorted(listed[order], np.arange(len(values) + 1))
-    root, mark, edges = np.arange(len(sets)), np.zeros(len(values), bool), []
+    root = np.arange(len(sets)) if labels is None else np.unique(labels, return_index=True)[1][np.unique(labels, return_inverse=True)[1]]
+    mark, edges = np.zeros(len(values), bool), []
     for i, own in enumerate(ranked):
         met = np.zeros(len(sets), bool)
         for v in firsts[i].tolist():
             if begins[v + 1] - begins[v] > 1:
                 met[holders[begins[v] : begins[v + 1]]] = True
-        near = np.flatnonzero(met[:i] & (root[:i] != root[i]) & (np.minimum(n[:i], n[i]) >= least * np.maximum(n[:i], n[i]) - 1e-9))
-        if not len(near):
-            continue
+        near = np.flatnonzero(met[:i] & (np.minimum(n[:i], n[i]) >= least * np.maximum(n[:i], n[i]) - 1e-9))
         mark[own] = True
-        if len(near) > i // 4:
-            both = np.add.reduceat(mark[flat[: cuts[i]]], cuts[:i], dtype=np.int64)[near]
-        else:
-            both = np.array([mark[ranked[j]].sum() for j in near.tolist()], np.int64)
+        step = 8
+        while len(near := near[root[near] != root[i]]):
+            some, near = near[:step], near[step:]
+            sizes = n[some]
+            both = np.add.reduceat(mark[np.concatenate([ranked[j] for j in some.tolist()])], np.cumsum(sizes) - sizes, dtype=np.int64)
+            for j in some[both >= least * (sizes + n[i] - both) - 1e-9].tolist():
+                if root[i] != root[j]:
+                    edges.append((i, j))
+                    old, new = max(root[i], root[j]), min(root[i], root[j])
+                    root[root == old] = new
+            step *= 2
         mark[own] = False
-        for j in near[both >= least * (n[near] + n[i] - both) - 1e-9].tolist():
-            if root[i] != root[j]:
-                edges.append((i, j))
-                old, new = max(root[i], root[j]), min(root[i], root[j])
-                root[root == old] = new
     return edges
 
 
+def _confirm(rows: DataFrame, by: list[str], least: float) -> DataFrame:
+    """rows (by, node, label, shingles) to edges (a, b) among the nodes of each unit ``by``; a node that comes twice counts once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        now, nodes, labels, sets = None, [], [], []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            found = alike_links(sets, least, np.array(labels, np.int64)) if len(sets) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[e[k]] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            nodes.clear(), labels.clear(), sets.clear()
+
+        for batch in batches:
+            keys = zip(*(batch.column(k).to_pylist() for k in range(len(by))))
+            for key, node, label, shingles in zip(keys, batch.column(len(by)).to_pylist(), batch.column(len(by) + 1).to_pylist(), batch.column(len(by) + 2)):
+                if key != now:
+                    yield from settle()
+                    now = key
+                if not nodes or nodes[-1] != node:
+                    nodes.append(node)
+                    labels.append(label)
+                    sets.append(np.frombuffer(shingles.as_py(), np.uint64))
+        yield from settle()
+
+    parts = shuffle_parts(rows.sparkSession)
+    return rows.select(*by, "node", "label", "shingles").repartition(parts, *by).sortWithinPartitions(*by, "node").mapInArrow(run, "a long, b long")
+
+
+def _across(rows: DataFrame, loose: DataFrame, held: DataFrame, least: float, piece: int) -> DataFrame:
+    """Edges between nodes of other labels: rows with loose (component, node, label), piece by piece."""
+
+    count = lambda nodes, name: nodes.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias(name))
+    both = count(rows, "ps").join(count(loose, "qs"), "component")
+    one = rows.join(both, "component").select("*", F.pmod(F.xxhash64("node"), F.col("ps")).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("q"))
+    other = loose.join(both, "component").select("*", F.pmod(F.xxhash64("node"), F.col("qs")).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"))
+    units = one.select("component", "p", "q", "node", "label").unionByName(other.select("component", "p", "q", "node", "label"))
+    return _confirm(units.join(held.select("node", "shingles"), "node"), ["component", "p", "q"], least)
+
+
+def confirmed(held: DataFrame, least: float, piece: int = PIECE_SETS) -> DataFrame:
+    """Edges (a, b) that span the classes of similar sets; held: component (of candidates), node, shingles.
+
+    A component of up to ``piece`` sets is one unit.  A larger one is cut in pieces by
+    hash; each finds its own links.  Then the leaders of the classes so found are compared, which joins the
+    pieces of a group of copies; and last every set outside the component's largest class is compared
+    with all sets of other classes, pieces against pieces.  So no pair is left out, and no unit holds more than two pieces.
+    """
+    sizes = written(held.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    cuts = sizes.select("component", F.ceil(F.col("n") / piece).cast("int").alias("cuts"))
+    rows = held.join(cuts, "component").select("*", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int").alias("p"), F.col("node").alias("label"))
+    edges = _confirm(rows, ["component", "p"], least)
+    if sizes.where(F.col("n") > piece).isEmpty():
+        return edges
+    edges = written(edges, "edges")
+    large = held.select("component", "node").join(cuts.where("cuts > 1"), "component").select("component", "node")
+
+    def labelled(found: DataFrame) -> DataFrame:
+        return written(large.join(components(found).withColumnRenamed("component", "label"), "node", "left").select("component", "node", F.coalesce("label", "node").alias("label")), "labels")
+
+    labels = labelled(edges)
+    leaders = labels.groupBy("component", "label").agg(F.min("node").alias("node"))
+    edges = written(edges.unionByName(_across(leaders, leaders, held, least, piece)), "edges")
+    labels = labelled(edges)
+    main = labels.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    loose = written(labels.join(main, "component").where("label != main").drop("main"), "loose")
+    return edges.unionByName(_across(labels, loose, held, least, piece))
+
+
 def _alike(docs: DataFrame, shingle: int, radius: int, least: float) -> DataFrame:
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
@@ -326,27 +398,6 @@ def _alike(docs: DataFrame, shingle: int, radius: int, least: float) -> DataFram
             sets = _sets(batch, shingle)
             yield pa.RecordBatch.from_arrays([pa.array(_set_keys(sets)), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in order of component."""
-        release()
-        now, nodes, sets = None, [], []
-
-        def run() -> Iterator[pa.RecordBatch]:
-            found = alike_links(sets, least) if len(sets) > 1 else []
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([nodes[e[k]] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-            nodes.clear()
-            sets.clear()
-
-        for batch in batches:
-            for component, node, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if component != now:
-                    yield from run()
-                    now = component
-                nodes.append(node)
-                sets.append(np.frombuffer(shingles.as_py(), np.uint64))
-        yield from run()
-
     named = _texts(docs)
     prints = written(named.mapInArrow(profiles, "doc_id long, key long, node long, bits long, tiles array<long>"), "prints")
     classes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits"), F.first("tiles").alias("tiles"), F.count(F.lit(1)).alias("n")), "classes")
@@ -356,8 +407,8 @@ def _alike(docs: DataFrame, shingle: int, radius: int, least: float) -> DataFram
     asked = prints.join(candidates, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("row")).select("row.*")
     same = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("key") == F.col("_key"))
     sets = named.join(asked.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")), same, "left_semi").mapInArrow(whole_sets, "node long, shingles binary")
-    held = sets.join(candidates, "node").groupBy("component", "node").agg(F.first("shingles").alias("shingles"))
-    edges = held.repartition(shuffle_parts(docs.sparkSession), "component").sortWithinPartitions("component", "node").mapInArrow(confirm, "a long, b long")
+    held = written(sets.join(candidates, "node").groupBy("component", "node").agg(F.first("shingles").alias("shingles")), "sets")
+    edges = confirmed(held, least)
     return _named(prints, classes.select("node", "least", "n"), written(components(edges), "components"), prints["node"])
 
 

@@ -129,6 +129,27 @@ def test_similar_documents_against_brute_force(spark):
     assert got == want and len(set(want.values())) < len(rows)
 
 
+def test_large_components_in_pieces(spark):
+    """Sets of one component of candidates, many pieces: chains, groups of copies and strangers; the classes are those of all pairs."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for g in range(6):
+        base = rng.integers(0, 1 << 40, 60)
+        for k in range(12):  # a chain: neighbours alike, ends not
+            base = base.copy()
+            base[rng.choice(60, 4, replace=False)] = rng.integers(0, 1 << 40, 4)
+            sets.append(np.unique(base.astype(np.uint64)))
+    sets += [np.unique(np.append(sets[0][:50], rng.integers(0, 1 << 40, 3).astype(np.uint64))) for _ in range(30)]
+    sets += [np.unique(rng.integers(0, 1 << 40, 40).astype(np.uint64)) for _ in range(20)]
+    near = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) - 1e-9
+    want = components(range(len(sets)), [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if near(sets[i], sets[j])])
+    assert 20 < len(set(want.values())) < 70
+    held = spark.createDataFrame([(1, i, s.tobytes()) for i, s in enumerate(sets)], "component long, node long, shingles binary").repartition(3)
+    for piece in (2048, 40, 9):
+        got = {r.node: r.component for r in graph.components(simhash.confirmed(held, 0.8, piece)).collect()}
+        assert {n: got.get(n, n) for n in want} == want, piece
+
+
 def test_pipeline_stage_drops_similar_documents(spark):
     import corpus_pipeline
 
