@@ -59,7 +59,7 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, hot: list, how: str = "
     return cold.unionByName(big.where(is_hot).join(F.broadcast(small.where(is_hot)), key, how))
 
 
-def hot_keys(counts: DataFrame, key: str, n: str = "n", share: float = HOT_SHARE, least: int = 1000) -> tuple[list, int]:
+def hot_keys(counts: DataFrame, key: str, n: str = "n", share: float = HOT_SHARE, least: int = 100) -> tuple[list, int]:
     """Keys with over ``share`` of all rows (so fewer than 1 / share), and the number of rows; counts has one row per key."""
     total = counts.agg(F.sum(n).alias("t")).first()["t"] or 0
     found = counts.where((F.col(n) > max(least, total * share)) & F.col(key).isNotNull()).select(key).limit(math.ceil(1 / share)).collect()
