@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prematch.operators import splits
@@ -59,21 +59,66 @@ class Preprocessor:
         return VectorAssembler(inputCols=[f"_f{i}" for i in range(len(cols))], outputCol="features").transform(ready).select(*keep, "features")
 
 
+#: Of the two-pass median: accuracy of the sketch that brackets it, and half the bracket's width in ranks.
+_SKETCH, _HALF = 10_000, 2 / 10_000
+
+
+def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """The exact median of each column (null without a value), without holding all its values anywhere.
+
+    A bounded sketch brackets each median; a second pass counts what lies below the bracket and
+    ranks the distinct values inside it.  A bracket that misses its median is found out and replaced by an exact aggregate.
+    """
+    if not columns:
+        return {}
+    value = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in columns}
+    ends = F.array(F.lit(0.5 - _HALF), F.lit(0.5 + _HALF))
+    sketch = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(value.values())], *[F.percentile_approx(x, ends, _SKETCH).alias(f"e{i}") for i, x in enumerate(value.values())]).first()
+    spans = {c: (sketch[f"n{i}"], *sketch[f"e{i}"]) for i, c in enumerate(columns) if sketch[f"n{i}"]}
+    if not spans:
+        return dict.fromkeys(columns)
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.when(value[c] < low, F.lit(float("-inf"))).when(value[c] <= high, value[c]).alias("value")) for c, (_, low, high) in spans.items()])
+    counts = df.select(F.inline(cells)).where("value is not null").groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.create_map(*[F.lit(x) for c, (n, _, _) in spans.items() for x in (c, n)])[F.col("name")]
+    ranked = counts.select("name", "value", F.sum("n").over(upto).alias("upto"), total.alias("total"))
+    # the ranks (total - 1) / 2, rounded down and up, from 0
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("value")))
+    rows = ranked.groupBy("name").agg(at(F.expr("(total - 1) div 2")).alias("a"), at(F.expr("total div 2")).alias("b")).collect()
+    found = {r["name"]: (r["a"] + r["b"]) / 2 for r in rows if r["a"] is not None and r["b"] is not None and r["a"] != float("-inf")}
+    missed = [c for c in spans if c not in found]
+    if missed:
+        one = df.agg(*[F.median(value[c]).alias(c) for c in missed]).first()
+        found |= {c: one[c] for c in missed}
+    return {c: found.get(c) for c in columns}
+
+
+def with_class_weights(labelled: DataFrame) -> DataFrame:
+    """labelled with ``weight``: rows of every label weigh the same together, and all rows as much as there are."""
+    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weight = F.lit(1.0)
+    for label, n in counts.items():
+        weight = F.when(F.col("label") == label, F.lit(sum(counts.values()) / (len(counts) * n))).otherwise(weight)
+    return labelled.withColumn("weight", weight)
+
+
 def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str], scale: bool = False) -> Preprocessor:
     """Exact medians, population deviations and modes (ties: the smallest) of the training rows; columns without any value go.
 
     Categories are collected: a categorical feature is one whose values the
     model can hold (rare values are bucketed before).
     """
-    one = train.agg(
-        *[F.median(c).cast("double").alias(f"med_{c}") for c in numeric],
-        *[F.mode(c, deterministic=True).alias(f"mode_{c}") for c in categorical],
-        *[F.sort_array(F.collect_set(c)).alias(f"cat_{c}") for c in categorical],
-    ).first()
-    made = Preprocessor([c for c in numeric if one[f"med_{c}"] is not None], [c for c in categorical if one[f"mode_{c}"] is not None], scale)
-    made.medians = {c: one[f"med_{c}"] for c in made.numeric}
-    made.modes = {c: one[f"mode_{c}"] for c in made.categorical}
-    made.categories = {c: list(one[f"cat_{c}"]) for c in made.categorical}
+    medians = exact_medians(train, numeric)
+    values: dict[str, list] = {c: [] for c in categorical}
+    if categorical:
+        cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in categorical])
+        counts = train.select(F.inline(cells)).where("value is not null").groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+        for r in counts.orderBy("name", "value").collect():
+            values[r["name"]].append((r["value"], r["n"]))
+    made = Preprocessor([c for c in numeric if medians[c] is not None], [c for c in categorical if values[c]], scale)
+    made.medians = {c: medians[c] for c in made.numeric}
+    made.modes = {c: min(values[c], key=lambda x: (-x[1], x[0]))[0] for c in made.categorical}
+    made.categories = {c: [v for v, _ in values[c]] for c in made.categorical}
     if scale and made.numeric:
         full = {c: F.coalesce(F.col(c).cast("double"), F.lit(made.medians[c])) for c in made.numeric}
         row = train.agg(*[F.avg(x).alias(f"m_{c}") for c, x in full.items()], *[F.stddev_pop(x).alias(f"s_{c}") for c, x in full.items()]).first()
@@ -103,7 +148,7 @@ def classification_report(predicted: DataFrame, label: str, prediction: str) ->
 
 
 def forest(trees: int = 250, depth: int | None = None, least_leaf: int = 2, seed: int = 42) -> RandomForestClassifier:
-    return RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=min(depth or DEEPEST, DEEPEST), minInstancesPerNode=least_leaf, seed=seed, maxBins=64)
+    return RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=trees, maxDepth=min(depth or DEEPEST, DEEPEST), minInstancesPerNode=least_leaf, seed=seed, maxBins=64)
 
 
 def row_cv(rows: DataFrame, row_id: str, numeric: list[str], categorical: list[str], target: str, model: RandomForestClassifier, folds: int | None = None) -> list[float]:
@@ -113,7 +158,7 @@ def row_cv(rows: DataFrame, row_id: str, numeric: list[str], categorical: list[s
     for first, end in splits.row_splits(n, folds or splits.split_count(n)):
         train, test = rows.where(F.col(row_id) < first), rows.where((F.col(row_id) >= first) & (F.col(row_id) < end))
         prep = fit_preprocessor(train, numeric, categorical)
-        fitted = model.fit(prep.transform(train.withColumn("label", F.col(target).cast("double")), ["label"]))
+        fitted = model.fit(prep.transform(with_class_weights(train.withColumn("label", F.col(target).cast("double"))), ["label", "weight"]))
         scores.append(accuracy(fitted.transform(prep.transform(test.withColumn("label", F.col(target).cast("double")), ["label"])), "label"))
     return scores
 
@@ -123,7 +168,7 @@ def baseline_forest(rows: DataFrame, row_id: str, numeric: list[str], categorica
     model = forest(trees, depth)
     scores = row_cv(rows, row_id, numeric, categorical, target, model, folds)
     prep = fit_preprocessor(rows, numeric, categorical)
-    ready = prep.transform(rows.withColumn("label", F.col(target).cast("double")), ["label"]).persist()
+    ready = prep.transform(with_class_weights(rows.withColumn("label", F.col(target).cast("double"))), ["label", "weight"]).persist()
     try:
         train = accuracy(model.fit(ready).transform(ready), "label")
     finally:
@@ -142,13 +187,14 @@ def eliminate_features(rows: DataFrame, row_id: str, numeric: list[str], categor
     names = prep.names()
     least = min(least, max(1, len(names) - 1))
     n = rows.count()
-    model = forest(trees, depth, 1)
+    model = forest(trees, depth)
     labelled = rows.withColumn("label", F.col(target).cast("double"))
 
     def path(train: DataFrame, test: DataFrame | None, stop: int) -> tuple[dict[int, float], list[str]]:
         kept, scores = list(names), {}
+        train = with_class_weights(train)
         while True:
-            ready = prep.transform(train, ["label"], kept).persist()
+            ready = prep.transform(train, ["label", "weight"], kept).persist()
             try:
                 fitted = model.fit(ready)
             finally:

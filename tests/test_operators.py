@@ -208,6 +208,32 @@ def test_exclusions(spark):
         features.feature_matrix(m, exclude=["nothing"])
 
 
+def test_exact_medians(spark):
+    import random
+    import statistics
+
+    rng = random.Random(4)
+    columns = {
+        "even": [float(rng.randint(0, 10**6)) for _ in range(3000)],
+        "ties": [float(rng.randint(0, 2)) for _ in range(2999)] + [None],
+        "few": [3.0, 1.0] + [None] * 2998,
+        "one": [7.5] + [None] * 2999,
+        "none": [None] * 3000,
+        "wide": [10.0 ** rng.randint(-200, 200) * rng.choice([-1, 1]) for _ in range(3000)],
+        "nan": [float("nan")] * 1000 + [float(i) for i in range(2000)],
+    }
+    rows = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns)).repartition(4)
+    got = ml.exact_medians(rows, list(columns))
+    for c, values in columns.items():
+        known = [v for v in values if v is not None and v == v]
+        assert got[c] == (statistics.median(known) if known else None), c
+
+
+def test_class_weights(spark):
+    rows = spark.createDataFrame([(1.0,)] * 6 + [(0.0,)] * 2, "label double")
+    assert {(r.label, r.weight) for r in ml.with_class_weights(rows).collect()} == {(1.0, 8 / 12), (0.0, 8 / 4)}
+
+
 def dates(spark, n):
     return spark.createDataFrame([(i, dt.date(2020, 1, 1) + dt.timedelta(days=i)) for i in range(n)], "i int, d date")
 
