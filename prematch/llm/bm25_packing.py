@@ -30,8 +30,8 @@ from .common import forget, number_words, release, same_bytes, shuffle_parts, sl
 WINDOW, END = 2048, 1
 #: Documents that ask, those whose id it divides, and documents of one shard of the index.
 SEED_EVERY, SHARD_DOCS = 100, 512
-#: Bytes of the matrix that a block of seeds makes in a task.
-BLOCK_BYTES = 96 << 20
+#: Bytes of the matrix that a block of seeds makes in a task, and of the tokens of the seeds that are sent out at once.
+BLOCK_BYTES, GROUP_BYTES = 96 << 20, 64 << 20
 K1, B = 1.2, 0.75
 #: Parts of words whose ids a task remembers, before it starts anew.
 CACHE_PARTS = 500_000
@@ -258,45 +258,52 @@ class Seeds:
 
 
 def _finder(shared):
-    """Columns doc_id, ids, n, seed, score: with the better one of the seed so far and that of this block."""
+    """Columns doc_id, ids, n, seed, score: with the better one of the seed so far and those of some blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        (df, docs, mean), names, ids = shared.value
+        (df, docs, mean), blocks = shared.value
         terms = Terms(df, docs, mean)
-        names, seeds = np.array(names, np.int64), Seeds(terms, [np.frombuffer(x, "<u2") for x in ids])
-        release(False)
+        made: list[Seeds] = []  # kept if there is one block, else one at a time for each batch
         for batch in batches:
-            for at in range(0, batch.num_rows, SHARD_DOCS):
-                piece = batch.slice(at, SHARD_DOCS)
-                best, score = seeds.best(*terms.weights([np.frombuffer(x.as_buffer(), "<u2") for x in piece.column(1)]))
-                had = piece.column(4).to_numpy(zero_copy_only=False)
-                seed, had_seed = names[best], piece.column(3).fill_null(0).to_numpy()
-                take = (score > had) | (score == had) & (score > 0) & (seed < had_seed)
-                seed, score = np.where(take, seed, had_seed), np.where(take, score, had)
-                yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array(seed, mask=score <= 0), pa.array(score, pa.float64())], ["doc_id", "ids", "n", "seed", "score"])
+            best, high = batch.column(3).fill_null(0).to_numpy().copy(), batch.column(4).to_numpy(zero_copy_only=False).copy()
+            texts = [np.frombuffer(x.as_buffer(), "<u2") for x in batch.column(1)]
+            for names, ids in blocks:
+                seeds = made[0] if made else Seeds(terms, [np.frombuffer(x, "<u2") for x in ids])
+                if len(blocks) == 1 and not made:
+                    made.append(seeds)
+                    release(False)
+                names = np.array(names, np.int64)
+                for at in range(0, len(texts), SHARD_DOCS):
+                    to = slice(at, at + SHARD_DOCS)
+                    found, score = seeds.best(*terms.weights(texts[to]))
+                    take = (score > high[to]) | (score == high[to]) & (score > 0) & (names[found] < best[to])
+                    best[to], high[to] = np.where(take, names[found], best[to]), np.where(take, score, high[to])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(best, mask=high <= 0), pa.array(high, pa.float64())], ["doc_id", "ids", "n", "seed", "score"])
         release(False)
 
     return run
 
 
-def claimed(tokens: DataFrame, df: np.ndarray, docs: int, mean: float, every: int = SEED_EVERY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def claimed(tokens: DataFrame, df: np.ndarray, docs: int, mean: float, every: int = SEED_EVERY, block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """tokens (doc_id, ids, n) with the seed that claims each row and the score; null and 0 if it shares no term with any.
 
-    A row whose doc_id is divisible by ``every`` is a seed and its own.  Seeds
-    go out in blocks of about block_bytes as matrices of a task, one at a time.
+    A row whose doc_id is divisible by ``every`` is a seed and its own.  Seeds go out
+    in groups of about group_bytes, one at a time, each a pass over the tokens; a task turns
+    them into matrices of about block_bytes, one at a time.
     """
     spark = tokens.sparkSession
     seeds = tokens.where(F.col("doc_id") % every == 0).groupBy("doc_id").agg(F.min("ids").alias("ids"))
     a_block = max(1, block_bytes // (4 * max(1, int((df > 0).sum()))))
-    blocks = -(-seeds.count() // a_block)
+    groups = -(-(seeds.agg(F.sum(F.octet_length("ids")).alias("b")).first()["b"] or 0) // group_bytes)
     own = F.col("doc_id") % every == 0
     rows = tokens.select("doc_id", "ids", "n", F.when(own, F.col("doc_id")).alias("seed"), F.when(own, F.lit(float("inf"))).otherwise(0.0).alias("score"))
-    for k in range(blocks):
-        block = seeds.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == k).orderBy("doc_id").collect()
-        if not block:
+    for k in range(groups):
+        group = seeds.where(F.pmod(F.xxhash64("doc_id"), F.lit(groups)) == k).orderBy("doc_id").collect()
+        if not group:
             continue
-        shared = spark.sparkContext.broadcast(((df, docs, mean), [r["doc_id"] for r in block], [bytes(r["ids"]) for r in block]))
+        blocks = [group[i : i + a_block] for i in range(0, len(group), a_block)]
+        shared = spark.sparkContext.broadcast(((df, docs, mean), [([r["doc_id"] for r in b], [bytes(r["ids"]) for r in b]) for b in blocks]))
         found = written(rows.mapInArrow(_finder(shared), "doc_id long, ids binary, n long, seed long, score double"), "claimed")
         shared.destroy()
         forget(rows)

@@ -65,20 +65,20 @@ def bm25(rows, every):
     return [{s: sum(x * w[r][t] for t, x in w[k].items() if t in w[r]) / length[s] for s, k in seeds.items()} for r in range(n)]
 
 
-def claims(spark, rows, every, block_bytes):
+def claims(spark, rows, every, *sizes):
     tokens = P.written(P.tokenized(documents(spark, rows), P.vocabulary_path())[0], "t")
     df = np.zeros(1 << 16, np.int64)
     for r in tokens.collect():
         df[np.unique(np.frombuffer(r.ids, "<u2"))] += 1
     total = sum(len(ids_of(t)) for _, t in rows)
-    return {r.doc_id: (r.seed, r.score) for r in P.claimed(tokens, df, len(rows), total / len(rows), every, block_bytes).collect()}
+    return {r.doc_id: (r.seed, r.score) for r in P.claimed(tokens, df, len(rows), total / len(rows), every, *sizes).collect()}
 
 
 def test_every_document_goes_to_its_best_seed_of_the_whole_corpus(spark):
     rows = [(i, prose(i % 40, 30 + i % 7) + " " + prose(("own", i), 20)) for i in range(160)] + [(1000, None), (1001, ""), (1003, None)]
     want = bm25(rows, 10)
-    for block_bytes in (P.BLOCK_BYTES, 40_000):  # all seeds at once, and in many blocks
-        got = claims(spark, rows, 10, block_bytes)
+    for sizes in ((P.BLOCK_BYTES, P.GROUP_BYTES), (4_000, P.GROUP_BYTES), (P.BLOCK_BYTES, 500), (4_000, 1000)):  # all seeds at once, in many blocks, in many groups
+        got = claims(spark, rows, 10, *sizes)
         assert len(got) == len(rows)
         for (i, _), scores in zip(rows, want):
             seed, score = got[i]

@@ -4,7 +4,7 @@ import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 from fixtures import prose
-from test_near import components, fingerprint
+from test_near import components, shingles, words_apart
 from test_packing import check
 from test_substrings import brute
 
@@ -22,6 +22,8 @@ def corpus():
     rows = [(i, prose(i, 80), "en") for i in range(20)]
     rows += [(50 + i, " ".join(rng.choice(FR) + rng.choice(["eau", "oi", "ment", ""]) for _ in range(80)), "fr") for i in range(12)]
     rows += [(100 + i, prose("copy", 70), "en") for i in range(3)] + [(110 + i, f"{prose(('h', i), 30)} {shared} {prose(('t', i), 30)}", "en") for i in range(3)]
+    # near copies: similar by their five-word shingles, though many bits of a fingerprint differ
+    rows += [(140 + k, words_apart(prose("near", 160), [31 * j + 3 * k for j in range(k)]), "en") for k in range(4)]
     rows += [(120, f"{prose('lead', 40)} {item} {prose('tail', 40)}", "en"), (130, None, "en"), (131, "123 456", None)]
     return rows, item
 
@@ -39,11 +41,12 @@ def test_stages(spark, tmp_path):
     want = {i: t for i, t, _ in rows if not language_id.classify_text(t, model, encoders)[2]}
     assert {130, 131}.isdisjoint(want) and len(want) >= len(rows) - 3
 
-    prints = {i: fingerprint(t) for i, t in want.items()}
-    group = components(prints, [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2])
+    sets = {i: shingles(t) for i, t in want.items()}
+    group = components(sets, [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    assert {group[140 + k] for k in range(4)} == {140} and group[110] != group[111]
     stages = [want, {i: t for i, t in want.items() if group[i] == i}]
     stages.append({i: kept for i, _, _, kept in brute(list(stages[1].items()))})
-    items = string_tiling.Items([1], [item])
+    items = string_tiling.Items([item])
     ids = list(stages[2])
     leaks = {r[0] for r in string_tiling.tile_batch(pa.array([stages[2][i] for i in ids]), items, string_tiling.COVERAGE)}
     stages.append({i: t for k, (i, t) in enumerate(stages[2].items()) if k not in leaks})
@@ -58,7 +61,7 @@ def test_stages(spark, tmp_path):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).toPandas()
     check(pieces, [(r.doc_id, r.text) for r in docs.collect()])
     whole = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
-    assert sorted(map(str, whole.values.tolist())) == sorted(map(str, pieces.values.tolist()))
+    check(whole, [(r.doc_id, r.text) for r in docs.collect()])
     assert np.isin(whole.doc_id, list(stages[3])).all()
 
 
