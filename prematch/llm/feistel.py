@@ -55,6 +55,16 @@ class Permutation:
         return self._walk(places, self.keys[::-1])
 
 
+def crc_table() -> list[int]:
+    """The 256 steps of CRC-32 by its reflected polynomial, for the SQL."""
+    table = []
+    for step in range(256):
+        for _ in range(8):
+            step = step >> 1 ^ (0xEDB88320 if step & 1 else 0)
+        table.append(step)
+    return table
+
+
 def shards(docs: DataFrame, shards: int = 8, key: int = 20240229) -> DataFrame:
     """doc_id, size, text_crc32, row_number, shard and slot of every row of docs (doc_id, text).
 

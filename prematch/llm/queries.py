@@ -182,10 +182,60 @@ def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its shard and slot in a reproducible shuffle; shards differ by one row at most."""
-    placed = feistel.shards(table(spark, sf_dir, "documents"), shards=8)
+    placed = feistel.shards(table(spark, sf_dir, "documents"), shards=OP3_SHARDS, key=OP3_KEY)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+OP3_SHARDS, OP3_KEY = 8, 20240229
+_OP3_KEYS = ", ".join(f"{int(k)}::ubigint" for k in feistel.Permutation(2, OP3_KEY).keys)
+_OP3_CRC = ", ".join(str(c) for c in feistel.crc_table())
+
+
+def _xor_shift(x: str, bits: int) -> str:
+    return f"xor({x}, {x} >> {bits})"
+
+
+def _times(x: str, factor: int) -> str:
+    """A product modulo 2^64."""
+    return f"(({x})::uhugeint * {factor}::uhugeint % 18446744073709551616::uhugeint)::ubigint"
+
+
+OP3_SQL = rf"""
+with recursive raw as (
+  select doc_id, strlen(coalesce(text, '')) as bytes, hex(encode(coalesce(text, ''))) as h from documents
+), facts as (
+  select doc_id, cast(bytes + 1 as bigint) as size,
+         xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::bigint)),
+                         lambda c, b: xor(c >> 8, [{_OP3_CRC}][(xor(c, b) & 255) + 1])), 4294967295::bigint) as text_crc32
+  from raw
+), numbered as (
+  select *, cast(row_number() over (order by doc_id nulls first, size, text_crc32) - 1 as bigint) as row_number, count(*) over () as n from facts
+), domain as (
+  select *, greatest(1, (length(bin(greatest(n, 2) - 1)) + 1) // 2)::int as half from numbered
+), start as (
+  select row_number, n, half, ((1::ubigint << half) - 1)::ubigint as mask from domain
+), net as (
+  select row_number, n, half, mask, row_number::ubigint >> half as l, row_number::ubigint & mask as r, 0 as round, -1::bigint as place from start
+  union all
+  select row_number, n, half, mask,
+         case when round < {feistel.ROUNDS} then r else r_out >> half end,
+         case when round < {feistel.ROUNDS} then xor(l, {_xor_shift("m", 31)} & mask) else r_out & mask end,
+         case when round < {feistel.ROUNDS} then round + 1 else 0 end,
+         case when round < {feistel.ROUNDS} then -1 when r_out < n then r_out::bigint else -1 end
+  from (
+    select *, {_times(_xor_shift("m1", 27), 0x94D049BB133111EB)} as m from (
+      select *, {_times(_xor_shift("z", 30), 0xBF58476D1CE4E5B9)} as m1, (r << half) | l as r_out from (
+        select *, xor(r, [{_OP3_KEYS}][least(round, {feistel.ROUNDS - 1}) + 1]) as z from net where place < 0
+      )
+    )
+  )
+)
+select d.doc_id, d.size, d.text_crc32, 'rows' as law, cast(p.place % {OP3_SHARDS} as int) as shard, p.place // {OP3_SHARDS} as slot,
+       cast(null as int) as grown_shard, d.row_number
+from numbered d join net p on p.row_number = d.row_number and p.place >= 0
+"""
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the language whose dictionary compresses it best, learnt from the documents that aren't held out."""
     docs = table(spark, sf_dir, "documents")
@@ -205,4 +255,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_components": op9_simhash_components,
     "op10_language_id": op10_language_id,
 }
-ORACLE: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op6_adaptive_quality": OP6_SQL, "op7_url_lists": OP7_SQL}
+ORACLE: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op3_feistel_shards": OP3_SQL, "op6_adaptive_quality": OP6_SQL, "op7_url_lists": OP7_SQL}
