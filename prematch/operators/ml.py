@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import json
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prematch.operators import splits
+from prematch.sources import tables
 
 #: Above this the MLlib trees can't go.
 DEEPEST = 30
@@ -397,5 +397,4 @@ def search_tree(df: DataFrame, date: str, numeric: list[str], categorical: list[
 
 
 def save_metrics(metrics: dict, path: str) -> None:
-    with open(path, "w") as out:
-        json.dump(metrics, out, indent=2, default=str)
+    tables.write_json(metrics, path)
