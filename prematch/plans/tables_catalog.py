@@ -164,12 +164,12 @@ def q_view_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("select cast(s_suppkey as bigint) as id, case when s_suppkey % 6 = 0 then null else concat('data/raw/atp_', 1990 + s_suppkey % 40, '_v', s_suppkey, '.csv') end as name, "
-       "cast(nullif(regexp_extract(case when s_suppkey % 6 = 0 then '' else concat('data/raw/atp_', 1990 + s_suppkey % 40, '_v', s_suppkey, '.csv') end, '(20[0-9]{2})', 1), '') as int) as year, "
+       "cast(nullif(regexp_extract(case when s_suppkey % 6 = 0 then '' else concat('data/raw/atp_', 1990 + s_suppkey % 40, '_v', s_suppkey, '.csv') end, '(20[0-9]{2})', 1), '') as double) as year, "
        "strftime(date '2020-02-28' + cast(s_suppkey as int), '%Y-%m-%d') as iso from supplier")
 def q_years_in_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The year in a file's name, and a day in ISO form."""
     key = F.col("s_suppkey")
     name = F.when(key % 6 != 0, F.concat(F.lit("data/raw/atp_"), (1990 + key % 40).cast("string"), F.lit("_v"), key.cast("string"), F.lit(".csv")))
     rows = _read(spark, sf_dir, "supplier").select(key.cast("long").alias("id"), name.alias("name"), F.date_add(F.lit("2020-02-28").cast("date"), key.cast("int")).alias("day"))
-    return rows.select("id", "name", scalars.year_in("name").alias("year"), scalars.iso("day").alias("iso"))
+    return rows.select("id", "name", scalars.year_in("name").cast("double").alias("year"), scalars.iso("day").alias("iso"))
 
