@@ -231,7 +231,7 @@ with recursive raw as (
   )
 )
 select d.doc_id, d.size, d.text_crc32, 'rows' as law, cast(p.place % {OP3_SHARDS} as int) as shard, p.place // {OP3_SHARDS} as slot,
-       cast(null as int) as grown_shard, d.row_number
+       cast(null as double) as grown_shard, d.row_number
 from numbered d join net p on p.row_number = d.row_number and p.place >= 0
 """
 
