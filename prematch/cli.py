@@ -16,7 +16,8 @@ from prematch.sources import tables
 
 
 def session() -> SparkSession:
-    return SparkSession.builder.appName("prematch").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    # the JVM does not compile methods of over 8,000 bytes; wide projections are faster without whole-stage code then
+    return SparkSession.builder.appName("prematch").config("spark.sql.session.timeZone", "UTC").config("spark.sql.codegen.hugeMethodLimit", "8000").getOrCreate()
 
 
 def typed(df: DataFrame, columns: dict[str, str]) -> DataFrame:

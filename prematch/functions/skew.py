@@ -23,8 +23,8 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def hot_keys(df: DataFrame, key: str, floor: int = FLOOR) -> list:
-    """Keys with over ``floor`` rows and over SHARE of all, by their counts; no job runs for a frame of under a byte for each of so many rows."""
-    if plan_bytes(df) < floor:
+    """Keys with over ``floor`` rows and over SHARE of all; no job runs for a frame that by Spark's estimate is too small to have one (8 bytes a row)."""
+    if plan_bytes(df) < 8 * floor:
         return []
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > floor)
     rows = counts.orderBy(F.col("n").desc()).limit(int(1 / SHARE)).collect()
